@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.dates import parse_date
-from riskweave.operators import density, portfolio, statistics
+from riskweave.operators import density, features, models, portfolio, risk, statistics
 from riskweave.operators.layering import apply_layers, layer_macro
 from riskweave.plans.workspace import workspace
 from riskweave.session import scratch_path
+from riskweave.sources import sinks
 from riskweave.sources.loans import read_loans, tag_loans
 from riskweave.sources.macro import build_macro_panel, country_lookup
 
@@ -189,3 +190,122 @@ QUERIES: dict[str, Query] = {
     "macro_box": q_macro_box,
     "tenure_kde": q_tenure_kde,
 }
+
+
+# ---------------------------------------------------------------- features and models
+
+# Model sizes of the registered model queries (the engine defaults are 100).
+REGISTRY_GBT = {"max_iter": 20}
+REGISTRY_RF = {"num_trees": 20}
+# Deterministic score standing in for a model in the SQL-checked queries.
+FIXED_PD_DAYS = 1000.0
+LGD_PCT = 45
+
+
+def fixed_pd() -> F.Column:
+    return F.least(F.lit(1.0), F.col("tenure_days") / F.lit(FIXED_PD_DAYS))
+
+
+def _split_rows(spark, sf_dir):
+    return features.with_split(features.training_rows(workspace(spark, sf_dir).layered()))
+
+
+def q_train_rows(spark, sf_dir):
+    return features.training_rows(workspace(spark, sf_dir).layered())
+
+
+def q_train_test_split(spark, sf_dir):
+    return _split_rows(spark, sf_dir).select("loan_no", features.IS_TEST)
+
+
+def q_impute_stats(spark, sf_dir):
+    prep = workspace(spark, sf_dir).prepared[0]
+    return round6(features.stats_frame(prep, spark).select("variable", "median"), ["median"])
+
+
+def q_scale_stats(spark, sf_dir):
+    prep = workspace(spark, sf_dir).prepared[0]
+    return round6(features.stats_frame(prep, spark).select("variable", "mean", "std"), ["mean", "std"])
+
+
+def q_category_vocab(spark, sf_dir):
+    return features.vocab_frame(workspace(spark, sf_dir).prepared[0], spark)
+
+
+def q_scaled_features(spark, sf_dir):
+    prep = workspace(spark, sf_dir).prepared[0]
+    return round6(features.scaled_long(_split_rows(spark, sf_dir), prep), ["value"])
+
+
+def q_onehot_long(spark, sf_dir):
+    prep = workspace(spark, sf_dir).prepared[0]
+    return features.onehot_long(_split_rows(spark, sf_dir), prep)
+
+
+def q_feature_matrix(spark, sf_dir):
+    prep, train, test, _ = workspace(spark, sf_dir).prepared
+    both = train.select("loan_no", features.FEATURES).unionByName(test.select("loan_no", features.FEATURES))
+    return round6(features.matrix_long(both, prep.feature_names), ["value"])
+
+
+def q_binary_metrics(spark, sf_dir):
+    test = _split_rows(spark, sf_dir).where(F.col(features.IS_TEST))
+    scored = test.select("label", (fixed_pd() > 0.5).cast("int").alias("prediction"))
+    return round6(models.confusion_metrics(scored), ["accuracy", "precision", "recall"])
+
+
+def q_expected_loss(spark, sf_dir):
+    test = _split_rows(spark, sf_dir).where(F.col(features.IS_TEST))
+    # pd and el are the same IEEE products in any engine: not rounded.
+    return risk.expected_loss(test.withColumn("pd", fixed_pd()), "pd", LGD_PCT)
+
+
+def q_expected_loss_totals(spark, sf_dir):
+    test = _split_rows(spark, sf_dir).where(F.col(features.IS_TEST))
+    el = risk.expected_loss(test.withColumn("pd", fixed_pd()), "pd", LGD_PCT)
+    return round6(risk.expected_loss_totals(el), ["total_el", "el_rate"])
+
+
+def q_export_roundtrip(spark, sf_dir):
+    layered = workspace(spark, sf_dir).layered()
+    path = sinks.export_csv(layered, scratch_path(spark, "export"))
+    return sinks.read_export(spark, path, layered.schema)
+
+
+def q_gbt_scores(spark, sf_dir):
+    return workspace(spark, sf_dir).model("XGBoost", **REGISTRY_GBT).score()
+
+
+def q_rf_scores(spark, sf_dir):
+    return workspace(spark, sf_dir).model("Random Forest", **REGISTRY_RF).score()
+
+
+def q_model_metrics(spark, sf_dir):
+    ws = workspace(spark, sf_dir)
+    return ws.model("XGBoost", **REGISTRY_GBT).metrics().unionByName(
+        ws.model("Random Forest", **REGISTRY_RF).metrics())
+
+
+def q_model_expected_loss(spark, sf_dir):
+    scored = workspace(spark, sf_dir).model("XGBoost", **REGISTRY_GBT).score()
+    return risk.expected_loss(scored, "pd", LGD_PCT)
+
+
+QUERIES.update({
+    "train_rows": q_train_rows,
+    "train_test_split": q_train_test_split,
+    "impute_stats": q_impute_stats,
+    "scale_stats": q_scale_stats,
+    "category_vocab": q_category_vocab,
+    "scaled_features": q_scaled_features,
+    "onehot_long": q_onehot_long,
+    "feature_matrix": q_feature_matrix,
+    "binary_metrics": q_binary_metrics,
+    "expected_loss": q_expected_loss,
+    "expected_loss_totals": q_expected_loss_totals,
+    "export_roundtrip": q_export_roundtrip,
+    "gbt_scores": q_gbt_scores,
+    "rf_scores": q_rf_scores,
+    "model_metrics": q_model_metrics,
+    "model_expected_loss": q_model_expected_loss,
+})

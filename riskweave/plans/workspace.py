@@ -66,6 +66,21 @@ class Workspace:
     def layered(self) -> DataFrame:
         return layer_macro(self.loans, self.macro, macro_rows=self.macro_rows)
 
+    @cached_property
+    def prepared(self):
+        """(fitted prep, prepared train, prepared test, passthrough) of the layered panel."""
+        from riskweave.operators.models import prepare
+        return prepare(self.layered())
+
+    def model(self, name: str, **params):
+        """One fitted model per (name, parameters), shared by the model queries."""
+        from riskweave.operators.models import train_and_evaluate
+        key = (name, tuple(sorted(params.items())))
+        with _LOCK:
+            if key not in self.models:
+                self.models[key] = train_and_evaluate(self.layered(), name, prepared=self.prepared, **params)
+            return self.models[key]
+
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     key = (id(spark), sf_dir.rstrip("/"))
