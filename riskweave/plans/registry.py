@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.dates import parse_date
-from riskweave.operators import density, features, models, portfolio, risk, statistics
+from riskweave.operators import density, explain, features, models, portfolio, risk, statistics
 from riskweave.operators.layering import apply_layers, layer_macro
 from riskweave.plans.workspace import workspace
 from riskweave.session import scratch_path
@@ -309,3 +309,27 @@ QUERIES.update({
     "model_metrics": q_model_metrics,
     "model_expected_loss": q_model_expected_loss,
 })
+
+
+def _shap(spark, sf_dir, name, params):
+    m = workspace(spark, sf_dir).model(name, **params)
+    return explain.shap_values(m.model, m.test, m.feature_names, m.key)
+
+
+def q_shap_values(spark, sf_dir):
+    return _shap(spark, sf_dir, "XGBoost", REGISTRY_GBT)
+
+
+def q_shap_top10(spark, sf_dir):
+    return explain.top_features(_shap(spark, sf_dir, "XGBoost", REGISTRY_GBT))
+
+
+def q_rf_shap_top10(spark, sf_dir):
+    return explain.top_features(_shap(spark, sf_dir, "Random Forest", REGISTRY_RF))
+
+
+QUERIES.update({
+    "shap_values": q_shap_values,
+    "shap_top10": q_shap_top10,
+    "rf_shap_top10": q_rf_shap_top10,
+})
