@@ -16,13 +16,20 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _local(p: str) -> str:
+    for prefix in ("file://", "file:"):
+        if p.startswith(prefix):
+            return p[len(prefix):]
+    return p
+
+
 def _reads_from(df: DataFrame, path: str) -> bool:
     try:
         files = df.inputFiles()
     except Exception:  # not a file-based plan
         return False
-    p = path.rstrip("/")
-    return any(f.startswith(p + "/") or f == p or f.startswith("file:" + p) for f in files)
+    p = _local(path).rstrip("/")
+    return any(_local(f) == p or _local(f).startswith(p + "/") for f in files)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> str:
