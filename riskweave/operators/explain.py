@@ -49,8 +49,8 @@ from riskweave.session import scratch_path
 MAX_PATH_BYTES = 512 * 1024 * 1024
 # Largest ensemble whose node table is read to the driver.
 MAX_NODES = 5_000_000
-# Target size of the largest temporary array of one row chunk, in elements.
-CHUNK_ELEMENTS = 1 << 22
+# Rows x leaves per work plane of one row chunk (about 256 KiB of doubles).
+PLANE_ELEMENTS = 1 << 15
 
 
 @dataclass
@@ -126,43 +126,47 @@ def tree_paths(nodes: dict[int, dict], leaf_value, cover, scale: float) -> TreeP
 
 
 def tree_shap(x: np.ndarray, tp: TreePaths, n_features: int) -> np.ndarray:
-    """Attributions [R, n_features] of one tree for rows ``x`` [R, n_features]."""
+    """Attributions [R, n_features] of one tree for rows ``x`` [R, n_features].
+
+    Arrays are laid out slot-major ([K, R, L]) so every step works on a
+    contiguous [R, L] plane.
+    """
     R = x.shape[0]
     L, D = tp.feat.shape
     K = tp.zero.shape[1]
     out = np.zeros((R, n_features))
     if R == 0:
         return out
-    ar = np.arange(L)
     xv = x[:, tp.feat]                                            # [R, L, D]
-    cond = np.where(tp.left, xv <= tp.thr, xv > tp.thr) | ~tp.valid
-    o = np.ones((R, L, K + 1), bool)
-    for d in range(D):
-        o[:, ar, tp.slot[:, d]] &= cond[:, :, d]
-    of = o[:, :, :K].astype(np.float64) * tp.has                # padded slot: factor 1
-    z = tp.zero
-    P = np.zeros((R, L, K + 1))
-    P[..., 0] = 1.0
+    cond = np.where(tp.left, xv <= tp.thr, xv > tp.thr)
+    of = np.empty((K, R, L))                                      # one fractions
     for k in range(K):
-        zk = z[:, k]
-        P[..., 1:] = P[..., 1:] * zk[None, :, None] + of[:, :, k, None] * P[..., :-1]
-        P[..., 0] *= zk
+        on_k = tp.valid & (tp.slot == k)
+        of[k] = np.all(cond | ~on_k, axis=2) & tp.has[:, k]      # padded slot: factor 1
+    z = np.ascontiguousarray(tp.zero.T)                           # [K, L]
+    w = np.ascontiguousarray(tp.weights.T)                        # [K, L]
+    P = np.zeros((K + 1, R, L))                                   # prod_j (o_j t + z_j)
+    P[0] = 1.0
+    for k in range(K):
+        P[1:k + 2] = P[1:k + 2] * z[k] + of[k] * P[0:k + 1]
+        P[0] *= z[k]
+    t0 = np.einsum("srl,sl->rl", P[:K], w)
+    ar = np.arange(L)
     for i in range(K):
         hi = tp.has[:, i]
         if not hi.any():
             continue
-        zi = z[:, i]
-        oi = of[:, :, i]
-        # P = Q * (t + zi) when the row follows the path at i, else P = Q * zi.
-        Q1 = np.empty((R, L, K))
-        Q1[..., K - 1] = P[..., K]
+        zi = z[i]
+        # Row follows the path at i: divide P by (t + zi), top coefficient down.
+        q = P[K].copy()
+        s1 = w[K - 1] * q
         for j in range(K - 1, 0, -1):
-            Q1[..., j - 1] = P[..., j] - zi[None, :] * Q1[..., j]
-        zi3 = np.broadcast_to(zi[None, :, None], (R, L, K))
-        Q0 = np.divide(P[..., :K], zi3, out=np.zeros((R, L, K)), where=zi3 > 0)
-        Q = np.where(oi[..., None] > 0, Q1, Q0)
-        s = np.einsum("rlk,lk->rl", Q, tp.weights)
-        contrib = s * (oi - zi[None, :]) * (tp.value * hi)[None, :]
+            q = P[j] - zi * q
+            s1 += w[j - 1] * q
+        # Otherwise the factor of i is the constant zi.
+        s0 = np.divide(t0, zi, out=np.zeros_like(t0), where=zi > 0)
+        oi = of[i]
+        contrib = np.where(oi > 0, s1, s0) * (oi - zi) * (tp.value * hi)
         onehot = np.zeros((L, n_features))
         onehot[ar[hi], tp.ufeat[hi, i]] = 1.0
         out += contrib @ onehot
@@ -170,12 +174,10 @@ def tree_shap(x: np.ndarray, tp: TreePaths, n_features: int) -> np.ndarray:
 
 
 def ensemble_shap(x: np.ndarray, trees: Sequence[TreePaths], n_features: int) -> np.ndarray:
-    """Sum over trees, in row chunks bounding the temporaries."""
+    """Sum over trees, in row chunks whose [rows, leaves] planes stay in cache."""
     out = np.zeros((x.shape[0], n_features))
     for tp in trees:
-        L, K = tp.zero.shape
-        D = tp.feat.shape[1]
-        step = max(1, CHUNK_ELEMENTS // (L * max(K + 1, D)))
+        step = max(8, PLANE_ELEMENTS // tp.zero.shape[0])
         for a in range(0, x.shape[0], step):
             out[a:a + step] += tree_shap(x[a:a + step], tp, n_features)
     return out
