@@ -333,3 +333,33 @@ QUERIES.update({
     "shap_top10": q_shap_top10,
     "rf_shap_top10": q_rf_shap_top10,
 })
+
+
+# Rows shown in the scored-loan table (a display limit, ordered by loan number).
+EL_DISPLAY_ROWS = 50
+
+
+def q_expected_loss_preview(spark, sf_dir):
+    return q_expected_loss(spark, sf_dir).orderBy("loan_no").limit(EL_DISPLAY_ROWS)
+
+
+def q_model_expected_loss_totals(spark, sf_dir):
+    return risk.expected_loss_totals(q_model_expected_loss(spark, sf_dir))
+
+
+def q_model_runs(spark, sf_dir):
+    """Both models through the dispatcher on one shared split and preparation."""
+    ws = workspace(spark, sf_dir)
+    runs = {n: ws.model(n, **p) for n, p in (("XGBoost", REGISTRY_GBT), ("Random Forest", REGISTRY_RF))}
+    out = None
+    for name, m in runs.items():
+        s = m.score().select(F.lit(name).alias("model"), "loan_no", "label", "prediction", "pd")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+QUERIES.update({
+    "expected_loss_preview": q_expected_loss_preview,
+    "model_expected_loss_totals": q_model_expected_loss_totals,
+    "model_runs": q_model_runs,
+})

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The original application has no streaming input, watermark, window or
+state: every entry point is a batch over a complete uploaded table. All
+operators here are batch DataFrame functions; since they are built from
+DataFrame transformations only, the stateless ones (typing, tagging,
+layering with a static macro panel) also apply unchanged to a
+``readStream`` frame.
+"""

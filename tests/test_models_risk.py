@@ -67,3 +67,10 @@ def test_expected_loss(spark):
     for bad in (5, 47, 105):
         with pytest.raises(ValueError):
             risk.lgd_fraction(bad)
+
+
+def test_dispatcher_shares_split(trained):
+    ws, ms = trained
+    keys = [sorted(r.loan_no for r in m.score().select("loan_no").collect()) for m in ms.values()]
+    assert keys[0] == keys[1] and len(keys[0]) > 0
+    assert set(models.MODELS) == {"XGBoost", "Random Forest"}
