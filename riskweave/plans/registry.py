@@ -363,3 +363,23 @@ QUERIES.update({
     "model_expected_loss_totals": q_model_expected_loss_totals,
     "model_runs": q_model_runs,
 })
+
+
+# ---------------------------------------------------------------- filtered dashboard
+
+def q_sme_monthly_series(spark, sf_dir):
+    """The time-series widget over the borrower-type filtered portfolio."""
+    f = portfolio.filter_portfolio(workspace(spark, sf_dir).layered(), borrower_type=FILTER_TYPE)
+    return round6(portfolio.monthly_series(f), ["default_rate"])
+
+
+def q_year_rate_by_type(spark, sf_dir):
+    """The categorical widget over the year filtered portfolio."""
+    f = portfolio.filter_portfolio(workspace(spark, sf_dir).layered(), year=FILTER_YEAR)
+    return round6(portfolio.default_rate_by(f, "borrower_type"), ["default_rate"])
+
+
+QUERIES.update({
+    "sme_monthly_series": q_sme_monthly_series,
+    "year_rate_by_type": q_year_rate_by_type,
+})
