@@ -106,3 +106,25 @@ def test_write_table_refuses_self_overwrite(spark):
     with pytest.raises(ValueError):
         write_table(again, path)
     assert write_table(again.withColumn("x", F.lit(1)), path + "_v2")
+
+
+def test_shape_guards_never_change_a_parse(spark):
+    """The regex guards are a pure speed-up: same result as trying every layout."""
+    import itertools
+    from riskweave.schema import DATE_FORMATS
+    days, months, years = ["1", "01", "9", "12", "13", "31", "32"], ["1", "02", "12", "13"], ["2020", "20", "19999"]
+    texts = set()
+    for d, m, y in itertools.product(days, months, years):
+        for sep in "/-.":
+            texts.update({f"{d}{sep}{m}{sep}{y}", f"{y}{sep}{m}{sep}{d}"})
+        texts.update({f"{y}{m}{d}", f"{d}/{m}/{y} 10:05", f"{d}/{m}/{y} 9:05:07", f"{y}-{m}-{d} 10:05:07",
+                      f"{y}-{m}-{d}T10:05:07", f"{y}-{m}-{d} 1:5:7"})
+    for d, mon, y in itertools.product(["1", "07", "31"], ["Mar", "mar", "March", "Sept", "Sep", "Foo"], ["2021", "21"]):
+        texts.update({f"{d} {mon} {y}", f"{d}-{mon}-{y}", f"{mon} {d}, {y}"})
+    texts.update({"", " ", "junk", "2020-01-02 ", "+2020-01-02", "２０２０-01-02", "2020-01-02Z"})
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "s string")
+    c = F.trim(F.col("s"))
+    plain = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS]).cast("date")
+    diff = df.select("s", parse_date("s").alias("a"), plain.alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
+    assert diff.collect() == []
+    assert df.select(parse_date("s").alias("a")).where("a IS NOT NULL").count() > 100
