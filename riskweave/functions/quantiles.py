@@ -1,19 +1,21 @@
-"""Exact quantiles (linear interpolation) without gathering a group in one task.
+"""Exact quantiles (linear interpolation) without gathering a large group in one task.
 
 ``percentile`` keeps a value->count map per group and merges it in one
 task, which is unbounded when one group holds a large share of the rows.
 Here the work is split so that every step is bounded:
 
-1. one aggregate per group: the row count and ``percentile_approx`` (a
-   mergeable sketch of bounded size) at p -/+ a margin around every
-   requested p. Collected to the driver: one row per group.
-2. a bracket per (group, p): the sketch values around p. Groups of at most
-   ``small_group`` rows use the whole value range instead.
+0. a count per group (collected: one row per group, at most ``MAX_GROUPS``).
+   Groups of at most ``small_group`` rows take Spark's exact ``percentile``
+   in one aggregate: their value maps are bounded by the group size.
+   Larger groups go through steps 1-4.
+1. one aggregate per large group: ``percentile_approx`` (a mergeable
+   sketch of bounded size) at p -/+ a margin around every requested p.
+2. a bracket per (group, p): the sketch values around p.
 3. one pass over the data joined with the (broadcast, groups x probs) bracket
    table: values below the bracket collapse into one counted bucket
    map-side, values inside are kept as distinct (value, weight) pairs,
    values above are dropped. Per (group, p) this leaves roughly
-   ``8 * n / accuracy`` distinct values (or the small group itself).
+   ``6 * n / accuracy`` distinct values.
 4. a running count over that bracket gives the values at ranks
    floor(p*(n-1)) and the next one; the result interpolates linearly, as
    ``percentile`` and DuckDB's ``quantile_cont`` do.
@@ -52,24 +54,56 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     """Columns ``*by, n, q0..q{P-1}``: exact quantiles of non-null ``value``.
 
     ``by`` must have few distinct values (at most ``MAX_GROUPS``); groups
-    without any non-null value are absent.
+    without any non-null value are absent. A first pass counts the rows
+    per group; groups of at most ``small_group`` rows get Spark's exact
+    ``percentile`` (one aggregate, whose per-group value map is bounded by
+    the group size), larger groups the bracketed path described above.
     """
     by = list(by)
     probs = list(probs)
-    spark = df.sparkSession
     no_groups = not by
     if no_groups:  # a constant key keeps every join an equi-join
         df = df.withColumn("__q_g", F.lit(0))
         by = ["__q_g"]
     base = df.select(*by, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
 
+    counts = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
+    if len(counts) > MAX_GROUPS:
+        raise ValueError(f"exact_quantiles: {len(counts)} groups exceed {MAX_GROUPS}")
+    key_fields = [f for f in base.schema.fields if f.name in by]
+    small = [r for r in counts if r["n"] <= small_group]
+    big = [r for r in counts if r["n"] > small_group]
+    parts = []
+    if small:
+        rows = base if not big else _semi(base, by, key_fields, small)
+        parts.append(rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.percentile(_V, F.lit(p)).alias(f"q{i}") for i, p in enumerate(probs)]))
+    if big:
+        parts.append(_bracketed(_semi(base, by, key_fields, big) if small else base,
+                                by, key_fields, probs, accuracy))
+    if not parts:
+        spark = df.sparkSession
+        schema = T.StructType(key_fields + [T.StructField("n", T.LongType())]
+                              + [T.StructField(f"q{i}", T.DoubleType()) for i in range(len(probs))])
+        parts.append(spark.createDataFrame([], schema))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.drop("__q_g") if no_groups else out
+
+
+def _semi(base: DataFrame, by: list[str], key_fields, rows) -> DataFrame:
+    """Rows of ``base`` whose group is one of ``rows`` (a bounded key list, broadcast)."""
+    keys = base.sparkSession.createDataFrame([tuple(r[c] for c in by) for r in rows], T.StructType(key_fields))
+    cond = [base[c].eqNullSafe(keys[c]) for c in by]
+    return base.join(F.broadcast(keys), cond, "left_semi")
+
+
+def _bracketed(base: DataFrame, by: list[str], key_fields, probs: list[float], accuracy: int) -> DataFrame:
+    spark = base.sparkSession
     margin = 3.0 / accuracy
     sketch = F.percentile_approx(_V, _bracket_probs(probs, margin), accuracy)
     stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), sketch.alias("approx")).collect()
-    if len(stats) > MAX_GROUPS:
-        raise ValueError(f"exact_quantiles: {len(stats)} groups exceed {MAX_GROUPS}")
 
-    key_fields = [f for f in base.schema.fields if f.name in by]
     bracket_rows = []
     for r in stats:
         n = r["n"]
@@ -77,10 +111,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
             pos = p * (n - 1)
             k0 = int(math.floor(pos))
             k1 = min(k0 + 1, n - 1)
-            if n <= small_group:
-                lo, hi = -math.inf, math.inf
-            else:
-                lo, hi = float(r["approx"][2 * i]), float(r["approx"][2 * i + 1])
+            lo, hi = float(r["approx"][2 * i]), float(r["approx"][2 * i + 1])
             bracket_rows.append(tuple(r[c] for c in by) + (i, n, k0, k1, pos - k0, lo, hi))
     bschema = T.StructType(key_fields + [
         T.StructField(_I, T.IntegerType()), T.StructField("n", T.LongType()),
@@ -117,4 +148,4 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     wide = per.groupBy(*by).agg(F.max("n").alias("n"),
                                 *[F.max(F.when(F.col(_I) == i, F.col("q"))).alias(f"q{i}")
                                   for i in range(len(probs))])
-    return wide.drop("__q_g") if no_groups else wide
+    return wide

@@ -90,3 +90,16 @@ def test_kde(spark):
     np.testing.assert_allclose([r.x for r in out], grid, rtol=1e-9)
     np.testing.assert_allclose([r.density for r in out], dens, rtol=1e-9)
     assert sum(r.density for r in out) * (grid[1] - grid[0]) == pytest.approx(1.0, abs=0.02)
+
+
+def test_exact_quantiles_mixed_small_and_large_groups(spark):
+    rng = np.random.default_rng(4)
+    g = np.where(rng.random(12000) < 0.75, "hot", "cold")
+    v = rng.integers(0, 500, 12000).astype(float)
+    df = spark.createDataFrame([(a, float(b)) for a, b in zip(g, v)], "g string, v double")
+    got = {r.g: r for r in exact_quantiles(df, "v", [0.25, 0.5, 0.9], by=["g"], accuracy=500,
+                                           small_group=5000).collect()}
+    assert set(got) == {"hot", "cold"}
+    for k in ("hot", "cold"):
+        np.testing.assert_allclose([got[k].q0, got[k].q1, got[k].q2], np.percentile(v[g == k], [25, 50, 90]))
+        assert got[k].n == int((g == k).sum())
