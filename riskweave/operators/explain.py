@@ -49,6 +49,9 @@ from riskweave.session import scratch_path
 MAX_PATH_BYTES = 512 * 1024 * 1024
 # Largest ensemble whose node table is read to the driver.
 MAX_NODES = 5_000_000
+# Largest per-tree pattern table (2^K x leaves x K doubles); beyond it the
+# per-row kernel is used.
+MAX_TABLE_ELEMENTS = 1 << 22
 # Rows x leaves per work plane of one row chunk (about 256 KiB of doubles).
 PLANE_ELEMENTS = 1 << 15
 
@@ -101,16 +104,26 @@ def tree_paths(nodes: dict[int, dict], leaf_value, cover, scale: float) -> TreeP
         for child, go_left in ((n["leftChild"], True), (n["rightChild"], False)):
             stack.append((child, path + [(f, t, go_left, cover(nodes[child]) / c)]))
 
-    L = len(leaves)
-    D = max(1, max(len(p) for p, _, _ in leaves))
-    uniq = [list(dict.fromkeys(f for f, _, _, _ in p)) for p, _, _ in leaves]
-    K = max(1, max(len(u) for u in uniq))
+    # Attributions do not change when every leaf value moves by the same
+    # constant (the path weights of all leaves sum to one for any feature
+    # subset). Shifting by the most common leaf value makes those leaves
+    # zero, so they are dropped: in forests most leaves are pure.
+    base = sum(v * frac for _, v, frac in leaves)
+    counts: dict[float, int] = {}
+    for _, v, _ in leaves:
+        counts[v] = counts.get(v, 0) + 1
+    shift = max(counts, key=counts.get)
+    kept = [(p, v - shift) for p, v, _ in leaves if v != shift]
+
+    L = len(kept)
+    D = max([1] + [len(p) for p, _ in kept])
+    uniq = [list(dict.fromkeys(f for f, _, _, _ in p)) for p, _ in kept]
+    K = max([1] + [len(u) for u in uniq])
     tp = TreePaths(np.zeros((L, D), np.int32), np.zeros((L, D)), np.zeros((L, D), bool),
                    np.zeros((L, D), bool), np.full((L, D), K, np.int32), np.ones((L, K)),
                    np.zeros((L, K), np.int32), np.zeros((L, K), bool), np.zeros((L, K)),
-                   np.zeros(L), 0.0)
-    base = 0.0
-    for li, ((path, v, frac), u) in enumerate(zip(leaves, uniq)):
+                   np.zeros(L), base)
+    for li, ((path, v), u) in enumerate(zip(kept, uniq)):
         slot_of = {f: s for s, f in enumerate(u)}
         for d, (f, t, go_left, ratio) in enumerate(path):
             s = slot_of[f]
@@ -120,38 +133,44 @@ def tree_paths(nodes: dict[int, dict], leaf_value, cover, scale: float) -> TreeP
             tp.ufeat[li, s], tp.has[li, s] = f, True
         tp.weights[li] = _shapley_weights(len(u), K)
         tp.value[li] = v
-        base += v * frac
-    tp.base = base
     return tp
 
 
-def tree_shap(x: np.ndarray, tp: TreePaths, n_features: int) -> np.ndarray:
-    """Attributions [R, n_features] of one tree for rows ``x`` [R, n_features].
-
-    Arrays are laid out slot-major ([K, R, L]) so every step works on a
-    contiguous [R, L] plane.
-    """
-    R = x.shape[0]
+def _patterns(x: np.ndarray, tp: TreePaths) -> np.ndarray:
+    """[R, L] int bitmask: bit k is set when row r follows leaf l's path at
+    every split on slot k (one pass per depth over an [R, L] plane)."""
     L, D = tp.feat.shape
     K = tp.zero.shape[1]
-    out = np.zeros((R, n_features))
-    if R == 0:
-        return out
-    xv = x[:, tp.feat]                                            # [R, L, D]
-    cond = np.where(tp.left, xv <= tp.thr, xv > tp.thr)
-    of = np.empty((K, R, L))                                      # one fractions
-    for k in range(K):
-        on_k = tp.valid & (tp.slot == k)
-        of[k] = np.all(cond | ~on_k, axis=2) & tp.has[:, k]      # padded slot: factor 1
+    failed = np.zeros((x.shape[0], L), np.int64)
+    for d in range(D):
+        goes_left = x[:, tp.feat[:, d]] <= tp.thr[:, d]
+        off_path = (goes_left != tp.left[:, d]) & tp.valid[:, d]
+        failed |= off_path.astype(np.int64) << tp.slot[:, d].astype(np.int64)
+    has_mask = (tp.has.astype(np.int64) << np.arange(K, dtype=np.int64)).sum(axis=1)
+    return has_mask & ~failed
+
+
+def _one_fractions(pattern: np.ndarray, K: int) -> np.ndarray:
+    """[K, R, L] bool view of a pattern bitmask."""
+    return np.stack([(pattern >> k) & 1 for k in range(K)]).astype(bool)
+
+
+def _slot_contributions(of: np.ndarray, tp: TreePaths) -> np.ndarray:
+    """[K, R, L]: contribution of slot k of leaf l to row r's attribution.
+
+    Arrays are slot-major so every step works on a contiguous [R, L] plane.
+    """
+    K, R, L = of.shape
+    o = of.astype(np.float64)
     z = np.ascontiguousarray(tp.zero.T)                           # [K, L]
     w = np.ascontiguousarray(tp.weights.T)                        # [K, L]
     P = np.zeros((K + 1, R, L))                                   # prod_j (o_j t + z_j)
     P[0] = 1.0
     for k in range(K):
-        P[1:k + 2] = P[1:k + 2] * z[k] + of[k] * P[0:k + 1]
+        P[1:k + 2] = P[1:k + 2] * z[k] + o[k] * P[0:k + 1]
         P[0] *= z[k]
     t0 = np.einsum("srl,sl->rl", P[:K], w)
-    ar = np.arange(L)
+    C = np.zeros((K, R, L))
     for i in range(K):
         hi = tp.has[:, i]
         if not hi.any():
@@ -165,37 +184,100 @@ def tree_shap(x: np.ndarray, tp: TreePaths, n_features: int) -> np.ndarray:
             s1 += w[j - 1] * q
         # Otherwise the factor of i is the constant zi.
         s0 = np.divide(t0, zi, out=np.zeros_like(t0), where=zi > 0)
-        oi = of[i]
-        contrib = np.where(oi > 0, s1, s0) * (oi - zi) * (tp.value * hi)
-        onehot = np.zeros((L, n_features))
-        onehot[ar[hi], tp.ufeat[hi, i]] = 1.0
-        out += contrib @ onehot
-    return out
+        C[i] = np.where(o[i] > 0, s1, s0) * (o[i] - zi) * (tp.value * hi)
+    return C
 
 
-def ensemble_shap(x: np.ndarray, trees: Sequence[TreePaths], n_features: int) -> np.ndarray:
+def _feature_map(tp: TreePaths, n_features: int) -> np.ndarray:
+    """[L*K, n_features]: slot (l, k) -> its feature (zero rows for padded slots)."""
+    L, K = tp.zero.shape
+    m = np.zeros((L * K, n_features))
+    rows = np.flatnonzero(tp.has.ravel())
+    m[rows, tp.ufeat.ravel()[rows]] = 1.0
+    return m
+
+
+def _pattern_table(tp: TreePaths) -> np.ndarray | None:
+    """[2^K * L, K]: slot contributions for every one-fraction pattern, or
+    None when the table would exceed ``MAX_TABLE_ELEMENTS``.
+
+    A row's contribution at a leaf depends on the row only through which
+    slots it follows, so for small K all 2^K patterns are evaluated once
+    per tree and rows become a gather plus a matrix product.
+    """
+    L, K = tp.zero.shape
+    n = 1 << K
+    if n * L * K > MAX_TABLE_ELEMENTS:
+        return None
+    bits = ((np.arange(n)[:, None] >> np.arange(K)[None, :]) & 1).astype(bool)   # [2^K, K]
+    of = bits.T[:, :, None] & tp.has.T[:, None, :]                                # [K, 2^K, L]
+    C = _slot_contributions(np.ascontiguousarray(of), tp)                         # [K, 2^K, L]
+    return np.ascontiguousarray(C.transpose(1, 2, 0)).reshape(n * L, K)
+
+
+def tree_shap(x: np.ndarray, tp: TreePaths, n_features: int, table: np.ndarray | None = None,
+              fmap: np.ndarray | None = None) -> np.ndarray:
+    """Attributions [R, n_features] of one tree for rows ``x`` [R, n_features]."""
+    R = x.shape[0]
+    L, K = tp.zero.shape
+    if R == 0 or L == 0:
+        return np.zeros((R, n_features))
+    fmap = _feature_map(tp, n_features) if fmap is None else fmap
+    pattern = _patterns(x, tp)
+    if table is not None:
+        G = table[pattern * L + np.arange(L)]                     # [R, L, K]
+        return G.reshape(R, L * K) @ fmap
+    C = _slot_contributions(_one_fractions(pattern, K), tp)       # [K, R, L]
+    return np.ascontiguousarray(C.transpose(1, 2, 0)).reshape(R, L * K) @ fmap
+
+
+def ensemble_shap(x: np.ndarray, trees: Sequence[TreePaths], n_features: int,
+                  use_tables: bool = True) -> np.ndarray:
     """Sum over trees, in row chunks whose [rows, leaves] planes stay in cache."""
     out = np.zeros((x.shape[0], n_features))
     for tp in trees:
-        step = max(8, PLANE_ELEMENTS // tp.zero.shape[0])
+        L = max(1, tp.zero.shape[0])
+        fmap = _feature_map(tp, n_features)
+        table = _pattern_table(tp) if use_tables else None
+        step = max(8, PLANE_ELEMENTS // L)
         for a in range(0, x.shape[0], step):
-            out[a:a + step] += tree_shap(x[a:a + step], tp, n_features)
+            out[a:a + step] += tree_shap(x[a:a + step], tp, n_features, table, fmap)
     return out
 
 
 def _node_table(model, spark) -> dict[int, dict[int, dict]]:
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    cols = ("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
+            "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
+            "nodeData.split.numCategories")
+    rows = spark.read.parquet(f"{path}/data").select(*cols).collect()
     trees: dict[int, dict[int, dict]] = {}
-    for r in rows:
-        d = r.asDict(recursive=True)
-        trees.setdefault(d.pop("treeID"), {})[d["id"]] = d
+    for tid, nid, pred, stats, left, right, feat, thr, ncat in rows:
+        trees.setdefault(tid, {})[nid] = {
+            "id": nid, "prediction": pred, "impurityStats": stats, "leftChild": left, "rightChild": right,
+            "split": {"featureIndex": feat, "leftCategoriesOrThreshold": thr, "numCategories": ncat}}
     return trees
 
 
+_PATHS_CACHE: dict[str, tuple[list[TreePaths], str]] = {}
+_PATHS_CACHE_SIZE = 4
+
+
 def ensemble_paths(model, spark) -> tuple[list[TreePaths], str]:
-    """Leaf paths of every tree and the output scale ('log_odds' or 'probability')."""
+    """Leaf paths of every tree and the output scale ('log_odds' or 'probability').
+
+    A fitted model never changes, so its paths are kept per model uid."""
+    cached = _PATHS_CACHE.get(model.uid)
+    if cached is None:
+        cached = _build_paths(model, spark)
+        if len(_PATHS_CACHE) >= _PATHS_CACHE_SIZE:
+            _PATHS_CACHE.pop(next(iter(_PATHS_CACHE)))
+        _PATHS_CACHE[model.uid] = cached
+    return cached
+
+
+def _build_paths(model, spark) -> tuple[list[TreePaths], str]:
     if model.totalNumNodes > MAX_NODES:
         raise ValueError(f"ensemble of {model.totalNumNodes} nodes is too large to explain (max {MAX_NODES})")
     trees = _node_table(model, spark)

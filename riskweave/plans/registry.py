@@ -195,8 +195,8 @@ QUERIES: dict[str, Query] = {
 # ---------------------------------------------------------------- features and models
 
 # Model sizes of the registered model queries (the engine defaults are 100).
-REGISTRY_GBT = {"max_iter": 20}
-REGISTRY_RF = {"num_trees": 20}
+REGISTRY_GBT = {"max_iter": 100}
+REGISTRY_RF = {"num_trees": 100}
 # Deterministic score standing in for a model in the SQL-checked queries.
 FIXED_PD_DAYS = 1000.0
 LGD_PCT = 45

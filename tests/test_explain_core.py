@@ -84,3 +84,28 @@ def test_single_leaf_tree():
     tp = tree_paths({0: leaf(0, 0.7, 10.0)}, lambda n: n["prediction"], lambda n: n["impurityStats"][0], 1.0)
     assert tp.base == pytest.approx(0.7)
     np.testing.assert_array_equal(tree_shap(np.zeros((4, 2)), tp, 2), np.zeros((4, 2)))
+
+
+def test_modal_leaf_shift_is_exact():
+    # many leaves share one value: they are dropped after the shift, same attributions
+    nodes = sample_tree()
+    for i in (3, 5, 7):
+        nodes[i]["prediction"] = 0.25
+    tp = tree_paths(nodes, lambda n: n["prediction"], lambda n: n["impurityStats"][0], 1.0)
+    assert tp.value.shape[0] == 2
+    rng = np.random.default_rng(5)
+    for x in rng.normal(size=(20, 3)) * 2:
+        np.testing.assert_allclose(tree_shap(np.array([x]), tp, 3)[0], brute_shap(nodes, x, 3), atol=1e-12)
+        assert tp.base + tree_shap(np.array([x]), tp, 3)[0].sum() == pytest.approx(exp_value(nodes, x, {0, 1, 2}))
+
+
+def test_pattern_table_equals_direct_kernel():
+    from riskweave.operators.explain import _pattern_table
+    nodes = sample_tree()
+    tp = tree_paths(nodes, lambda n: n["prediction"], lambda n: n["impurityStats"][0], 1.0)
+    table = _pattern_table(tp)
+    assert table is not None
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 3)) * 2
+    np.testing.assert_allclose(tree_shap(x, tp, 3, table), tree_shap(x, tp, 3), atol=1e-13)
+    np.testing.assert_allclose(ensemble_shap(x, [tp], 3), ensemble_shap(x, [tp], 3, use_tables=False), atol=1e-13)
