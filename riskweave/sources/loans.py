@@ -23,14 +23,15 @@ def validate_loans(df: DataFrame) -> list[str]:
 
 
 def type_loans(raw: DataFrame, extra_types: dict[str, str] | None = None,
-               infer_extras: bool = False) -> DataFrame:
+               infer_extras: bool = True) -> DataFrame:
     """All-text loan frame -> typed panel.
 
     Missing-value tokens become NULL first, then every contract column is
     converted with a non-raising cast (bad cells -> NULL, never a failed
     job), dates through the lenient parser. ``year`` is derived from
-    ``loan_date``. Extra columns stay text unless typed by ``extra_types``
-    or, with ``infer_extras``, by one distributed check per column.
+    ``loan_date``. Extra columns are typed by ``extra_types`` or, with
+    ``infer_extras`` (the default, as the original reader infers every
+    column), by one aggregate over all extra columns together.
     """
     cleaned = raw.select(*[na_token_to_null(c).alias(c) for c in raw.columns])
     extras = [c for c in cleaned.columns if c not in LOAN_TYPES]
@@ -47,8 +48,11 @@ def type_loans(raw: DataFrame, extra_types: dict[str, str] | None = None,
             cols.append((fn(c) if fn else F.col(c).cast(dt)).alias(c))
         elif c in types:
             t = types[c]
-            cols.append((to_long(c) if t == "bigint" else to_double(c) if t == "double"
-                         else F.col(c).try_cast(t)).alias(c))
+            if t == "boolean":
+                cols.append(F.lower(F.trim(c)).isin("true").alias(c))
+            else:
+                cols.append((to_long(c) if t == "bigint" else to_double(c) if t == "double"
+                             else F.col(c).try_cast(t)).alias(c))
         else:
             cols.append(F.col(c))
     typed = cleaned.select(*cols)
@@ -57,9 +61,15 @@ def type_loans(raw: DataFrame, extra_types: dict[str, str] | None = None,
     return typed
 
 
+# FIXED VALUES: cells the original CSV reader reads as booleans.
+BOOL_TOKENS = ("True", "TRUE", "true", "False", "FALSE", "false")
+
+
 def _infer_numeric(df: DataFrame, cols: list[str]) -> dict[str, str]:
-    """One aggregate: a text column whose non-null cells all parse as numbers
-    becomes bigint (all integral) or double."""
+    """One aggregate over all columns: a text column whose non-null cells all
+    parse as numbers becomes bigint (all integral) or double; one whose
+    cells are all boolean words, with none missing, becomes boolean (a
+    missing cell keeps it text, as in the original reader)."""
     if not cols:
         return {}
     aggs = []
@@ -68,11 +78,15 @@ def _infer_numeric(df: DataFrame, cols: list[str]) -> dict[str, str]:
         aggs.append(F.count_if(F.col(c).isNotNull() & d.isNull()).alias(f"{c}__bad"))
         aggs.append(F.count_if(d.isNotNull() & (d != F.floor(d))).alias(f"{c}__frac"))
         aggs.append(F.count(d).alias(f"{c}__n"))
+        aggs.append(F.count_if(F.trim(c).isin(*BOOL_TOKENS)).alias(f"{c}__bool"))
+    aggs.append(F.count(F.lit(1)).alias("__rows"))
     row = df.agg(*aggs).first()
     out = {}
     for c in cols:
         if row[f"{c}__n"] and row[f"{c}__bad"] == 0:
             out[c] = "double" if row[f"{c}__frac"] else "bigint"
+        elif row["__rows"] and row[f"{c}__bool"] == row["__rows"]:
+            out[c] = "boolean"
     return out
 
 

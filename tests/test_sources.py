@@ -47,10 +47,11 @@ def test_null_tokens_and_casts(spark):
 def test_read_loans_csv(spark):
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/loans.csv"
     with open(path, "w") as f:
-        f.write("borrower_id,borrower_type,loan_no,loan_date,due_date,payoff_date,tenure_days,amount,default_flag,extra\n")
-        f.write("1,SME,10,05/01/2020,2020-02-05,,30,100.5,1,a\n")
-        f.write("2,NA,11,n/a,2020-02-05,2020-01-20,30.0,,NA,b\n")
-        f.write("3,Retail,12,2020-01-07,,,#N/A,7,0,c\n")
+        f.write("borrower_id,borrower_type,loan_no,loan_date,due_date,payoff_date,tenure_days,amount,default_flag,"
+                "extra,score,count,ok,ok_na\n")
+        f.write("1,SME,10,05/01/2020,2020-02-05,,30,100.5,1,a,1.5,3,True,true\n")
+        f.write("2,NA,11,n/a,2020-02-05,2020-01-20,30.0,,NA,b,NA,4,FALSE,\n")
+        f.write("3,Retail,12,2020-01-07,,,#N/A,7,0,c,2,,false,False\n")
     df = read_loans(spark, path)
     assert validate_loans(df) == []
     rows = {r["loan_no"]: r for r in df.collect()}
@@ -59,7 +60,10 @@ def test_read_loans_csv(spark):
     assert rows["11"]["borrower_type"] is None and rows["11"]["loan_date"] is None
     assert rows["11"]["tenure_days"] == 30 and rows["11"]["amount"] is None and rows["11"]["default_flag"] is None
     assert rows["12"]["tenure_days"] is None and rows["12"]["amount"] == 7.0
-    assert dict(df.dtypes)["extra"] == "string"
+    types = dict(df.dtypes)
+    assert (types["extra"], types["score"], types["count"], types["ok"], types["ok_na"]) == \
+        ("string", "double", "bigint", "boolean", "string")
+    assert [rows[k]["ok"] for k in ("10", "11", "12")] == [True, False, False]
     assert validate_loans(df.drop("amount")) == ["amount"]
 
 
