@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions.dates import parse_date
-from riskweave.functions.nulls import na_token_to_null, to_double, to_long
+from riskweave.functions.nulls import na_token_to_null, nan_to_null, to_double, to_long
 from riskweave.schema import CONTRACT_COLUMNS, DATE_COLUMNS, LOAN_TYPES
 
 _CASTS = {
@@ -90,16 +90,41 @@ def _infer_numeric(df: DataFrame, cols: list[str]) -> dict[str, str]:
     return out
 
 
+def conform_loans(df: DataFrame) -> DataFrame:
+    """A typed loan frame (e.g. from Parquet) brought to the contract types:
+    contract columns of another type are converted without raising, float
+    NaN becomes NULL, and ``year`` is derived from ``loan_date`` when absent.
+    Extra columns keep their stored types."""
+    cols = []
+    for f in df.schema.fields:
+        want = LOAN_TYPES.get(f.name)
+        if want is None or f.dataType == want:
+            cols.append(nan_to_null(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+                        else F.col(f.name))
+        elif isinstance(want, T.DateType):
+            cols.append((parse_date(f.name) if isinstance(f.dataType, T.StringType)
+                         else F.col(f.name).try_cast("date")).alias(f.name))
+        elif isinstance(want, T.DoubleType):
+            cols.append(to_double(F.col(f.name)).alias(f.name))
+        else:
+            cols.append(F.col(f.name).try_cast(want).alias(f.name))
+    out = df.select(*cols)
+    if "loan_date" in out.columns and "year" not in out.columns:
+        out = out.withColumn("year", F.year("loan_date").cast("int"))
+    return out
+
+
 def read_loans(spark: SparkSession, path: str, fmt: str = "csv", **kwargs) -> DataFrame:
     """Read an uploaded loan panel.
 
     CSV is read as text (no schema inference pass) and typed by
-    :func:`type_loans`; Parquet keeps its stored types.
+    :func:`type_loans`; other formats are brought to the contract types
+    by :func:`conform_loans`.
     """
     if fmt == "csv":
         raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
         return type_loans(raw, **kwargs)
-    return spark.read.format(fmt).load(path)
+    return conform_loans(spark.read.format(fmt).load(path))
 
 
 def tag_loans(df: DataFrame, session_id: str, country_code: str | None = None) -> DataFrame:

@@ -132,3 +132,18 @@ def test_shape_guards_never_change_a_parse(spark):
     diff = df.select("s", parse_date("s").alias("a"), plain.alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
     assert diff.collect() == []
     assert df.select(parse_date("s").alias("a")).where("a IS NOT NULL").count() > 100
+
+
+def test_read_loans_parquet_conforms_types(spark):
+    import datetime as dt
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/loans_pq"
+    df = spark.createDataFrame([(1, 2, "2020-03-04", 30, float("nan"), 1, 7)],
+                               "borrower_id int, loan_no int, loan_date string, tenure_days int, "
+                               "amount double, default_flag int, extra int")
+    write_table(df, path)
+    got = read_loans(spark, path, fmt="parquet")
+    types = dict(got.dtypes)
+    assert (types["loan_no"], types["loan_date"], types["tenure_days"], types["default_flag"], types["extra"],
+            types["year"]) == ("string", "date", "bigint", "double", "int", "int")
+    r = got.first()
+    assert r.loan_date == dt.date(2020, 3, 4) and r.year == 2020 and r.amount is None
