@@ -3,10 +3,12 @@
 * ``describe_long``: one aggregate for count/mean/std/min/max of all
   columns, plus exact quartiles from :mod:`riskweave.functions.quantiles`
   on the unpivoted (column, value) pairs; one row per column.
-* ``corr_long``: Pearson with pairwise deletion, written with covariance
-  and pairwise-filtered standard deviations and ``try_divide``, so a
-  constant column gives NULL instead of an ANSI divide-by-zero. All pairs
-  run in a single aggregate (chunked to keep generated code small).
+* ``corr_long``: Pearson with pairwise deletion in one pass. For a few
+  columns: covariance and pairwise-filtered standard deviations with
+  ``try_divide`` in one built-in aggregate, so a constant column gives NULL
+  instead of an ANSI divide-by-zero. For many columns (the pair count grows
+  quadratically and the aggregate stops being compiled): masked Gramians
+  per Arrow batch in numpy, summed per pair by Spark.
 * ``box_stats``: exact quartiles per group, then one more pass with the
   broadcast (tiny) quartile table for the whisker ends and outlier count.
 """
@@ -23,7 +25,8 @@ from riskweave.functions.quantiles import exact_quantiles
 from riskweave.schema import CORR_EXCLUDE, STANDARD_COLUMNS, SUMMARY_EXCLUDE, is_numeric
 
 QUARTILES = (0.25, 0.5, 0.75)
-CORR_CHUNK = 200
+# Widest frame for the built-in aggregate form (10 pairs); wider ones use the Gramian
+CORR_SQL_MAX_COLUMNS = 4
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -64,35 +67,113 @@ def describe_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def guarded_corr(x: str, y: str):
-    """Pearson r of x and y over rows where both are set; NULL when undefined."""
+    """Pearson r of x and y over rows where both are set; NULL when undefined.
+
+    Constant columns are recognised exactly (least == greatest value on the
+    shared rows): a floating deviation of a constant column can come out a
+    tiny non-zero number, which would turn the ratio into noise.
+    """
     cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
     both = cx.isNotNull() & cy.isNotNull()
-    return F.try_divide(F.covar_samp(cx, cy),
-                        F.stddev_samp(F.when(both, cx)) * F.stddev_samp(F.when(both, cy)))
+    bx, by = F.when(both, cx), F.when(both, cy)
+    varies = (F.min(bx) < F.max(bx)) & (F.min(by) < F.max(by))
+    return F.when(varies, F.try_divide(F.covar_samp(cx, cy), F.stddev_samp(bx) * F.stddev_samp(by)))
+
 
+def corr_long(df: DataFrame, columns: Sequence[str] | None = None,
+              method: str = "auto") -> DataFrame:
+    """Full correlation matrix in long form (col_a, col_b, corr); needs two columns.
 
-def corr_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Full correlation matrix in long form (col_a, col_b, corr); needs two columns."""
+    ``method``: 'sql' runs guarded built-in aggregates (best for a few
+    columns), 'gram' the batched masked Gramian (best for many columns,
+    whose pair count makes the aggregate too wide for code generation),
+    'auto' picks by width.
+    """
     cols = list(columns) if columns is not None else numeric_columns(df, CORR_EXCLUDE)
     spark = df.sparkSession
     schema = "col_a string, col_b string, corr double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
+    if method == "gram" or (method == "auto" and len(cols) > CORR_SQL_MAX_COLUMNS):
+        return _corr_gram(df, cols)
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    parts = []
-    for start in range(0, len(pairs), CORR_CHUNK):
-        chunk = pairs[start:start + CORR_CHUNK]
-        row = df.agg(*[guarded_corr(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in chunk])
-        entries = []
-        for i, j in chunk:
-            entries.append(f"'{cols[i]}', '{cols[j]}', r_{i}_{j}")
-            if i != j:
-                entries.append(f"'{cols[j]}', '{cols[i]}', r_{i}_{j}")
-        parts.append(row.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (col_a, col_b, corr)"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    row = df.agg(*[guarded_corr(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs])
+    entries = []
+    for i, j in pairs:
+        entries.append(f"'{cols[i]}', '{cols[j]}', r_{i}_{j}")
+        if i != j:
+            entries.append(f"'{cols[j]}', '{cols[i]}', r_{i}_{j}")
+    return row.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (col_a, col_b, corr)")
+
+
+_GRAM_FIELDS = ("n", "sa", "sb", "saa", "sbb", "sab", "min_a", "max_a", "min_b", "max_b")
+
+
+def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairwise-deletion Pearson correlation from per-batch masked Gramians.
+
+    Each Arrow batch gives, for every pair (a <= b), the count of rows where
+    both are set and the sums of x_a, x_b, x_a^2, x_b^2, x_a*x_b over those
+    rows (matrix products of the centred values and the presence mask),
+    plus the least and greatest x_a and x_b there. Spark sums these
+    partials per pair (map-side combined, k^2 groups). Values are centred by
+    the column means (one small aggregate first) so the sums do not cancel;
+    a pair whose column is constant on the shared rows, or with fewer than
+    two shared rows, gives NULL, as the guarded aggregate does.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = df.sparkSession
+    k = len(cols)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    shift = np.array([means[f"m{i}"] if means[f"m{i}"] is not None else 0.0 for i in range(k)])
+    ia, ib = np.triu_indices(k)
+
+    def partials(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+            m = ~np.isnan(x)
+            mf = m.astype(np.float64)
+            xc = np.where(m, x - shift, 0.0)
+            n = mf.T @ mf
+            sx = xc.T @ mf                       # sx[a, b] = sum of x_a where b is set
+            sxx = (xc * xc).T @ mf
+            sxy = xc.T @ xc
+            lo = np.full((k, k), np.inf)
+            hi = np.full((k, k), -np.inf)
+            for b in range(k):
+                both = m & m[:, b:b + 1]
+                lo[:, b] = np.where(both, x, np.inf).min(axis=0)
+                hi[:, b] = np.where(both, x, -np.inf).max(axis=0)
+            yield pd.DataFrame({
+                "a": ia.astype(np.int32), "b": ib.astype(np.int32), "n": n[ia, ib],
+                "sa": sx[ia, ib], "sb": sx[ib, ia], "saa": sxx[ia, ib], "sbb": sxx[ib, ia], "sab": sxy[ia, ib],
+                "min_a": lo[ia, ib], "max_a": hi[ia, ib], "min_b": lo[ib, ia], "max_b": hi[ib, ia]})
+
+    out_schema = "a int, b int, " + ", ".join(f"{f} double" for f in _GRAM_FIELDS)
+    src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    sums = (src.mapInPandas(partials, out_schema).groupBy("a", "b")
+            .agg(*[F.sum(f).alias(f) for f in _GRAM_FIELDS[:6]],
+                 F.min("min_a").alias("min_a"), F.max("max_a").alias("max_a"),
+                 F.min("min_b").alias("min_b"), F.max("max_b").alias("max_b")))
+    n = F.col("n")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
+    va = F.col("saa") - F.col("sa") * F.col("sa") / n
+    vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
+    defined = (n >= 2) & (F.col("min_a") < F.col("max_a")) & (F.col("min_b") < F.col("max_b")) & (va > 0) & (vb > 0)
+    r = sums.select("a", "b", F.when(defined, cov / F.sqrt(va * vb)).alias("corr"))
+    # Every pair appears, also pairs with no shared row (bounded: k^2 rows).
+    names = [(i, c) for i, c in enumerate(cols)]
+    grid = spark.createDataFrame([(i, j, ci, cj) for i, ci in names for j, cj in names if i <= j],
+                                 "a int, b int, col_a string, col_b string")
+    full = grid.join(F.broadcast(r), ["a", "b"], "left")
+    upper = full.select("col_a", "col_b", "corr")
+    lower = full.where(F.col("a") != F.col("b")).select(F.col("col_b").alias("col_a"),
+                                                         F.col("col_a").alias("col_b"), "corr")
+    return upper.unionByName(lower)
 
 
 def box_stats(df: DataFrame, value: str, by: str = "default_flag") -> DataFrame:

@@ -383,3 +383,15 @@ QUERIES.update({
     "sme_monthly_series": q_sme_monthly_series,
     "year_rate_by_type": q_year_rate_by_type,
 })
+
+
+# All numeric columns of the layered panel, ids included: wide enough for the
+# batched Gramian form of the correlation.
+WIDE_CORR_COLUMNS = ("loan_no", "borrower_id", "tenure_days", "amount", "default_flag", "year", "gdp_usd")
+
+
+def q_corr_wide(spark, sf_dir):
+    return round6(statistics.corr_long(workspace(spark, sf_dir).layered(), WIDE_CORR_COLUMNS), ["corr"])
+
+
+QUERIES["corr_wide"] = q_corr_wide

@@ -15,15 +15,19 @@ DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "riskweave") -> SparkSession:
+              app_name: str = "riskweave", driver_memory: str | None = None) -> SparkSession:
     """Session with the settings the engine relies on.
 
     On a cluster the master and partition counts come from the submit
     configuration; the local defaults only apply when nothing is set.
+    ``driver_memory`` sizes the single JVM of a local session (it has no
+    effect once a JVM runs).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder
         .config("spark.ui.enabled", "false")

@@ -39,10 +39,11 @@ def test_median_averages_middle_pair(spark):
     assert r.q0 == 2.5 and r.n == 4
 
 
-def test_corr_guarded(spark):
+@pytest.mark.parametrize("method", ["sql", "gram"])
+def test_corr_guarded(spark, method):
     rows = [(1.0, 2.0, 5.0, 1.0), (2.0, 4.1, 5.0, None), (3.0, 6.3, 5.0, 1.0), (4.0, None, 5.0, 2.0)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
-    got = {(r.col_a, r.col_b): r.corr for r in statistics.corr_long(df).collect()}
+    got = {(r.col_a, r.col_b): r.corr for r in statistics.corr_long(df, method=method).collect()}
     assert len(got) == 16
     assert got[("a", "c")] is None and got[("c", "c")] is None           # constant column
     a = np.array([1.0, 2.0, 3.0]); b = np.array([2.0, 4.1, 6.3])         # pairwise deletion
@@ -52,6 +53,27 @@ def test_corr_guarded(spark):
     assert statistics.corr_long(df.select("a")).count() == 0
 
 
+def test_corr_gram_equals_sql_on_wide_frame(spark):
+    rng = np.random.default_rng(7)
+    n, k = 3000, 12
+    base = rng.normal(size=(n, 1))
+    x = base * rng.normal(size=(1, k)) + rng.normal(size=(n, k)) * 3 + 1e6  # large offset
+    x[rng.random((n, k)) < 0.1] = np.nan
+    x[:, 5] = 0.1                                                            # constant column
+    x[:1500, 7] = np.nan                                                     # half missing
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"x{i} double" for i in range(k))).repartition(5)
+    a = {(r.col_a, r.col_b): r.corr for r in statistics.corr_long(df, method="sql").collect()}
+    b = {(r.col_a, r.col_b): r.corr for r in statistics.corr_long(df, method="gram").collect()}
+    assert a.keys() == b.keys() and len(a) == k * k
+    for key in a:
+        if a[key] is None:
+            assert b[key] is None, key
+        else:
+            assert b[key] == pytest.approx(a[key], abs=1e-9), key
+    assert a[("x5", "x0")] is None and a[("x0", "x0")] == pytest.approx(1.0)
+
+
 def test_describe_long(spark):
     x = [1.0, 2.0, 4.0, 8.0, None]
     df = spark.createDataFrame([(v, 7, 1.0) for v in x], "amount double, loan_no int, default_flag double")
