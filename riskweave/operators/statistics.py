@@ -25,8 +25,9 @@ from riskweave.functions.quantiles import exact_quantiles
 from riskweave.schema import CORR_EXCLUDE, STANDARD_COLUMNS, SUMMARY_EXCLUDE, is_numeric
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Widest frame for the built-in aggregate form (10 pairs); wider ones use the Gramian
-CORR_SQL_MAX_COLUMNS = 4
+# Widest frame whose guarded aggregate (7 functions per pair) still compiles to one
+# code-generated stage; wider ones use the Gramian
+CORR_SQL_MAX_COLUMNS = 3
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:

@@ -395,3 +395,11 @@ def q_corr_wide(spark, sf_dir):
 
 
 QUERIES["corr_wide"] = q_corr_wide
+
+
+def q_corr_unlayered(spark, sf_dir):
+    """The heatmap when no macro layer is chosen: the loan panel's own numeric columns."""
+    return round6(statistics.corr_long(workspace(spark, sf_dir).loans), ["corr"])
+
+
+QUERIES["corr_unlayered"] = q_corr_unlayered
