@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.schema import KDE_CUT, KDE_GRID_POINTS
-from riskweave.session import materialize
 
 MAX_CLASSES = 1_000
 
@@ -34,10 +33,12 @@ def kde(df: DataFrame, value: str = "tenure_days", by: str = "default_flag",
                F.min("x").alias("mn"), F.max("x").alias("mx"))
           .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
           .where(F.col("h").isNotNull() & (F.col("h") > 0)))
-    # The grid is broadcast: check its bound (classes x grid points) first.
-    st = materialize(st)
-    if st.count() > MAX_CLASSES:
+    # The grid is broadcast: its bound (classes x grid points) is checked on
+    # the collected class statistics (one row per class).
+    rows = st.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
         raise ValueError(f"kde: more than {MAX_CLASSES} classes in {by}")
+    st = df.sparkSession.createDataFrame(rows, st.schema)
     grid = (st.select(by, "n", "h", "mn", "mx",
                       F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("grid_index"))
             .withColumn("gx", (F.col("mn") - cut * F.col("h"))

@@ -17,6 +17,7 @@ import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskweave.operators.layering import layer_macro
 from riskweave.session import checkpoint_dir, materialize, scratch_path
@@ -24,6 +25,9 @@ from riskweave.sources.sinks import write_table
 from riskweave.sources import fixtures
 from riskweave.sources.macro import build_country_mapping, build_macro_panel
 
+# Partition column of the written feature table.
+FEATURE_PARTITIONS = ("year",)
+
 _LOCK = threading.Lock()
 _CACHE: dict[tuple[int, str], "Workspace"] = {}
 
@@ -71,13 +75,19 @@ class Workspace:
         return layer_macro(self.loans, self.macro, macro_rows=self.macro_rows)
 
     @cached_property
-    def feature_table(self) -> str:
+    def feature_table(self) -> tuple[str, list[str]]:
         """The layered panel written once to the shared folder (the feature
-        table every dashboard, feature and model query starts from)."""
-        return write_table(self.layered_plan(), scratch_path(self.spark, "ml_features"))
+        table every dashboard, feature and model query starts from),
+        partitioned by ``year`` so year filters prune whole directories."""
+        plan = self.layered_plan()
+        path = write_table(plan, scratch_path(self.spark, "ml_features"), partition_by=FEATURE_PARTITIONS)
+        return path, plan.columns
 
     def layered(self) -> DataFrame:
-        return self.spark.read.parquet(self.feature_table)
+        path, columns = self.feature_table
+        df = self.spark.read.parquet(path)
+        return df.select(*[F.col(c).cast("int").alias(c) if c in FEATURE_PARTITIONS else F.col(c)
+                           for c in columns])
 
     @cached_property
     def prepared(self):

@@ -8,9 +8,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_filter_pushed_to_feature_table_scan(spark, small_sf):
+def test_year_filter_prunes_feature_table_partitions(spark, small_sf):
     p = plan(E.queries()["year_rate_by_type"](spark, small_sf))
-    assert "PushedFilters: [IsNotNull(year), EqualTo(year,1997)" in p or "EqualTo(year,1997)" in p
+    part = p.split("PartitionFilters: ")[1].split("]")[0]
+    assert "(year" in part and "= 1997)" in part
+
+
+def test_type_filter_pushed_to_feature_table_scan(spark, small_sf):
+    p = plan(E.queries()["sme_monthly_series"](spark, small_sf))
+    assert "EqualTo(borrower_type,SME)" in p.split("PushedFilters: ")[1].split("\n")[0]
 
 
 def test_monthly_series_reads_three_columns(spark, small_sf):
