@@ -53,6 +53,14 @@ def test_every_oracle_key_is_registered():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+def close(a, b):
+    """Equal, or doubles apart by summation order only (one unit of the 6th
+    decimal after rounding, or 1e-9 relative)."""
+    if isinstance(a, float) and isinstance(b, float):
+        return abs(a - b) <= max(1.5e-6, 1e-9 * max(abs(a), abs(b)))
+    return a == b
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(name, spark, small_sf, duck):
     df = E.queries()[name](spark, small_sf)
@@ -60,7 +68,11 @@ def test_query_matches_oracle(name, spark, small_sf, duck):
     res = duck.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
-    assert got == canon(ocols, res.fetchall())
+    want = canon(ocols, res.fetchall())
+    if got != want:  # double aggregates depend on summation order in the last bits
+        assert len(got) == len(want)
+        bad = [(g, w) for g, w in zip(got, want) if not all(close(a, b) for a, b in zip(g, w))]
+        assert not bad, bad[:3]
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
