@@ -42,23 +42,23 @@ class Workspace:
     def table(self, name: str) -> DataFrame:
         return fixtures.read_table(self.spark, self.sf_dir, name)
 
-    @property
+    @cached_property
     def loans(self) -> DataFrame:
         return fixtures.loan_panel(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def loan_csv(self) -> DataFrame:
         return fixtures.loan_csv(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def economies(self) -> DataFrame:
         return fixtures.economies(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def macro_wide(self) -> DataFrame:
         return fixtures.macro_wide(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def country_mapping(self) -> DataFrame:
         return build_country_mapping(self.economies)
 
