@@ -37,6 +37,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Boosting runs hundreds of small jobs; keep the driver's status history short.
+        .config("spark.ui.retainedJobs", "100")
+        .config("spark.ui.retainedStages", "100")
+        .config("spark.sql.ui.retainedExecutions", "50")
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
