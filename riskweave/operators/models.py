@@ -139,6 +139,8 @@ def prepare(df: DataFrame, key: str = "loan_no", include_year: str | bool = "aut
     spec = spec or feature_spec(rows, include_year)
     train_src = rows.where(~F.col(IS_TEST))
     prep = fit_prep(train_src, spec)
+    if not prep.feature_names:
+        raise ValueError("no feature columns: numeric or text columns besides ids and the target are needed")
     carried = tuple(c for c in passthrough if c in df.columns and c != key)
     train = prep.transform(train_src, [key, LABEL])
     test = prep.transform(rows.where(F.col(IS_TEST)), [key, *carried, LABEL])

@@ -74,3 +74,9 @@ def test_dispatcher_shares_split(trained):
     keys = [sorted(r.loan_no for r in m.score().select("loan_no").collect()) for m in ms.values()]
     assert keys[0] == keys[1] and len(keys[0]) > 0
     assert set(models.MODELS) == {"XGBoost", "Random Forest"}
+
+
+def test_no_feature_columns(spark):
+    df = spark.createDataFrame([(i, float(i % 2)) for i in range(20)], "loan_no bigint, default_flag double")
+    with pytest.raises(ValueError, match="no feature columns"):
+        models.train_and_evaluate(df, "XGBoost", max_iter=2)
