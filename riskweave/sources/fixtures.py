@@ -2,13 +2,13 @@
 
 The original application ships no data, so the loan panel, the wide
 indicator table and the economies table are derived deterministically
-from the TPC-H style tables. Everything is lazy DataFrame code; the only
-actions are row-count checks of tiny dimension tables before a broadcast.
+from the TPC-H style tables. Everything is lazy DataFrame code without any action.
 
 Scale notes:
 * ``loan_panel`` joins orders with customer on the customer key (a
-  shuffle join, AQE splits a hot customer) and broadcasts ``nation``
-  behind a row-count check.
+  shuffle join at scale, AQE splits a hot customer); dimension tables
+  (nation, region) are left to the optimizer's size-based broadcast
+  choice, which reads file statistics and runs no job.
 * ``macro_wide`` pre-aggregates lineitem to (supplier, ship year) before
   any join, so the joins see suppliers x years rows, and derives the
   regional rows from the national totals instead of scanning lineitem a
@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.session import broadcast_if_small
 
 # FIXED VALUES of the derived fixtures (FIXTURES.md): null rules, segment
 # mapping, tenure by priority, default signal, and the omitted macro cell.
@@ -54,7 +53,7 @@ def loan_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = (orders
             .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-            .join(broadcast_if_small(nation), F.col("c_nationkey") == F.col("n_nationkey")))
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
 
     key = F.col("o_orderkey")
     prio = F.substring("o_orderpriority", 1, 1)
@@ -145,14 +144,14 @@ def macro_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .groupBy("l_suppkey", "y").agg(F.sum("p").alias("p")))
     per_nation = (per_supplier
                   .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-                  .join(broadcast_if_small(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+                  .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
                   .groupBy("n_nationkey", "n_name", "n_regionkey", "y")
                   .agg(F.sum("p").alias("p")))
     nation_rows = per_nation.select(
         F.col("n_name").alias("economy"),
         F.concat(F.lit("Country "), F.col("n_nationkey").cast("string")).alias("country"),
         "y", "p")
-    region_rows = (per_nation.join(broadcast_if_small(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    region_rows = (per_nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
                    .select(F.col("r_name").alias("economy"),
                            F.concat(F.lit("Region "), F.col("r_regionkey").cast("string")).alias("country"),
                            "y", "p"))

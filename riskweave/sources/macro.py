@@ -4,7 +4,8 @@ The wide indicator table (one row per economy, one column per year) is
 turned into the long panel: strip the year prefix from column names,
 keep sovereign economies only (left semi join with the economies table),
 unpivot, tag, drop missing measures. All steps are narrow except the
-semi join, whose economies side is broadcast behind a size check.
+semi join, whose economies side the optimizer broadcasts by its size
+statistics (a few hundred rows) or AQE converts at run time.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.schema import ANNUAL, FALLBACK_COUNTRY_MAPPING, GDP_INDICATOR, MACRO_SCHEMA, YEAR_PREFIX
-from riskweave.session import broadcast_if_small
 
 # Renames of the identifier columns of the wide table and the economies table.
 WIDE_RENAMES = {"economy": "country_code", "Country": "country_name", "country": "country_name"}
@@ -36,7 +36,7 @@ def build_macro_panel(wide: DataFrame, economies: DataFrame,
     renamed = strip_year_prefix(wide)
     renamed = renamed.withColumnsRenamed({k: v for k, v in WIDE_RENAMES.items() if k in renamed.columns})
     ids = ["country_code", "country_name"]
-    sovereign = renamed.join(broadcast_if_small(sovereign_ids(economies)), "country_code", "left_semi")
+    sovereign = renamed.join(sovereign_ids(economies), "country_code", "left_semi")
     year_cols = [c for c in sovereign.columns if c not in ids]
     long = sovereign.unpivot(ids, year_cols, "year", value_name)
     return (long
