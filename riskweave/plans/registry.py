@@ -42,10 +42,7 @@ def q_loan_panel(spark, sf_dir):
 
 
 def q_loan_csv_ingest(spark, sf_dir):
-    ws = workspace(spark, sf_dir)
-    path = scratch_path(spark, "loan_csv")
-    ws.loan_csv.write.mode("overwrite").option("header", True).csv(path)
-    return read_loans(spark, path, fmt="csv")
+    return read_loans(spark, workspace(spark, sf_dir).loan_csv_path, fmt="csv")
 
 
 def q_parse_dates(spark, sf_dir):

@@ -50,6 +50,13 @@ class Workspace:
     def loan_csv(self) -> DataFrame:
         return fixtures.loan_csv(self.spark, self.sf_dir)
 
+    @cached_property
+    def loan_csv_path(self) -> str:
+        """The raw loan text written once as a header CSV: the uploaded file."""
+        path = scratch_path(self.spark, "loan_csv")
+        self.loan_csv.write.mode("overwrite").option("header", True).csv(path)
+        return path
+
     @cached_property
     def economies(self) -> DataFrame:
         return fixtures.economies(self.spark, self.sf_dir)
