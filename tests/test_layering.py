@@ -70,3 +70,23 @@ def test_plan_is_broadcast_hash_join(frames):
     loans, macro = frames
     plan = layer_macro(loans, macro)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+
+
+def test_shuffle_path_with_hot_key_and_null_keys(spark):
+    # one (country, year) holds a third of the loans, a tenth has no key at all
+    n = 3000
+    loans = spark.range(n).select(
+        F.col("id").alias("loan_no"),
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).when(F.col("id") % 10 == 1, F.lit(None))
+         .otherwise(F.concat(F.lit("C"), (F.col("id") % 50).cast("string"))).alias("country_code"),
+        F.when(F.col("id") % 3 == 0, F.lit(2010)).otherwise((2000 + F.col("id") % 12).cast("int")).alias("year"))
+    codes = ["HOT"] + [f"C{i}" for i in range(50)]
+    macro = spark.createDataFrame([(c, f"name {c}", str(y), float(len(c) * y), "Annual", "GDP")
+                                   for c in codes for y in range(2000, 2012)], MACRO_DDL)
+    a = layer_macro(loans, macro, max_broadcast_rows=0)
+    b = layer_macro(loans, macro)
+    assert a.count() == n
+    assert sorted(a.collect()) == sorted(b.collect())
+    hot = a.where(F.col("country_code") == "HOT").select("gdp_usd").distinct().collect()
+    assert [r.gdp_usd for r in hot] == [3.0 * 2010]
+    assert a.where(F.col("country_code").isNull() & F.col("gdp_usd").isNotNull()).count() == 0
