@@ -76,9 +76,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     parts = []
     if small:
         rows = base if not big else _semi(base, by, key_fields, small)
-        parts.append(rows.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.percentile(_V, F.lit(p)).alias(f"q{i}") for i, p in enumerate(probs)]))
+        # One percentile call for all probabilities: one value map per group.
+        agg = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                                    F.percentile(_V, F.array(*[F.lit(float(p)) for p in probs])).alias("__q"))
+        parts.append(agg.select(*by, "n", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))]))
     if big:
         parts.append(_bracketed(_semi(base, by, key_fields, big) if small else base,
                                 by, key_fields, probs, accuracy))
