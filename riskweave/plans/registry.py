@@ -19,7 +19,7 @@ from riskweave.plans.workspace import workspace
 from riskweave.session import scratch_path
 from riskweave.sources import sinks
 from riskweave.sources.loans import read_loans, tag_loans
-from riskweave.sources.macro import build_macro_panel, country_lookup
+from riskweave.sources.macro import build_macro_panel, country_lookup, resolve_country_code
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,8 +54,7 @@ def q_parse_dates(spark, sf_dir):
 
 def q_tagged_loans(spark, sf_dir):
     ws = workspace(spark, sf_dir)
-    lookup = country_lookup(spark, ws.country_mapping)
-    row = lookup.where(F.col("country_name") == TAG_COUNTRY).select("country_code").first()
+    row = resolve_country_code(country_lookup(spark, ws.country_mapping), TAG_COUNTRY).first()
     return tag_loans(ws.loans, TAG_SESSION, row["country_code"] if row else None)
 
 

@@ -1,14 +1,12 @@
-"""Session helpers: building a session, the shared checkpoint folder,
-reliable materialisation and size-checked broadcasts."""
+"""Session helpers: building a session, the shared checkpoint folder and
+reliable materialisation."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Rows above which a side is never broadcast; joins fall back to a shuffle.
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
@@ -82,31 +80,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                       count: int | None = None) -> DataFrame:
-    """Broadcast hint only behind a row-count check.
-
-    Pass ``count`` when it is already known (e.g. of a materialised
-    table); otherwise it is computed. Above the bound the frame is
-    returned unhinted and Spark plans a shuffle join.
-    """
-    n = df.count() if count is None else count
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local-only helpers (tests)."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
