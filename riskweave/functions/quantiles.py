@@ -50,7 +50,7 @@ def _bracket_probs(probs: Sequence[float], margin: float) -> list[float]:
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
-                    small_group: int = SMALL_GROUP) -> DataFrame:
+                    small_group: int = SMALL_GROUP, counts: Sequence | None = None) -> DataFrame:
     """Columns ``*by, n, q0..q{P-1}``: exact quantiles of non-null ``value``.
 
     ``by`` must have few distinct values (at most ``MAX_GROUPS``); groups
@@ -58,6 +58,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     per group; groups of at most ``small_group`` rows get Spark's exact
     ``percentile`` (one aggregate, whose per-group value map is bounded by
     the group size), larger groups the bracketed path described above.
+    ``counts`` (rows with the ``by`` columns and ``n``, the non-null count
+    per group) skips the counting pass when the caller already has them.
     """
     by = list(by)
     probs = list(probs)
@@ -67,7 +69,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         by = ["__q_g"]
     base = df.select(*by, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
 
-    counts = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
+    if counts is None:
+        counts = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
+    counts = [r for r in counts if r["n"]]
     if len(counts) > MAX_GROUPS:
         raise ValueError(f"exact_quantiles: {len(counts)} groups exceed {MAX_GROUPS}")
     key_fields = [f for f in base.schema.fields if f.name in by]

@@ -41,30 +41,35 @@ def macro_columns(df: DataFrame) -> list[str]:
 
 
 def describe_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, std (sample), min, 25/50/75% (linear), max per numeric column."""
+    """count, mean, std (sample), min, 25/50/75% (linear), max per numeric column.
+
+    Two passes over the data: one group-by on the (column, value) pairs for
+    the moments and counts (collected: one row per column), which also
+    routes the exact quartiles; then the quartile pass itself.
+    """
     cols = list(columns) if columns is not None else numeric_columns(df, SUMMARY_EXCLUDE)
     spark = df.sparkSession
+    schema = ("variable string, count bigint, mean double, std double, "
+              "min double, p25 double, p50 double, p75 double, max double")
     if not cols:
-        return spark.createDataFrame([], "variable string, count bigint, mean double, std double, "
-                                         "min double, p25 double, p50 double, p75 double, max double")
-    aggs = []
-    for c in cols:
-        v = F.col(c).cast("double")
-        aggs += [F.count(v).alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"),
-                 F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"),
-                 F.max(v).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, `{c}__max`" for c in cols)
-    moments = wide.selectExpr(f"stack({len(cols)}, {stack}) AS (variable, count, mean, std, min, max)")
-
+        return spark.createDataFrame([], schema)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])).alias("kv")) \
         .select("kv.variable", "kv.value")
-    q = exact_quantiles(long, "value", QUARTILES, by=["variable"]) \
-        .select("variable", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
-    return (moments.join(F.broadcast(q), "variable", "left")
-            .select("variable", F.col("count").cast("bigint").alias("count"), "mean", "std", "min",
-                    "p25", "p50", "p75", "max"))
+    moments = (long.groupBy("variable")
+               .agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                    F.min("value").alias("min"), F.max("value").alias("max"))
+               .collect())
+    q = {r["variable"]: r for r in
+         exact_quantiles(long, "value", QUARTILES, by=["variable"], counts=moments).collect()}
+    rows = []
+    for c in cols:
+        m = next((r for r in moments if r["variable"] == c), None)
+        qr = q.get(c)
+        rows.append((c, m["n"] if m else 0, m["mean"] if m else None, m["std"] if m else None,
+                     m["min"] if m else None, *(qr[f"q{i}"] if qr else None for i in range(3)),
+                     m["max"] if m else None))
+    return spark.createDataFrame(rows, schema)
 
 
 def guarded_corr(x: str, y: str):
