@@ -23,6 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,10 +153,14 @@ class FittedPrep:
 def fit_prep(train: DataFrame, spec: FeatureSpec, max_categories: int = MAX_CATEGORIES) -> FittedPrep:
     """Fit medians, means/population deviations and vocabularies on ``train``.
 
-    Three aggregates: exact medians of all numeric columns at once; means
-    and population deviations of the imputed columns; distinct categories
-    of the filled columns (count-guarded before any collect). A column with
-    no value at all in training is dropped, as the original imputer does.
+    Numeric branch: exact medians of all numeric columns at once, then one
+    aggregate of the means and population deviations of the imputed
+    columns (computed on the imputed values themselves, the same sums any
+    other engine forms). A column with no value in training is dropped, as
+    the original imputer does.
+
+    Categorical branch: distinct (column, category) pairs, persisted once,
+    counted per column (guard) before the vocabulary is collected.
     """
     medians: dict[str, float] = {}
     if spec.numeric:
@@ -178,14 +183,19 @@ def fit_prep(train: DataFrame, spec: FeatureSpec, max_categories: int = MAX_CATE
     if spec.categorical:
         pairs = (train.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("variable"), _filled(c).alias("category")) for c in spec.categorical]))
-            .alias("kv")).select("kv.variable", "kv.category").distinct())
-        widths = {r["variable"]: r["n"] for r in pairs.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
-        wide = [c for c, n in widths.items() if n > max_categories]
-        if wide:
-            raise ValueError(f"categorical columns over {max_categories} categories: {wide}")
-        vocab = {c: [] for c in spec.categorical}
-        for r in pairs.orderBy("variable", "category").collect():
-            vocab[r["variable"]].append(r["category"])
+            .alias("kv")).select("kv.variable", "kv.category").distinct()
+            .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            widths = {r["variable"]: r["n"] for r in
+                      pairs.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
+            wide = [c for c, n in widths.items() if n > max_categories]
+            if wide:
+                raise ValueError(f"categorical columns over {max_categories} categories: {wide}")
+            vocab = {c: [] for c in spec.categorical}
+            for r in pairs.orderBy("variable", "category").collect():
+                vocab[r["variable"]].append(r["category"])
+        finally:
+            pairs.unpersist()
     return FittedPrep(spec, medians, means, scales, vocab)
 
 
