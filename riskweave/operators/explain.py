@@ -23,6 +23,15 @@ where e_s(i) is the coefficient of t^s in prod_{j != i} (o_j t + z_j).
 The full product is built once per leaf and the factor of i is divided
 out (synthetic division, stable because 0 < z <= 1).
 
+Two exact shortcuts keep the kernel cheap:
+* attributions do not change when all leaf values move by one constant,
+  so leaves holding the most common value (pure leaves of a forest) are
+  shifted to zero and dropped;
+* a row enters a leaf's formula only through its bitmask of followed
+  slots, so for trees with few distinct features per path all 2^K
+  patterns are evaluated once per tree, and each row costs a bitmask, a
+  gather and a matrix product. Larger trees use the per-row kernel.
+
 Output scale: boosted trees are explained on the log-odds (Spark's
 probability is 1 / (1 + exp(-2 F)), so log-odds = 2 F), random forests on
 the class-1 probability. ``base_value`` plus the attributions of a row
