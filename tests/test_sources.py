@@ -147,3 +147,24 @@ def test_read_loans_parquet_conforms_types(spark):
             types["year"]) == ("string", "date", "bigint", "double", "int", "int")
     r = got.first()
     assert r.loan_date == dt.date(2020, 3, 4) and r.year == 2020 and r.amount is None
+
+
+def test_single_file_export_and_partitioned_table(spark):
+    import os
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    df = spark.range(50).select(F.col("id").alias("loan_no"), (F.col("id") % 3 + 2000).cast("int").alias("year"),
+                                (F.col("id") * 1.5).alias("amount")).repartition(4)
+    out = export_csv(df, f"{d}/one", single_file=True)
+    assert len([f for f in os.listdir(out) if f.endswith(".csv")]) == 1
+    assert read_export(spark, out, df.schema).count() == 50
+    write_table(df, f"{d}/t", partition_by=["year"])
+    assert sorted(x for x in os.listdir(f"{d}/t") if x.startswith("year=")) == ["year=2000", "year=2001", "year=2002"]
+    back = spark.read.parquet(f"{d}/t")
+    assert dict(back.dtypes)["year"] == "int" and back.where("year = 2001").count() == 17
+
+
+def test_workspace_feature_table_keeps_column_order(spark):
+    from riskweave.plans.workspace import workspace
+    ws = workspace(spark, "/root/testdata/sf0.001")
+    assert ws.layered().columns == ws.layered_plan().columns
+    assert dict(ws.layered().dtypes)["year"] == "int"
