@@ -286,6 +286,23 @@ def ensemble_paths(model, spark) -> tuple[list[TreePaths], str]:
     return cached
 
 
+_BROADCASTS: dict[str, object] = {}
+
+
+def _paths_broadcast(model, spark):
+    """One broadcast of a model's paths, reused by every attribution query;
+    the oldest is unpersisted (not destroyed: Spark re-sends it if a pending
+    plan still needs it) when more than a few models are kept."""
+    bc = _BROADCASTS.get(model.uid)
+    if bc is None:
+        paths, _ = ensemble_paths(model, spark)
+        bc = spark.sparkContext.broadcast(paths)
+        if len(_BROADCASTS) >= _PATHS_CACHE_SIZE:
+            _BROADCASTS.pop(next(iter(_BROADCASTS))).unpersist()
+        _BROADCASTS[model.uid] = bc
+    return bc
+
+
 def _build_paths(model, spark) -> tuple[list[TreePaths], str]:
     if model.totalNumNodes > MAX_NODES:
         raise ValueError(f"ensemble of {model.totalNumNodes} nodes is too large to explain (max {MAX_NODES})")
@@ -320,8 +337,7 @@ def shap_values(model, prepared: DataFrame, feature_names: Sequence[str], key: s
                 features: str = "features", partitions: int | None = None) -> DataFrame:
     """(key, feature, phi) for every row of ``prepared`` and every feature."""
     spark = prepared.sparkSession
-    paths, _ = ensemble_paths(model, spark)
-    bc = spark.sparkContext.broadcast(paths)
+    bc = _paths_broadcast(model, spark)
     names = np.array(list(feature_names), dtype=object)
     nf = len(names)
     key_type = prepared.schema[key].dataType.simpleString()
