@@ -286,20 +286,21 @@ def ensemble_paths(model, spark) -> tuple[list[TreePaths], str]:
     return cached
 
 
-_BROADCASTS: dict[str, object] = {}
+_BROADCASTS: dict[tuple[str, int], object] = {}
 
 
 def _paths_broadcast(model, spark):
     """One broadcast of a model's paths, reused by every attribution query;
     the oldest is unpersisted (not destroyed: Spark re-sends it if a pending
     plan still needs it) when more than a few models are kept."""
-    bc = _BROADCASTS.get(model.uid)
+    key = (model.uid, id(spark.sparkContext))
+    bc = _BROADCASTS.get(key)
     if bc is None:
         paths, _ = ensemble_paths(model, spark)
         bc = spark.sparkContext.broadcast(paths)
         if len(_BROADCASTS) >= _PATHS_CACHE_SIZE:
             _BROADCASTS.pop(next(iter(_BROADCASTS))).unpersist()
-        _BROADCASTS[model.uid] = bc
+        _BROADCASTS[key] = bc
     return bc
 
 
