@@ -83,7 +83,12 @@ def guarded_corr(x: str, y: str):
     both = cx.isNotNull() & cy.isNotNull()
     bx, by = F.when(both, cx), F.when(both, cy)
     varies = (F.min(bx) < F.max(bx)) & (F.min(by) < F.max(by))
-    return F.when(varies, F.try_divide(F.covar_samp(cx, cy), F.stddev_samp(bx) * F.stddev_samp(by)))
+    return _clamp(F.when(varies, F.try_divide(F.covar_samp(cx, cy), F.stddev_samp(bx) * F.stddev_samp(by))))
+
+
+def _clamp(r):
+    """A correlation lies in [-1, 1]; rounding can step just outside. NULL stays NULL."""
+    return F.when(r > 1.0, F.lit(1.0)).when(r < -1.0, F.lit(-1.0)).otherwise(r)
 
 
 def corr_long(df: DataFrame, columns: Sequence[str] | None = None,
@@ -170,7 +175,7 @@ def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
     va = F.col("saa") - F.col("sa") * F.col("sa") / n
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
     defined = (n >= 2) & (F.col("min_a") < F.col("max_a")) & (F.col("min_b") < F.col("max_b")) & (va > 0) & (vb > 0)
-    r = sums.select("a", "b", F.when(defined, cov / F.sqrt(va * vb)).alias("corr"))
+    r = sums.select("a", "b", _clamp(F.when(defined, cov / F.sqrt(va * vb))).alias("corr"))
     # Every pair appears, also pairs with no shared row (bounded: k^2 rows).
     names = [(i, c) for i, c in enumerate(cols)]
     grid = spark.createDataFrame([(i, j, ci, cj) for i, ci in names for j, cj in names if i <= j],
