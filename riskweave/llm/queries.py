@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import exact_dedup as dedup
-from riskweave.llm import langid
+from riskweave.llm import langid, packing
 from riskweave.llm.frames import table
 
 
@@ -18,6 +18,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; the same on all executors."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -35,6 +45,7 @@ FROM low WINDOW same AS (PARTITION BY norm)
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
