@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import exact_dedup as dedup
-from riskweave.llm import langid, packing
+from riskweave.llm import langid, packing, pii, quality
 from riskweave.llm.frames import table
 
 
@@ -18,6 +18,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train_on(docs))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; the same on all executors."""
     import public_tokenizers
@@ -33,6 +38,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.fit_on(docs, table(spark, sf_dir, "labels"), langid.remainder(5) != 0)
+    return quality.score(docs, machine).select(
+        "doc_id", (langid.remainder(5) == 0).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 OP7_SQL = """
 WITH low AS (
     SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
@@ -45,8 +58,10 @@ FROM low WINDOW same AS (PARTITION BY norm)
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE = {
