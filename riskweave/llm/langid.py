@@ -151,8 +151,12 @@ def training_sample(docs: DataFrame, learn: Column, per_language: int = DOCS_PER
     lang, in the order of a hash of doc_id; the bound is on training only."""
     rows = with_fallback(docs, doc_id="bigint", text="string", lang="string").where(
         learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    # A hash threshold per language leaves about three times the bound, whatever the number of rows.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = rows.select("lang", "doc_id").join(F.broadcast(sizes), "lang").where(draw * F.col("n") <= 3 * per_language + 50)
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
+    chosen = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
     picked = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     return sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").limit(per_language * 64).collect())
 

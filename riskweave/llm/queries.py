@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import exact_dedup as dedup
-from riskweave.llm import langid, packing, pii, quality
+from riskweave.llm import langid, ngram_join, packing, pii, quality
 from riskweave.llm.frames import table
 
 
@@ -33,6 +33,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_ngram_join": op5_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_quality": op10_quality,
 }
