@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.llm import chat
 from riskweave.llm import exact_dedup as dedup
-from riskweave.llm import langid, ngram_join, packing, pii, quality
+from riskweave.llm import langid, ngram_join, packing, pii, quality, urlfilter
 from riskweave.llm.frames import table
 
 
@@ -23,6 +24,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train_on(docs))
 
 
+# Rules of the query: (verdict, host, path).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.Filter(URL_RULES))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; the same on all executors."""
     import public_tokenizers
@@ -37,6 +47,13 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest_conversations(chat.format_turns(turns))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -60,15 +77,77 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM low WINDOW same AS (PARTITION BY norm)
 """
 
+def _terms(terms: tuple) -> str:
+    """Weighted sum over the distinct terms between boundaries, as SQL."""
+    bounded = r"(^|[^\p{L}\p{N}])%s([^\p{L}\p{N}]|$)"
+    return " + ".join(f"regexp_matches(low, '{bounded % t}')::INT" for t in terms)
+
+
+OP3_SQL = f"""
+WITH rest AS (
+    SELECT page_id, lower(coalesce(url, '')) AS low,
+           CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+    FROM pages
+), cut AS (
+    SELECT page_id, low, regexp_extract(rest, '^[^/?#]*') AS raw_host,
+           regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+    FROM rest
+), named AS (
+    SELECT page_id, low, path, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           {_terms(urlfilter.STRICT_TERMS)} AS strict_hits, {_terms(urlfilter.SOFT_TERMS)} AS soft_hits
+    FROM cut
+), rules(verdict, rule_host, rule_path) AS (
+    VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}
+), fit AS (
+    SELECT page_id, host, path, strict_hits, soft_hits, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+           arg_max(verdict, length(rule_host || rule_path)) AS verdict
+    FROM named LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY ALL
+)
+SELECT page_id, host, path, rule, strict_hits::INT AS strict_hits, soft_hits::INT AS soft_hits,
+       coalesce(verdict, CASE WHEN strict_hits >= 1 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict
+FROM fit
+"""
+
+OP6_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM rows
+), marked AS (
+    SELECT *, CASE role WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN ' </s>'
+                        WHEN 'system' THEN chr(10) || '<</SYS>>' || chr(10) ELSE ' [/ROLE]' END AS closing,
+           CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18
+                     ELSE 16 + length(regexp_replace(role, '(\\|\[/?INST\]|\[/?ROLE|</?s>|<</?SYS>>|\])', '\\\1', 'g')) END AS marks
+    FROM turns
+), sized AS (
+    SELECT *, marks + CASE WHEN contains(text || left(closing, length(closing) - 1), closing) OR regexp_matches(text, '(?s)\\.')
+                           THEN length(regexp_replace(text, '(\\|\[/?INST\]|\[/?ROLE|</?s>|<</?SYS>>|\])', '\\\1', 'g'))
+                           ELSE length(text) END AS chars
+    FROM marked
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+""".replace("\\", "\\")
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
+    "op3_url_filter": op3_url_filter,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_join": op5_ngram_join,
+    "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_quality": op10_quality,
 }
 
 ORACLE = {
+    "op3_url_filter": OP3_SQL,
+    "op6_chat_format": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
