@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave.llm.frames import batch, with_fallback, written
 
@@ -188,6 +189,15 @@ def exact_dedup(docs: DataFrame, in_snapshot=None) -> DataFrame:
                     (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept")))
 
 
+def with_digest(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the digest of its normalised text as column ``name``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column(name, pa.array([hashlib.sha256(t).digest() for t in normalised(b.column("text"))], pa.binary()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
 def check_bytes(docs: DataFrame, repeated: DataFrame) -> None:
     """Compare the texts of each group in ``repeated`` (column digest) byte
     by byte; raise if two texts of one digest differ. Copies are spread over

@@ -74,3 +74,31 @@ def text_pieces(texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
             i, size = k + 1, 0
     if i < len(texts):
         yield i, len(texts)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def keep_rows(tagged: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """The rows of ``tagged`` whose (doc_id, ``key``) is in ``kept`` (doc_id,
+    key), without ``key``; of rows that repeat both one stays. Rows with a
+    null key stay all. Only hits are compared, so that a hot key is just
+    another key on the other side of the join."""
+    columns = [c for c in tagged.columns if c != key]
+    wanted = kept.groupBy("doc_id", "key").agg((F.count("*") > 1).alias("many"))
+    wanted = wanted.select(F.col("doc_id").alias("kept_doc"), F.col("key").alias("kept_key"), F.col("many").alias("kept_many"))
+    taken = set(tagged.columns)
+    for c in list(wanted.columns):
+        while c in taken:
+            wanted = wanted.withColumnRenamed(c, c + "_")
+            c += "_"
+    doc, k, many = wanted.columns
+    found = tagged.join(wanted, (tagged[key] == wanted[k]) & tagged["doc_id"].eqNullSafe(wanted[doc]))
+    once = found.where(~F.col(many)).select(*columns)
+    first = found.where(F.col(many)).dropDuplicates([key, "doc_id"]).select(*columns)
+    return once.unionByName(first).unionByName(tagged.where(tagged[key].isNull()).select(*columns))

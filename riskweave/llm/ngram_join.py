@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave.llm.components import components
 from riskweave.llm.frames import batch, spans, utf8, with_fallback, written
@@ -268,7 +269,7 @@ def verified(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of every row of ``docs``.
+    """doc_id, class_id, n_links, n_copies, set_id, first of every row of ``docs``.
 
     class_id: the smallest doc_id of the component of linked texts that the
     row belongs to; n_links: the number of other different texts (sets of
@@ -279,8 +280,10 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     words is one shingle. Null, empty and wordless texts have no shingle:
     they link to nothing, n_copies is 1 and class_id their own doc_id.
     Repeated rows are copies of each other. A null doc_id is larger than any
-    (class_id is null only if all of the component's are). An empty table
-    gives an empty result; other columns are not read.
+    (class_id is null only if all of the component's are). set_id names the
+    set of shingles (null: none); first marks the row that stands for its
+    component, or the equal rows that do. An empty table gives an empty
+    result; other columns are not read.
     """
     rows = written(sketch(docs), "sketches")
     filled = rows.where("set_id is not null")
@@ -297,10 +300,26 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     counts = links.groupBy("set_id").agg(F.sum("links").alias("n_links"))
     classes = (sets.select("set_id", "doc_id", "n_copies").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
                .join(counts, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(least, "root").select("set_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    alone = rows.where("set_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
-    return filled.select("set_id", "doc_id").join(classes, "set_id").select("doc_id", "class_id", "n_links", "n_copies").unionByName(alone)
+    least = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")).alias("least"))
+    classes = classes.join(least, "root").select(
+        "set_id", F.col("least.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies",
+        (F.col("least.set_id") == F.col("set_id")).alias("leads"))
+    columns = ["doc_id", "class_id", "n_links", "n_copies", "set_id", "first"]
+    alone = rows.where("set_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"),
+                                                F.lit(1).cast("bigint").alias("n_copies"), "set_id", F.lit(True).alias("first"))
+    found = filled.select("set_id", "doc_id").join(classes, "set_id")
+    return found.withColumn("first", F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(columns).unionByName(alone)
+
+
+def with_set_id(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the set of shingles of its text as column ``name``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column("text"))
+            ids = [x for i, j in spans(offsets) for x in set_ids(*shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))]
+            yield b.append_column(name, pa.array(ids, pa.binary()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
