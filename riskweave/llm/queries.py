@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat
+from riskweave.llm import ann, chat
 from riskweave.llm import exact_dedup as dedup
 from riskweave.llm import langid, ngram_join, packing, pii, quality, urlfilter
 from riskweave.llm.frames import table
@@ -59,6 +59,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality.fit_on(docs, table(spark, sf_dir, "labels"), langid.remainder(5) != 0)
@@ -143,6 +147,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
 }
 
