@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import ann, chat
 from riskweave.llm import exact_dedup as dedup
-from riskweave.llm import langid, ngram_join, packing, pii, quality, urlfilter
+from riskweave.llm import langid, ngram_join, packing, piece_codec, pii, quality, urlfilter
 from riskweave.llm.frames import table
 
 
@@ -59,6 +59,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
@@ -147,6 +151,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
 }
