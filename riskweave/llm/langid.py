@@ -25,6 +25,8 @@ from riskweave.llm.frames import CHUNK_BYTES, batch, utf8, with_fallback
 # Bound of the training sample: documents of each language, none longer than MAX_CHARS.
 DOCS_PER_LANGUAGE = 400
 MAX_CHARS = 20_000
+# Bits per byte from which a text is rejected: what equally likely bytes take.
+UNIFORM_BITS = 8.0
 # Byte symbols with a class of their own; all rarer bytes share class 0.
 MAX_SYMBOLS = 127
 # A context of three bytes enters the tree if some language saw it so often.
@@ -48,10 +50,6 @@ class PpmModel:
     def size(self) -> int:
         return int(self.symbol.max()) + 1 if len(self.languages) else 1
 
-    @property
-    def uniform_bits(self) -> float:
-        return float(np.log2(max(2, self.size)))
-
 
 def _refine(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     """Probabilities of the symbols (last axis) in contexts with ``counts``,
@@ -96,6 +94,7 @@ def fit(samples: list[tuple[str, str]]) -> PpmModel:
         c4 = np.bincount(at[hit] * np.int64(a) + s[3:][hit], minlength=len(kept) * a).reshape(len(kept), a)
         p3 = _refine(c4.astype(np.float64), p2[kept % (a * a)])
         bits[:, k] = -np.log2(np.concatenate([p2.ravel(), p3.ravel()]))
+    bits[::a] += np.log2(256 - len(common))  # class 0: which of the rarer bytes it is
     return PpmModel(languages, symbol, context, bits)
 
 
@@ -193,13 +192,13 @@ def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: PpmModel) -> DataFrame:
     """The rows of ``docs``, all columns, without those that the language
     identification rejects: no letters (or null), or a text that no
-    language's tree codes shorter than equally likely byte symbols would."""
+    language's tree codes shorter than equally likely bytes would be."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, _, bits = predict(shared.value, b.column("text"))
-            keep = np.array([n != UNDETERMINED for n in names], bool) & (bits < shared.value.uniform_bits)
+            keep = np.array([n != UNDETERMINED for n in names], bool) & (bits < UNIFORM_BITS)
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
