@@ -49,39 +49,64 @@ PLACED = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())
 
 # --- tokens ----------------------------------------------------------------
 
-# Fixed value: the split of the byte-level vocabulary into pre-tokens,
-# for texts of the characters below (letters there are [^\W\d_]).
-PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-# Outside of tab, line feeds, ASCII and Latin letters, or with a numeral that is no digit.
-UNUSUAL = re.compile("[^\t\n\r -~ -±´-¸º»¿-ɏ]")
+# Fixed value: the split of the byte-level vocabulary into pre-tokens, for
+# texts of tab, line feeds, ASCII and Latin characters (whose letters are LETTERS).
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+PRE_TOKEN = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+|'(?:[sdmt]|ll|ve|re)| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+UNUSUAL = re.compile("[^\t\n\r -~\u00a0-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]")
+# A space before these does not begin a pre-token.
+ODD_SPACES = ("  ", " \n", " \t", " \r", " \u00a0")
 
 
 class TokenCoder(dict):
-    """Pre-token -> its ids as little-endian 32-bit bytes, remembered."""
+    """Text between two spaces -> ids of a space and this text, as
+    little-endian 32-bit bytes, remembered: a space before a visible
+    character begins a pre-token, whatever stands before it."""
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         # Special strings are matched in the raw text, before the split.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # One pre-token is merged by rank; ids are ranks in such a vocabulary.
+        ranks = {bytes(BYTE_OF[c] for c in token): k for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items()
+                 if token not in self.special}
+        self.merge = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, token: str) -> bytes:
+    def split(self, text: str) -> bytes:
+        merge = self.merge
+        return np.array([k for t in PRE_TOKEN.findall(text) for k in merge(t.encode())], "<u4").tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
         if len(self) > CACHE:
             self.clear()
-        ids = self[token] = self.whole(token)
+        ids = self[chunk] = self.split(" " + chunk)
         return ids
 
     def ids(self, text: str) -> bytes:
         """The ids that the tokenizer gives the whole text, as bytes."""
         if UNUSUAL.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, PRE_TOKEN.findall(text)))
+        if text.endswith(" ") or any(s in text for s in ODD_SPACES):
+            return self.split(text)
+        first, *rest = text.split(" ")
+        return self.split(first) + b"".join(map(self.__getitem__, rest))
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """Character -> byte of byte-level vocabularies: printable bytes stand
+    for themselves, the others for the characters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+BYTE_OF = _byte_alphabet()
 _coders: dict[str, TokenCoder] = {}
 
 
