@@ -25,7 +25,8 @@ from riskweave.llm.frames import batch, with_fallback
 # The marks of the template.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>>\n", "\n<</SYS>>\n")}
 OTHER_OPEN, OTHER_CLOSE = "[ROLE ", " [/ROLE]"
-CONTROL = re.compile(r"\\|\[/?INST\]|\[/?ROLE|</?s>|<</?SYS>>|\]")
+CONTROL = re.compile(r"\\|\[/?INST\]|\[/?ROLE|</?s>|<</?SYS>>")
+NAME = re.compile(r"[\\\]]")
 ESCAPED = re.compile(r"\\(.)", re.S)
 
 TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()),
@@ -34,8 +35,8 @@ RESULT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sh
                     ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
-def escape(content: str) -> str:
-    return CONTROL.sub(lambda m: "\\" + m.group(), content)
+def escape(content: str, control: re.Pattern = CONTROL) -> str:
+    return control.sub(lambda m: "\\" + m.group(), content)
 
 
 def unescape(content: str) -> str:
@@ -73,7 +74,7 @@ def render(role: str, text: str) -> tuple[str, str, str, int, int]:
     """(formatted turn, role and text read back from it, start and end of
     the content in it); escapes until what is read back is the source."""
     for content in (text, escape(text)):
-        opening, closing = MARKS.get(role) or (f"{OTHER_OPEN}{escape(role)}] ", OTHER_CLOSE)
+        opening, closing = MARKS.get(role) or (f"{OTHER_OPEN}{escape(role, NAME)}] ", OTHER_CLOSE)
         formatted = opening + content + closing
         turn = parse(formatted)
         if turn and turn[:2] == (role, text) and turn[4] == len(formatted):

@@ -127,11 +127,11 @@ WITH rows AS (
     SELECT *, CASE role WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN ' </s>'
                         WHEN 'system' THEN chr(10) || '<</SYS>>' || chr(10) ELSE ' [/ROLE]' END AS closing,
            CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18
-                     ELSE 16 + length(regexp_replace(role, '(\\|\[/?INST\]|\[/?ROLE|</?s>|<</?SYS>>|\])', '\\\1', 'g')) END AS marks
+                     ELSE 16 + length(regexp_replace(role, '(\\|\])', '\\\1', 'g')) END AS marks
     FROM turns
 ), sized AS (
     SELECT *, marks + CASE WHEN contains(text || left(closing, length(closing) - 1), closing) OR regexp_matches(text, '(?s)\\.')
-                           THEN length(regexp_replace(text, '(\\|\[/?INST\]|\[/?ROLE|</?s>|<</?SYS>>|\])', '\\\1', 'g'))
+                           THEN length(regexp_replace(text, '(\\|\[/?INST\]|\[/?ROLE|</?s>|<</?SYS>>)', '\\\1', 'g'))
                            ELSE length(text) END AS chars
     FROM marked
 )
