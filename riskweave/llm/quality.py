@@ -27,7 +27,7 @@ FACTORS = 6
 THRESHOLD = 0.3
 # Bound of the training sample: labelled documents, none longer than TRAIN_CHARS.
 TRAIN_DOCS, TRAIN_CHARS = 4000, 30_000
-EPOCHS, BATCH = 6, 64
+VISITS, BATCH = 24_000, 32  # documents seen in training, again and again if there are fewer
 
 # Byte classes whose shares are statistics of a text.
 CLASSES = {
@@ -100,7 +100,7 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(texts: list[str], n_chars: list, labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Machine:
+def fit(texts: list[str], n_chars: list, labels: list[int], visits: int = VISITS, seed: int = 5) -> Machine:
     """AdaGrad on the logistic loss in mini-batches."""
     rng = np.random.default_rng(seed)
     rate = float(np.mean(labels)) if labels else 0.5
@@ -115,7 +115,7 @@ def fit(texts: list[str], n_chars: list, labels: list[int], epochs: int = EPOCHS
     for doc, feature, value in parts:
         for f, v in zip(np.split(feature, np.flatnonzero(np.diff(doc)) + 1), np.split(value, np.flatnonzero(np.diff(doc)) + 1)):
             rows.append((f, v))
-    for _ in range(epochs):
+    for _ in range(-(-visits // max(1, len(rows))) if rows else 0):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), BATCH):
             chosen = order[lo:lo + BATCH]

@@ -87,12 +87,11 @@ def shingle_hashes(hashes: np.ndarray, doc: np.ndarray, n_docs: int, width: int
     have = np.bincount(doc, minlength=n_docs)
     place = np.arange(n) - np.repeat(np.concatenate([[0], np.cumsum(have)[:-1]]), have)
     left = have[doc] - place
-    factor = np.uint64(1)
     for k in range(width):
+        factor = np.uint64(pow(int(BASE), k, 1 << 64))
         upto = max(0, n - k)
         term = hashes[k:] * factor
         out[:upto] += np.where(left[:upto] > k, term, np.uint64(0))
-        factor = factor * BASE
     keep = (left >= width) | (place == 0)
     short = (have[doc] < width)
     out = mix(out + np.where(short, have[doc], width).astype(np.uint64))
