@@ -17,8 +17,21 @@ from riskweave.session import scratch_path
 CHUNK_BYTES = 1 << 20
 
 
+# Rows and bytes of one Arrow batch between Spark and Python: what a task holds, whatever the texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of an Arrow batch to the bounds above."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def with_fallback(df: DataFrame, **types: str) -> DataFrame:
     """The named columns of ``df``, cast; a missing one becomes null."""
+    bounded_batches(df.sparkSession)
     have = set(df.columns)
     return df.select(*[(df[c] if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
