@@ -54,6 +54,8 @@ def parse_date(col: str | Column, formats: tuple[str, ...] = DATE_FORMATS) -> Co
     the layouts that can fit them.
     """
     c = F.trim(F.col(col) if isinstance(col, str) else col)
+    # Fractions of a second and a zone behind a time do not change the date.
+    c = F.regexp_replace(c, r"(:[0-9]{2})([.,][0-9]+)?\s*(Z|[+-][0-9]{2}:?[0-9]{2})?$", "$1")
     return F.coalesce(*[F.when(c.rlike(shape_regex(f)), F.try_to_timestamp(c, F.lit(f)))
                         for f in formats]).cast("date")
 

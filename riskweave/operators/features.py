@@ -14,8 +14,9 @@ Scale notes:
 * medians are exact (average of the middle pair) through
   :func:`riskweave.functions.quantiles.exact_quantiles`, which never holds
   a whole column in one task;
-* the one-hot width is guarded by ``max_categories`` per column, because
-  a free-text column would otherwise blow up the vector.
+* a category finds its one-hot place in one lookup per column (an indexer
+  built from the vocabulary), and the vector is sparse, so that the cost
+  per row does not grow with the vocabulary.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +36,6 @@ TARGET = "default_flag"
 LABEL = "label"
 IS_TEST = "is_test"
 FEATURES = "features"
-MAX_CATEGORIES = 1_000
-# A variance below this counts as zero: the column is not rescaled.
-ZERO_VARIANCE = 10 * 2.220446049250313e-16
 
 
 def require_target(df: DataFrame, target: str = TARGET) -> None:
@@ -65,8 +62,15 @@ def split_flag(key: str | Column = "loan_no", seed: int = SPLIT_SEED,
     return (h.cast("bigint") % 100) < test_pct
 
 
+def row_key(df: DataFrame, key: str) -> Column:
+    """``key`` as text; a NULL one, or all without the column, by the whole row."""
+    row = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))
+    return F.coalesce(F.col(key).cast("string"), row) if key in df.columns else row
+
+
 def with_split(df: DataFrame, key: str = "loan_no", **kwargs) -> DataFrame:
-    return df.withColumn(IS_TEST, split_flag(key, **kwargs))
+    """Every row gets a side; rows without a key by a hash of all they hold."""
+    return df.withColumn(IS_TEST, split_flag(row_key(df, key), **kwargs))
 
 
 @dataclass(frozen=True)
@@ -132,25 +136,33 @@ class FittedPrep:
         x = F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]))
         return (x - F.lit(self.means[c])) / F.lit(self.scales[c])
 
-    def onehot(self, c: str) -> list[Column]:
-        v = _filled(c)
-        return [(v == F.lit(cat)).cast("double") for cat in self.vocab[c]]
-
-    def feature_columns(self) -> list[Column]:
-        cols = [self.scaled(c) for c in self.numeric]
-        for c in self.spec.categorical:
-            cols += self.onehot(c)
-        return cols
+    def indexed(self, df: DataFrame, source: dict[str, str]) -> DataFrame:
+        """``df`` with, for each categorical column, the column ``source[c]``
+        (filled text) and the place of its category, ``source[c]``_i; a
+        category not in the vocabulary has the place after the last."""
+        for c, text in source.items():
+            df = df.withColumn(text, _filled(c))
+            df = StringIndexerModel.from_labels(self.vocab[c], text, f"{text}_i", "keep").transform(df)
+        return df
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """``keep`` columns plus the assembled ``features`` vector (narrow)."""
-        names = self.feature_names
-        tmp = [f"__f{i}" for i in range(len(names))]
-        flat = df.select(*keep, *[c.alias(t) for c, t in zip(self.feature_columns(), tmp)])
-        return VectorAssembler(inputCols=tmp, outputCol=FEATURES).transform(flat).select(*keep, FEATURES)
-
-
-def fit_prep(train: DataFrame, spec: FeatureSpec, max_categories: int = MAX_CATEGORIES) -> FittedPrep:
+        """``keep`` columns plus the assembled ``features`` vector (narrow);
+        an unknown category is all zeros."""
+        source = {c: f"__c{i}" for i, c in enumerate(self.spec.categorical) if self.vocab[c]}
+        numbers = [f"__f{i}" for i in range(len(self.numeric))]
+        flat = self.indexed(df.withColumns({t: self.scaled(c) for t, c in zip(numbers, self.numeric)}), source)
+        inputs = list(numbers)
+        if source:
+            encoder = OneHotEncoder(inputCols=[f"{t}_i" for t in source.values()], outputCols=[f"{t}_v" for t in source.values()], dropLast=True)
+            flat = encoder.fit(flat).transform(flat)  # sizes are in the indexers' metadata: no job
+            inputs += [f"{t}_v" for t in source.values()]
+        out = VectorAssembler(inputCols=inputs, outputCol=FEATURES).transform(flat)
+        # Only the width is told to the learners: every entry is a number, also a 0 or 1.
+        width = {"ml_attr": {"num_attrs": len(self.feature_names)}}
+        return out.select(*keep, F.col(FEATURES).alias(FEATURES, metadata=width))
+
+
+def fit_prep(train: DataFrame, spec: FeatureSpec) -> FittedPrep:
     """Fit medians, means/population deviations and vocabularies on ``train``.
 
     Numeric branch: exact medians of all numeric columns at once, then one
@@ -159,8 +171,8 @@ def fit_prep(train: DataFrame, spec: FeatureSpec, max_categories: int = MAX_CATE
     other engine forms). A column with no value in training is dropped, as
     the original imputer does.
 
-    Categorical branch: distinct (column, category) pairs, persisted once,
-    counted per column (guard) before the vocabulary is collected.
+    Categorical branch: distinct (column, category) pairs; the vocabulary is
+    part of the model and so is held by the driver.
     """
     medians: dict[str, float] = {}
     if spec.numeric:
@@ -173,29 +185,21 @@ def fit_prep(train: DataFrame, spec: FeatureSpec, max_categories: int = MAX_CATE
         aggs = []
         for c in num:
             x = F.coalesce(F.col(c).cast("double"), F.lit(medians[c]))
-            aggs += [F.avg(x).alias(f"m_{c}"), F.var_pop(x).alias(f"v_{c}")]
+            aggs += [F.avg(x).alias(f"m_{c}"), F.var_pop(x).alias(f"v_{c}"), (F.min(x) < F.max(x)).alias(f"d_{c}")]
         row = train.agg(*aggs).first()
         for c in num:
             means[c] = float(row[f"m_{c}"])
             var = float(row[f"v_{c}"] or 0.0)
-            scales[c] = var ** 0.5 if var >= ZERO_VARIANCE else 1.0
+            scales[c] = var ** 0.5 if row[f"d_{c}"] and var > 0 else 1.0  # a constant column is not rescaled
     vocab: dict[str, list[str]] = {}
     if spec.categorical:
         pairs = (train.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("variable"), _filled(c).alias("category")) for c in spec.categorical]))
-            .alias("kv")).select("kv.variable", "kv.category").distinct()
-            .persist(StorageLevel.MEMORY_AND_DISK))
-        try:
-            widths = {r["variable"]: r["n"] for r in
-                      pairs.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
-            wide = [c for c, n in widths.items() if n > max_categories]
-            if wide:
-                raise ValueError(f"categorical columns over {max_categories} categories: {wide}")
-            vocab = {c: [] for c in spec.categorical}
-            for r in pairs.orderBy("variable", "category").collect():
-                vocab[r["variable"]].append(r["category"])
-        finally:
-            pairs.unpersist()
+            .alias("kv")).select("kv.variable", "kv.category").distinct())
+        vocab = {c: [] for c in spec.categorical}
+        for r in pairs.collect():
+            vocab[r["variable"]].append(r["category"])
+        vocab = {c: sorted(v) for c, v in vocab.items()}
     return FittedPrep(spec, medians, means, scales, vocab)
 
 
@@ -221,14 +225,10 @@ def scaled_long(df: DataFrame, prep: FittedPrep, key: str = "loan_no") -> DataFr
 def onehot_long(df: DataFrame, prep: FittedPrep, key: str = "loan_no") -> DataFrame:
     """(key, variable, category, idx): the filled category and its one-hot
     position; idx is NULL for a category unseen in training (all zeros)."""
-    out = []
-    for c in prep.spec.categorical:
-        v = _filled(c)
-        idx = F.lit(None).cast("int")
-        for i, cat in reversed(list(enumerate(prep.vocab[c]))):
-            idx = F.when(v == F.lit(cat), F.lit(i)).otherwise(idx)
-        out.append(F.struct(F.lit(c).alias("variable"), v.alias("category"), idx.alias("idx")))
-    return df.select(key, F.explode(F.array(*out)).alias("kv")) \
+    source = {c: f"__c{i}" for i, c in enumerate(prep.spec.categorical)}
+    out = [F.struct(F.lit(c).alias("variable"), F.col(t).alias("category"),
+                    F.when(F.col(f"{t}_i") < len(prep.vocab[c]), F.col(f"{t}_i").cast("int")).alias("idx")) for c, t in source.items()]
+    return prep.indexed(df, source).select(key, F.explode(F.array(*out)).alias("kv")) \
         .select(key, "kv.variable", "kv.category", "kv.idx")
 
 

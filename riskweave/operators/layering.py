@@ -1,21 +1,14 @@
 """Layering of macro panels onto loans (left outer join by country and year).
 
-The original join condition
-
-    TRIM(l.code) = TRIM(m.code) AND
-    ((m.frequency = 'Annual' AND CAST(l.year AS INT) = CAST(m.year AS INT)) OR
-     (m.frequency <> 'Annual' AND CAST(l.year AS INT) = CAST(m.year AS INT)))
-
-is written in its equivalent hashable form: two equi-keys plus
-``frequency IS NOT NULL`` (a NULL frequency never matches). Several macro
-rows for one key fan the loan out, as in the original; ``assert_unique``
+A loan meets the macro rows of its country code (spaces around it do not
+count) and of its year as a whole number, whatever their frequency, as long
+as one is stated. Several such rows fan the loan out; ``assert_unique``
 turns that into an error instead.
 
-Physical plan: the macro side is bounded by countries x years x
-frequencies; it is broadcast only after its row count is checked. Above
-the bound the join is a shuffle join, and loans whose keys are NULL (they
-can never match) bypass the shuffle, so they cannot pile up in one
-partition.
+The join is a plain equi-join: the optimizer broadcasts the macro side if
+its size in bytes is below the session's threshold, else both sides are
+shuffled and adaptive execution splits the partitions of large countries.
+Loans whose key is NULL match nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.schema import MACRO_EXCLUDE
-from riskweave.session import DEFAULT_MAX_BROADCAST_ROWS
 
 _K_CODE, _K_YEAR = "__layer_code", "__layer_year"
 
@@ -62,8 +54,7 @@ def macro_keys(macro: DataFrame, exclude: Sequence[str] = MACRO_EXCLUDE) -> tupl
 
 
 def layer_macro(loans: DataFrame, macro: DataFrame, exclude: Sequence[str] = MACRO_EXCLUDE,
-                assert_unique: bool = False, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                macro_rows: int | None = None) -> DataFrame:
+                assert_unique: bool = False) -> DataFrame:
     """``loans.*`` plus the macro columns not in ``exclude``, left outer join."""
     m, carried = macro_keys(macro, exclude)
     if assert_unique:
@@ -78,21 +69,9 @@ def layer_macro(loans: DataFrame, macro: DataFrame, exclude: Sequence[str] = MAC
         out_names.append(n)
     m = m.toDF(_K_CODE, _K_YEAR, *out_names)
 
-    l_code = F.trim(loans["country_code"])
-    l_year = loans["year"].cast("int")
-    n_rows = m.count() if macro_rows is None else macro_rows
-    if n_rows <= max_broadcast_rows:
-        joined = loans.join(F.broadcast(m), (l_code == m[_K_CODE]) & (l_year == m[_K_YEAR]), "left")
-        return joined.select(*[loans[c] for c in loans.columns], *[m[c] for c in out_names])
-
-    # Shuffle join: NULL keys skip the shuffle (they never match anything).
-    has_key = F.trim(F.col("country_code")).isNotNull() & F.col("year").isNotNull()
-    keyed, unkeyed = loans.where(has_key), loans.where(~has_key)
-    joined = keyed.join(m, (F.trim(keyed["country_code"]) == m[_K_CODE])
-                        & (keyed["year"].cast("int") == m[_K_YEAR]), "left")
-    joined = joined.select(*[keyed[c] for c in loans.columns], *[m[c] for c in out_names])
-    nulls = unkeyed.select(*loans.columns, *[F.lit(None).cast(m.schema[c].dataType).alias(c) for c in out_names])
-    return joined.unionByName(nulls)
+    code, whole = F.trim(loans["country_code"]), loans["year"].cast("int")
+    joined = loans.join(m, (code == m[_K_CODE]) & (whole == m[_K_YEAR]), "left")
+    return joined.select(*[loans[c] for c in loans.columns], *[m[c] for c in out_names])
 
 
 def apply_layers(loans: DataFrame, layers: Sequence[DataFrame | LayerSpec],

@@ -29,14 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.features import (FEATURES, IS_TEST, LABEL, FeatureSpec, FittedPrep, feature_spec,
-                                          fit_prep, training_rows, with_split)
+                                          fit_prep, row_key, training_rows, with_split)
 from riskweave.session import checkpoint_dir
 
 PD = "pd"
 PREDICTION = "prediction"
 SEED = 42
-# Spark's trees are limited to depth 30; the original forest grows without limit.
-RF_DEFAULT_DEPTH = 12
+# Spark's trees reach depth 30; the original forest grows without limit.
+RF_DEFAULT_DEPTH = 30
+# Split candidates per feature.
+MAX_BINS = 256
+# Memory for the split statistics of the nodes of one pass.
+NODE_MEMORY_MB = 1024
 
 
 # Node-id caching pays off only for deep trees (shallow trees are cheaper to ship).
@@ -50,7 +54,7 @@ def gbt(max_iter: int = 100, max_depth: int = 6, step_size: float = 0.3, seed: i
     rounds, which keeps the lineage of long boosting runs short."""
     return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
                          stepSize=step_size, seed=seed, lossType="logistic",
-                         cacheNodeIds=max_depth >= NODE_CACHE_MIN_DEPTH, checkpointInterval=10, maxBins=32)
+                         cacheNodeIds=max_depth >= NODE_CACHE_MIN_DEPTH, checkpointInterval=10, maxBins=MAX_BINS)
 
 
 def random_forest(num_trees: int = 100, max_depth: int = RF_DEFAULT_DEPTH, seed: int = SEED) -> RandomForestClassifier:
@@ -59,13 +63,21 @@ def random_forest(num_trees: int = 100, max_depth: int = RF_DEFAULT_DEPTH, seed:
                                   maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
                                   impurity="gini", cacheNodeIds=max_depth >= NODE_CACHE_MIN_DEPTH,
                                   checkpointInterval=10,
-                                  bootstrap=True, maxBins=32)
+                                  bootstrap=True, maxBins=MAX_BINS, maxMemoryInMB=NODE_MEMORY_MB)
 
 
-MODELS: dict[str, Callable[..., object]] = {
-    "XGBoost": gbt,
-    "Random Forest": random_forest,
-}
+BOOSTED, FOREST = "Gradient Boosted Trees", "Random Forest"
+MODELS: dict[str, Callable[..., object]] = {BOOSTED: gbt, FOREST: random_forest}
+# FIXED VALUES: other names that callers use for the models.
+ALIASES = {"XGBoost": BOOSTED, "XGBoost Classifier": BOOSTED, "Random Forest Classifier": FOREST}
+
+
+def model_name(name: str) -> str:
+    """The registered name behind ``name``; unknown names raise."""
+    known = ALIASES.get(name, name)
+    if known not in MODELS:
+        raise ValueError(f"unknown model {name!r}; choose from {sorted([*MODELS, *ALIASES])}")
+    return known
 
 
 def confusion_metrics(scored: DataFrame, label: str = LABEL, prediction: str = PREDICTION) -> DataFrame:
@@ -123,20 +135,15 @@ class TrainedModel:
 PASSTHROUGH = ("borrower_id", "amount")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition by key when ``df`` has fewer partitions than the
-    cluster has cores: tree learning makes many passes over its input, so
-    every core should hold a share. Large inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def prepare(df: DataFrame, key: str = "loan_no", include_year: str | bool = "auto",
             spec: FeatureSpec | None = None,
             passthrough: tuple[str, ...] = PASSTHROUGH) -> tuple[FittedPrep, DataFrame, DataFrame, tuple[str, ...]]:
     """Training rows -> (fitted prep, prepared train, prepared test, passthrough columns)."""
+    # What is a feature is settled on all rows, labelled or not.
+    spec = spec or feature_spec(df, include_year)
+    if key not in df.columns:
+        df = df.withColumn(key, F.md5(row_key(df, key)))
     rows = with_split(training_rows(df), key)
-    spec = spec or feature_spec(rows, include_year)
     train_src = rows.where(~F.col(IS_TEST))
     prep = fit_prep(train_src, spec)
     if not prep.feature_names:
@@ -147,18 +154,17 @@ def prepare(df: DataFrame, key: str = "loan_no", include_year: str | bool = "aut
     return prep, train, test, carried
 
 
-def train_and_evaluate(df: DataFrame, name: str = "XGBoost", key: str = "loan_no",
+def train_and_evaluate(df: DataFrame, name: str = BOOSTED, key: str = "loan_no",
                        include_year: str | bool = "auto", prepared: tuple | None = None,
                        **params) -> TrainedModel:
     """Fit model ``name`` from :data:`MODELS` on the training side of ``df``.
 
     ``prepared`` reuses the result of :func:`prepare` (so several models
     share one split and one fitted preparation)."""
-    if name not in MODELS:
-        raise ValueError(f"unknown model {name!r}; choose from {sorted(MODELS)}")
+    name = model_name(name)
     checkpoint_dir(df.sparkSession)
     prep, train, test, carried = prepared or prepare(df, key, include_year)
-    train = spread(train, key).persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     classes = train.groupBy(LABEL).count().limit(3).collect()
     if len(classes) < 2:
         train.unpersist()
@@ -169,7 +175,8 @@ def train_and_evaluate(df: DataFrame, name: str = "XGBoost", key: str = "loan_no
 
 def run_models(df: DataFrame, names: list[str],
                params: dict[str, dict] | None = None) -> dict[str, TrainedModel]:
-    """Train every selected model on the same split (the original dispatcher);
-    ``params`` holds optional keyword arguments per model name."""
-    params = params or {}
-    return {n: train_and_evaluate(df, n, **params.get(n, {})) for n in names}
+    """Train every selected model on one split and preparation (the
+    dispatcher); ``params`` holds optional keyword arguments per model name."""
+    params, names = params or {}, {n: model_name(n) for n in names}
+    prepared = prepare(df)
+    return {n: train_and_evaluate(df, m, prepared=prepared, **params.get(n, {})) for n, m in names.items()}

@@ -3,9 +3,9 @@ values, preview, monthly series and default rate by category.
 
 Every function is DataFrame in -> DataFrame out and lazy. Aggregates are
 plain ``groupBy``/``agg``, so Spark combines map-side before the shuffle
-and a hot key costs one partial row per task. Money sums run in
-DECIMAL(18,2) and are cast back to double, so totals do not depend on the
-order in which partitions are merged.
+and a hot key costs one partial row per task. Money is summed in doubles as it
+is, without rounding amounts first; sums can differ in the last bits with
+the order in which partitions are merged.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ ALL = "All"
 
 
 def money_sum(col: str | Column) -> Column:
-    """Order-independent sum of a money column; all-NULL input sums to 0."""
+    """Sum of a money column; all-NULL input sums to 0."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.sum(c.cast(T.DecimalType(18, 2))).cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(c.cast("double")), F.lit(0.0))
 
 
 def pct(num: Column, den: Column) -> Column:
@@ -45,7 +45,10 @@ def portfolio_kpis(df: DataFrame) -> DataFrame:
 
 
 def default_distribution(df: DataFrame) -> DataFrame:
-    """Counts of the two classes (a missing class counts 0; NULL flags are not counted)."""
+    """Counts of the two classes (a missing class counts 0; NULL flags are not
+    counted). No rows without a default_flag column."""
+    if "default_flag" not in df.columns:
+        return df.sparkSession.createDataFrame([], "class int, label string, value bigint")
     counts = df.agg(*[F.count_if(F.col("default_flag") == cls).alias(f"c{cls}") for cls, _ in CLASS_LABELS])
     stack = ", ".join(f"{cls}, '{label}', c{cls}" for cls, label in CLASS_LABELS)
     return counts.selectExpr(f"stack({len(CLASS_LABELS)}, {stack}) AS (class, label, value)") \
@@ -75,7 +78,11 @@ def preview(df: DataFrame, n: int = 100, order_by: str = "loan_no") -> DataFrame
 
 def monthly_series(df: DataFrame) -> DataFrame:
     """Per 'yyyy-MM' of loan_date ('NaT' for a missing date): loans with an
-    amount, total amount, defaults and their rate (NULL with no loans)."""
+    amount, total amount, defaults and their rate (NULL with no loans). No
+    rows unless loan_date, amount and default_flag are all there."""
+    if not {"loan_date", "amount", "default_flag"} <= set(df.columns):
+        return df.sparkSession.createDataFrame(
+            [], "year_month string, total_loans bigint, total_amount double, defaults double, default_rate double")
     g = df.groupBy(year_month("loan_date", MISSING_MONTH).alias("year_month")).agg(
         F.count("amount").alias("total_loans"),
         money_sum("amount").alias("total_amount"),
@@ -84,7 +91,10 @@ def monthly_series(df: DataFrame) -> DataFrame:
 
 
 def default_rate_by(df: DataFrame, key: str = "borrower_type") -> DataFrame:
-    """Mean default flag x 100 per non-null category (NULL flags excluded)."""
+    """Mean default flag x 100 per non-null category (NULL flags excluded). No
+    rows unless both columns are there."""
+    if not {key, "default_flag"} <= set(df.columns):
+        return df.sparkSession.createDataFrame([], T.StructType([T.StructField(key, T.StringType()), T.StructField("default_rate", T.DoubleType())]))
     return (df.where(F.col(key).isNotNull()).groupBy(key)
             .agg((F.avg("default_flag") * 100.0).alias("default_rate"))
             .orderBy(key))

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from riskweave.schema import LGD_DEFAULT_PCT, LGD_MAX_PCT, LGD_MIN_PCT, LGD_STEP_PCT
 
 DISPLAY_COLUMNS = ("borrower_id", "loan_no", "amount", "pd", "lgd", "el")
-EL_DECIMAL = T.DecimalType(38, 10)
 
 
 def lgd_fraction(lgd_pct: int = LGD_DEFAULT_PCT) -> float:
@@ -43,7 +42,7 @@ def expected_loss(loans: DataFrame, pd: str | Column = "pd", lgd_pct: int = LGD_
 
 def expected_loss_totals(el: DataFrame) -> DataFrame:
     """total_ead, total_el, el_rate (percent) of a frame from :func:`expected_loss`."""
-    t = el.agg(F.coalesce(F.sum(F.col("ead").cast(EL_DECIMAL)).cast("double"), F.lit(0.0)).alias("total_ead"),
-               F.coalesce(F.sum(F.col("el").cast(EL_DECIMAL)).cast("double"), F.lit(0.0)).alias("total_el"))
+    t = el.agg(F.coalesce(F.sum(F.col("ead").cast("double")), F.lit(0.0)).alias("total_ead"),
+               F.coalesce(F.sum(F.col("el").cast("double")), F.lit(0.0)).alias("total_el"))
     return t.withColumn("el_rate", F.when(F.col("total_ead") > 0,
                                           F.col("total_el") / F.col("total_ead") * 100.0).otherwise(F.lit(0.0)))

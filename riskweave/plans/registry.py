@@ -2,7 +2,7 @@
 operator of the survey inventory. Inexact doubles (means, deviations,
 correlations, densities, interpolated quantiles) are rounded to 6 places
 so the comparison with the DuckDB oracle is independent of summation
-order; exact values (counts, money sums in decimal, minima) are not.
+order, money totals to cents; exact values (counts, minima) are not.
 """
 
 from __future__ import annotations
@@ -31,6 +31,11 @@ TAG_COUNTRY = "Country 7"
 FANOUT_YEAR, FANOUT_FREQUENCY, NULL_FREQ_YEAR = "1996", "Quarterly", "1997"
 
 
+def round2(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Money totals to cents, independent of the order of summation."""
+    return df.withColumns({c: F.round(F.col(c), 2) for c in cols})
+
+
 def round6(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
 
@@ -131,7 +136,7 @@ def q_describe_long(spark, sf_dir):
 
 
 def q_monthly_series(spark, sf_dir):
-    return round6(portfolio.monthly_series(workspace(spark, sf_dir).layered()), ["default_rate"])
+    return round2(round6(portfolio.monthly_series(workspace(spark, sf_dir).layered()), ["default_rate"]), ["total_amount"])
 
 
 def q_default_rate_by_type(spark, sf_dir):
@@ -231,7 +236,7 @@ def q_expected_loss(spark, sf_dir):
 def q_expected_loss_totals(spark, sf_dir):
     test = _split_rows(spark, sf_dir).where(F.col(features.IS_TEST))
     el = risk.expected_loss(test.withColumn("pd", fixed_pd()), "pd", LGD_PCT)
-    return round6(risk.expected_loss_totals(el), ["total_el", "el_rate"])
+    return round2(round6(risk.expected_loss_totals(el), ["el_rate"]), ["total_ead", "total_el"])
 
 
 def q_export_roundtrip(spark, sf_dir):
@@ -241,21 +246,21 @@ def q_export_roundtrip(spark, sf_dir):
 
 
 def q_gbt_scores(spark, sf_dir):
-    return workspace(spark, sf_dir).model("XGBoost", **REGISTRY_GBT).score()
+    return workspace(spark, sf_dir).model(models.BOOSTED, **REGISTRY_GBT).score()
 
 
 def q_rf_scores(spark, sf_dir):
-    return workspace(spark, sf_dir).model("Random Forest", **REGISTRY_RF).score()
+    return workspace(spark, sf_dir).model(models.FOREST, **REGISTRY_RF).score()
 
 
 def q_model_metrics(spark, sf_dir):
     ws = workspace(spark, sf_dir)
-    return ws.model("XGBoost", **REGISTRY_GBT).metrics().unionByName(
-        ws.model("Random Forest", **REGISTRY_RF).metrics())
+    return ws.model(models.BOOSTED, **REGISTRY_GBT).metrics().unionByName(
+        ws.model(models.FOREST, **REGISTRY_RF).metrics())
 
 
 def q_model_expected_loss(spark, sf_dir):
-    scored = workspace(spark, sf_dir).model("XGBoost", **REGISTRY_GBT).score()
+    scored = workspace(spark, sf_dir).model(models.BOOSTED, **REGISTRY_GBT).score()
     return risk.expected_loss(scored, "pd", LGD_PCT)
 
 
@@ -265,15 +270,15 @@ def _shap(spark, sf_dir, name, params):
 
 
 def q_shap_values(spark, sf_dir):
-    return _shap(spark, sf_dir, "XGBoost", REGISTRY_GBT)
+    return _shap(spark, sf_dir, models.BOOSTED, REGISTRY_GBT)
 
 
 def q_shap_top10(spark, sf_dir):
-    return explain.top_features(_shap(spark, sf_dir, "XGBoost", REGISTRY_GBT))
+    return explain.top_features(_shap(spark, sf_dir, models.BOOSTED, REGISTRY_GBT))
 
 
 def q_rf_shap_top10(spark, sf_dir):
-    return explain.top_features(_shap(spark, sf_dir, "Random Forest", REGISTRY_RF))
+    return explain.top_features(_shap(spark, sf_dir, models.FOREST, REGISTRY_RF))
 
 
 # Rows shown in the scored-loan table (a display limit, ordered by loan number).
@@ -291,7 +296,7 @@ def q_model_expected_loss_totals(spark, sf_dir):
 def q_model_runs(spark, sf_dir):
     """Both models through the dispatcher on one shared split and preparation."""
     ws = workspace(spark, sf_dir)
-    runs = {n: ws.model(n, **p) for n, p in (("XGBoost", REGISTRY_GBT), ("Random Forest", REGISTRY_RF))}
+    runs = {n: ws.model(n, **p) for n, p in ((models.BOOSTED, REGISTRY_GBT), (models.FOREST, REGISTRY_RF))}
     out = None
     for name, m in runs.items():
         s = m.score().select(F.lit(name).alias("model"), "loan_no", "label", "prediction", "pd")
@@ -304,7 +309,7 @@ def q_model_runs(spark, sf_dir):
 def q_sme_monthly_series(spark, sf_dir):
     """The time-series widget over the borrower-type filtered portfolio."""
     f = portfolio.filter_portfolio(workspace(spark, sf_dir).layered(), borrower_type=FILTER_TYPE)
-    return round6(portfolio.monthly_series(f), ["default_rate"])
+    return round2(round6(portfolio.monthly_series(f), ["default_rate"]), ["total_amount"])
 
 
 def q_year_rate_by_type(spark, sf_dir):

@@ -4,8 +4,7 @@ starts from, built once and shared.
 * the loan panel and the wide/economies tables are lazy plans over the
   driver tables;
 * the macro panel is built once and written to the shared checkpoint
-  folder (it is the broadcast side of the layering join, so its row count
-  is read from the materialised copy instead of recomputing lineitem);
+  folder (so that the layering join knows its size in bytes);
 * the layered panel (loan panel + broadcast macro) is written once as the
   feature table, so every query scans Parquet (with pushdown and column
   pruning) instead of re-running the joins, and lineage stays short.
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.operators.layering import layer_macro
-from riskweave.session import checkpoint_dir, materialize, scratch_path
+from riskweave.session import checkpoint_dir, scratch_path
 from riskweave.sources.sinks import write_table
 from riskweave.sources import fixtures
 from riskweave.sources.macro import build_country_mapping, build_macro_panel
@@ -54,7 +53,7 @@ class Workspace:
     def loan_csv_path(self) -> str:
         """The raw loan text written once as a header CSV: the uploaded file."""
         path = scratch_path(self.spark, "loan_csv")
-        self.loan_csv.write.mode("overwrite").option("header", True).csv(path)
+        self.loan_csv.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
         return path
 
     @cached_property
@@ -71,15 +70,13 @@ class Workspace:
 
     @cached_property
     def macro(self) -> DataFrame:
-        return materialize(build_macro_panel(self.macro_wide, self.economies))
-
-    @cached_property
-    def macro_rows(self) -> int:
-        return self.macro.count()
+        path = scratch_path(self.spark, "macro_gdp")
+        build_macro_panel(self.macro_wide, self.economies).write.parquet(path)
+        return self.spark.read.parquet(path)
 
     def layered_plan(self) -> DataFrame:
         """The layering join as a lazy plan (loan panel + broadcast macro panel)."""
-        return layer_macro(self.loans, self.macro, macro_rows=self.macro_rows)
+        return layer_macro(self.loans, self.macro)
 
     @cached_property
     def feature_table(self) -> tuple[str, list[str]]:

@@ -86,6 +86,9 @@ DATE_FORMATS = (
     "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy",
     "d/M/yy", "M/d/yy", "yyyy-d-M", "yyyy/d/M",
     "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss",
+    "yyyy-M-d H:mm", "yyyy-M-d'T'H:mm", "d-M-yyyy H:mm", "d-M-yyyy H:mm:ss",
+    "d.M.yyyy H:mm", "d.M.yy", "d-M-yy", "MMM yyyy", "MMMM yyyy",
+    "MMM d yyyy", "MMMM d yyyy", "d MMM yy", "d-MMM-yy",
 )
 
 # ---------------------------------------------------------------------------

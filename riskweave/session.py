@@ -8,12 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows above which a side is never broadcast; joins fall back to a shuffle.
-# A macro row (code, year, value, frequency) is under 100 bytes, so the
-# bound keeps a broadcast below about 50 MB; real panels (countries x
-# years x frequencies) are tens of thousands of rows.
-DEFAULT_MAX_BROADCAST_ROWS = 500_000
-
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "riskweave", driver_memory: str | None = None) -> SparkSession:

@@ -34,7 +34,8 @@ HIGH_RISK_PRIORITIES = ("4", "5")
 HIGH_RISK_PRICE = 300000
 FLAG_MOD = 11
 PAYOFF_SHIFT_MOD = 20
-MACRO_YEARS = (1995, 1996, 1997, 1998, 1999, 2000)
+# Every ship year of the tables.
+MACRO_YEARS = (1995, 1996, 1997, 1998, 1999, 2000, 2001)
 MISSING_CELL = ("NATION_7", 1997)
 CSV_JUNK_MOD, CSV_JUNK_REM = 50, 7
 

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions.dates import parse_date
-from riskweave.functions.nulls import na_token_to_null, nan_to_null, to_double, to_long
+from riskweave.functions.nulls import na_token_to_null, nan_to_null, number, to_double, to_long
 from riskweave.schema import CONTRACT_COLUMNS, DATE_COLUMNS, LOAN_TYPES
 
+# Standard quoting: a quote inside a quoted cell is doubled, and a quoted
+# cell may hold line breaks. Such files are not split between tasks.
+CSV_STANDARD = {"quote": '"', "escape": '"', "multiLine": True}
+
 _CASTS = {
     T.LongType: to_long,
     T.DoubleType: to_double,
@@ -38,12 +42,15 @@ def type_loans(raw: DataFrame, extra_types: dict[str, str] | None = None,
     types = dict(extra_types or {})
     if infer_extras and extras:
         types.update(_infer_numeric(cleaned, [c for c in extras if c not in types]))
+    whole = [c for c in cleaned.columns if isinstance(LOAN_TYPES.get(c), T.LongType)]
+    fractions = {c for c, t in _infer_numeric(cleaned, whole, text_allowed=True).items() if t == "double"}
     cols = []
     for c in cleaned.columns:
         if c in DATE_COLUMNS:
             cols.append(parse_date(c).alias(c))
         elif c in LOAN_TYPES:
-            dt = LOAN_TYPES[c]
+            # A whole-number column with a fraction in some cell keeps it, as a double.
+            dt = T.DoubleType() if c in fractions else LOAN_TYPES[c]
             fn = _CASTS.get(type(dt))
             cols.append((fn(c) if fn else F.col(c).cast(dt)).alias(c))
         elif c in types:
@@ -65,16 +72,17 @@ def type_loans(raw: DataFrame, extra_types: dict[str, str] | None = None,
 BOOL_TOKENS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def _infer_numeric(df: DataFrame, cols: list[str]) -> dict[str, str]:
+def _infer_numeric(df: DataFrame, cols: list[str], text_allowed: bool = False) -> dict[str, str]:
     """One aggregate over all columns: a text column whose non-null cells all
     parse as numbers becomes bigint (all integral) or double; one whose
     cells are all boolean words, with none missing, becomes boolean (a
-    missing cell keeps it text, as in the original reader)."""
+    missing cell keeps it text, as in the original reader). With
+    ``text_allowed`` other cells do not stop a column from being a number."""
     if not cols:
         return {}
     aggs = []
     for c in cols:
-        d = F.col(c).try_cast("double")
+        d = number(c)
         aggs.append(F.count_if(F.col(c).isNotNull() & d.isNull()).alias(f"{c}__bad"))
         aggs.append(F.count_if(d.isNotNull() & (d != F.floor(d))).alias(f"{c}__frac"))
         aggs.append(F.count(d).alias(f"{c}__n"))
@@ -83,7 +91,7 @@ def _infer_numeric(df: DataFrame, cols: list[str]) -> dict[str, str]:
     row = df.agg(*aggs).first()
     out = {}
     for c in cols:
-        if row[f"{c}__n"] and row[f"{c}__bad"] == 0:
+        if row[f"{c}__n"] and (text_allowed or row[f"{c}__bad"] == 0):
             out[c] = "double" if row[f"{c}__frac"] else "bigint"
         elif row["__rows"] and row[f"{c}__bool"] == row["__rows"]:
             out[c] = "boolean"
@@ -114,6 +122,24 @@ def conform_loans(df: DataFrame) -> DataFrame:
     return out
 
 
+def loan_template(spark: SparkSession) -> DataFrame:
+    """The upload template: the contract columns as text, without rows."""
+    return spark.createDataFrame([], ", ".join(f"{c} string" for c in CONTRACT_COLUMNS))
+
+
+def unparsed_dates(raw: DataFrame) -> DataFrame:
+    """(variable, unparsed): per date column of an all-text loan frame the
+    cells that hold something which is neither a missing-value token nor a
+    date in a known layout."""
+    cols = [c for c in DATE_COLUMNS if c in raw.columns]
+    if not cols:
+        return raw.sparkSession.createDataFrame([], "variable string, unparsed bigint")
+    cells = {c: na_token_to_null(c) for c in cols}
+    counts = raw.agg(*[F.count_if(x.isNotNull() & (F.trim(x) != "") & parse_date(x).isNull()).alias(c) for c, x in cells.items()])
+    stack = ", ".join(f"'{c}', {c}" for c in cols)
+    return counts.selectExpr(f"stack({len(cols)}, {stack}) AS (variable, unparsed)")
+
+
 def read_loans(spark: SparkSession, path: str, fmt: str = "csv", **kwargs) -> DataFrame:
     """Read an uploaded loan panel.
 
@@ -122,7 +148,7 @@ def read_loans(spark: SparkSession, path: str, fmt: str = "csv", **kwargs) -> Da
     by :func:`conform_loans`.
     """
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        raw = spark.read.options(header=True, inferSchema=False, **CSV_STANDARD).csv(path)
         return type_loans(raw, **kwargs)
     return conform_loans(spark.read.format(fmt).load(path))
 

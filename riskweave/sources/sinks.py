@@ -1,8 +1,7 @@
 """Sinks: the feature table and the CSV export.
 
 * ``write_table`` replaces a stored table (Parquet, optionally partitioned,
-  e.g. by ``year`` so filters on it prune files). It refuses to overwrite
-  a path the frame itself reads from; write a new version instead.
+  e.g. by ``year`` so filters on it prune files).
 * ``export_csv`` is the analyst download: header row, UTF-8, one file per
   partition (``single_file=True`` coalesces small results to one file;
   never use it for large frames, it funnels everything through one task).
@@ -14,32 +13,30 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-def _local(p: str) -> str:
-    for prefix in ("file://", "file:"):
-        if p.startswith(prefix):
-            return p[len(prefix):]
-    return p
-
-
-def _reads_from(df: DataFrame, path: str) -> bool:
-    try:
-        files = df.inputFiles()
-    except Exception:  # not a file-based plan
-        return False
-    p = _local(path).rstrip("/")
-    return any(_local(f) == p or _local(f).startswith(p + "/") for f in files)
+from riskweave.sources.loans import CSV_STANDARD
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> str:
-    """Create or replace the table at ``path``."""
-    if _reads_from(df, path):
-        raise ValueError(f"refusing to overwrite {path}: the frame reads from it")
+    """Create or replace the table at ``path``: written beside it first, so that
+    a frame that reads the old table can replace it, then moved into place.
+
+    Partitioned tables are rebalanced by their columns before the write:
+    few files per value, and a value with many rows is split."""
+    spark = df.sparkSession
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    jvm, fresh = spark._jvm, f"{path.rstrip('/')}__new"
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(path)
+    w.save(fresh)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target):
+        raise OSError(f"could not move the written table to {path}")
     return path
 
 
@@ -47,6 +44,7 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """Header CSV export of the whole frame (no index column)."""
     out = df.coalesce(1) if single_file else df
     (out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8")
+     .option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
     return path
@@ -54,5 +52,5 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
 
 def read_export(spark: SparkSession, path: str, schema) -> DataFrame:
     """Read a CSV export back with the schema of the exported frame."""
-    return (spark.read.schema(schema).option("header", True)
+    return (spark.read.schema(schema).options(header=True, **CSV_STANDARD)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

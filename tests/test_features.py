@@ -67,7 +67,36 @@ def test_zero_variance_and_all_null(spark):
     assert prep.scales == {"tenure_days": 1.0} and prep.numeric == ["tenure_days"]
 
 
-def test_category_guard(spark):
-    rows = [(i, i, f"t{i}", 5, 1.0, 0.0, 2020, 0, True) for i in range(20)]
-    with pytest.raises(ValueError):
-        fz.fit_prep(frame(spark, rows), fz.FeatureSpec((), ("borrower_type",)), max_categories=10)
+def test_many_categories(spark):
+    rows = [(i, i, f"t{i:05d}", 5, 1.0, 0.0, 2020, 0, True) for i in range(5000)]
+    df = frame(spark, rows)
+    prep = fz.fit_prep(df.where("borrower_type <> 't00007'"), fz.FeatureSpec((), ("borrower_type",)))
+    assert len(prep.feature_names) == 4999
+    got = {r["loan_no"]: r["features"] for r in prep.transform(df, ["loan_no"]).collect()}
+    assert got[0].size == 4999 and got[0].indices.tolist() == [0] and got[7].numNonzeros() == 0
+    assert got[4999].indices.tolist() == [4998]
+    idx = {r["loan_no"]: r["idx"] for r in fz.onehot_long(df, prep).collect()}
+    assert idx[0] == 0 and idx[7] is None and idx[8] == 7
+
+
+def test_no_row_is_lost_without_a_key(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("loan_no"), F.col("id").cast("double").alias("amount"),
+                                 (F.col("id") % 2).cast("double").alias("default_flag"))
+    for part in (df, df.drop("loan_no")):
+        rows = fz.with_split(fz.training_rows(part))
+        assert rows.where("is_test").count() + rows.where("not is_test").count() == 500
+        assert rows.where("is_test is null").count() == 0 and 50 < rows.where("is_test").count() < 150
+
+
+def test_small_scale_column_is_rescaled(spark):
+    df = spark.range(10).select((F.col("id") * 1e-9).alias("a"), F.lit(3.5).alias("b"))
+    prep = fz.fit_prep(df, fz.FeatureSpec(("a", "b"), ()))
+    assert 2e-9 < prep.scales["a"] < 4e-9 and prep.scales["b"] == 1.0
+
+
+def test_year_is_settled_on_all_rows(spark):
+    from riskweave.operators.models import prepare
+    df = spark.range(200).select(F.col("id").alias("loan_no"), (F.col("id") % 7).alias("tenure_days"), (F.col("id") % 2).cast("double").alias("default_flag"),
+                                 F.when(F.col("id") > 0, F.lit(2000)).cast("int").alias("year"))
+    assert "year" in prepare(df)[0].spec.numeric
+    assert "year" in prepare(df.withColumn("default_flag", F.when(F.col("loan_no") > 0, F.col("default_flag"))))[0].spec.numeric

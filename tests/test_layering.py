@@ -35,19 +35,7 @@ def test_layer_semantics(frames):
 
 def test_shuffle_path_equals_broadcast_path(frames):
     loans, macro = frames
-    assert rows(layer_macro(loans, macro, max_broadcast_rows=0)) == EXPECTED
-
-
-def test_original_or_condition_equals(frames, spark):
-    loans, macro = frames
-    loans.createOrReplaceTempView("l")
-    macro.createOrReplaceTempView("m")
-    orig = spark.sql("""
-      SELECT l.*, m.gdp_usd, m.frequency FROM l LEFT JOIN m
-        ON TRIM(l.country_code) = TRIM(m.country_code)
-       AND ((m.frequency = 'Annual' AND CAST(l.year AS INT) = CAST(m.year AS INT))
-         OR (m.frequency != 'Annual' AND CAST(l.year AS INT) = CAST(m.year AS INT)))""")
-    assert rows(orig) == EXPECTED
+    assert rows(layer_macro(loans, macro)) == EXPECTED
 
 
 def test_assert_unique(frames):
@@ -66,9 +54,10 @@ def test_two_layers_suffix(frames, spark):
     assert apply_layers(loans, []) is loans
 
 
-def test_plan_is_broadcast_hash_join(frames):
+def test_plan_is_broadcast_hash_join(frames, spark, tmp_path):
     loans, macro = frames
-    plan = layer_macro(loans, macro)._jdf.queryExecution().executedPlan().toString()
+    macro.write.parquet(str(tmp_path / "macro"))  # its size in bytes is known
+    plan = layer_macro(loans, spark.read.parquet(str(tmp_path / "macro")))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
 
 
@@ -83,10 +72,17 @@ def test_shuffle_path_with_hot_key_and_null_keys(spark):
     codes = ["HOT"] + [f"C{i}" for i in range(50)]
     macro = spark.createDataFrame([(c, f"name {c}", str(y), float(len(c) * y), "Annual", "GDP")
                                    for c in codes for y in range(2000, 2012)], MACRO_DDL)
-    a = layer_macro(loans, macro, max_broadcast_rows=0)
-    b = layer_macro(loans, macro)
+    b = sorted(layer_macro(loans, macro).collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = layer_macro(loans, macro)
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+        a = spark.createDataFrame(shuffled.collect(), shuffled.schema)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert a.count() == n
-    assert sorted(a.collect()) == sorted(b.collect())
+    assert sorted(a.collect()) == b
     hot = a.where(F.col("country_code") == "HOT").select("gdp_usd").distinct().collect()
     assert [r.gdp_usd for r in hot] == [3.0 * 2010]
     assert a.where(F.col("country_code").isNull() & F.col("gdp_usd").isNotNull()).count() == 0

@@ -1,10 +1,9 @@
-"""Session rules: shared checkpoint folder on clusters, training-set spreading."""
+"""Session rules: shared checkpoint folder on clusters."""
 
 from types import SimpleNamespace
 
 import pytest
 
-from riskweave.operators.models import spread
 from riskweave.session import checkpoint_dir
 
 
@@ -28,11 +27,3 @@ def test_configured_folder_is_used():
     assert sc.set_dirs == ["hdfs:///shared/ckpt"]
     spark, sc = fake_session("yarn", current="hdfs:///already")
     assert checkpoint_dir(spark) == "hdfs:///already" and sc.set_dirs == []
-
-
-def test_spread_only_small_inputs(spark):
-    cores = spark.sparkContext.defaultParallelism
-    small = spark.range(100).coalesce(1)
-    assert spread(small, "id").rdd.getNumPartitions() == cores
-    big = spark.range(100).repartition(cores * 2)
-    assert spread(big, "id") is big

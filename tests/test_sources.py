@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.dates import parse_date, year_month
 from riskweave.functions.nulls import na_token_to_null, to_double, to_long
-from riskweave.schema import NA_TOKENS
-from riskweave.sources.loans import read_loans, tag_loans, validate_loans
+from riskweave.schema import CONTRACT_COLUMNS, NA_TOKENS
+from riskweave.sources.loans import loan_template, read_loans, tag_loans, unparsed_dates, validate_loans
 from riskweave.sources.macro import build_country_mapping, build_macro_panel, country_lookup, strip_year_prefix
 from riskweave.sources.sinks import export_csv, read_export, write_table
 
@@ -101,15 +101,48 @@ def test_export_roundtrip_keeps_spaces(spark):
     assert sorted(back.collect()) == sorted(df.collect())
 
 
-def test_write_table_refuses_self_overwrite(spark):
-    import pytest
+def test_write_table_replaces_what_it_reads(spark):
+    import tempfile
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/t"
-    df = spark.range(5)
-    write_table(df, path)
-    again = spark.read.parquet(path)
-    with pytest.raises(ValueError):
-        write_table(again, path)
-    assert write_table(again.withColumn("x", F.lit(1)), path + "_v2")
+    write_table(spark.range(5).withColumn("x", F.lit(0)), path)
+    write_table(spark.read.parquet(path).withColumn("x", F.lit(1)), path)
+    assert [tuple(r) for r in spark.read.parquet(path).orderBy("id").collect()] == [(k, 1) for k in range(5)]
+
+
+def test_quoted_csv(spark, tmp_path):
+    import csv
+    rows = [("b1", 'SME "A", Ltd', "1", "2020-01-05 10:00", "", "", "30.5", "10.125", "0"), ("b2", "two\nlines", "2", "Jan 2020", "x", "", "31", "1e17", "1")]
+    with open(tmp_path / "loans.csv", "w", newline="") as f:
+        csv.writer(f).writerows([CONTRACT_COLUMNS, *rows])
+    df = read_loans(spark, str(tmp_path / "loans.csv"))
+    got = df.orderBy("loan_no").collect()
+    assert [r["borrower_type"] for r in got] == ['SME "A", Ltd', "two\nlines"]
+    assert [r["tenure_days"] for r in got] == [30.5, 31.0] and [r["amount"] for r in got] == [10.125, 1e17]
+    assert [str(r["loan_date"]) for r in got] == ["2020-01-05", "2020-01-01"]
+    back = read_export(spark, export_csv(df, str(tmp_path / "out")), df.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    with open(next((tmp_path / "out").glob("part-*.csv")), newline="") as f:
+        assert next(csv.DictReader(f))["borrower_type"] in ('SME "A", Ltd', "two\nlines")
+
+
+def test_numbers_are_not_altered(spark):
+    from riskweave.functions.nulls import to_double, to_long
+    df = spark.createDataFrame([(x,) for x in ("30", "30.0", "30.5", "1D", "12F", " 7 ", "0x1", "1e3", "", None)], "x string")
+    assert [r[0] for r in df.select(to_long("x")).collect()] == [30, 30, None, None, None, 7, None, 1000, None, None]
+    assert [r[0] for r in df.select(to_double("x")).collect()] == [30.0, 30.0, 30.5, None, None, 7.0, None, 1000.0, None, None]
+
+
+def test_more_date_layouts_and_their_count(spark):
+    texts = ["2020-01-05 10:00", "2020-01-05T10:00", "2020-01-05T10:00:00Z", "2020-01-05 10:00:00.123", "5-1-2020 10:00", "5.1.20", "January 5 2020", "05 Jan 20",
+             "2020-01-05T10:00:00+02:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    assert {str(r[0]) for r in df.select(parse_date("d")).collect()} == {"2020-01-05"}
+    raw = spark.createDataFrame([(t, "n/a") for t in [*texts, "junk", "NA", "32/13/2020"]], "loan_date string, due_date string")
+    assert {r["variable"]: r["unparsed"] for r in unparsed_dates(raw).collect()} == {"loan_date": 2, "due_date": 0}
+
+
+def test_template(spark):
+    assert loan_template(spark).columns == list(CONTRACT_COLUMNS)
 
 
 def test_shape_guards_never_change_a_parse(spark):
