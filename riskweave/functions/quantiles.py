@@ -2,20 +2,18 @@
 
 ``percentile`` keeps a value->count map per group and merges it in one
 task, which is unbounded when one group holds a large share of the rows.
-Here the work is split so that every step is bounded:
+Here the same bounded steps serve every group, large or small, and any
+number of groups; nothing is collected:
 
-0. a count per group (collected: one row per group, at most ``MAX_GROUPS``).
-   Groups of at most ``small_group`` rows take Spark's exact ``percentile``
-   in one aggregate: their value maps are bounded by the group size.
-   Larger groups go through steps 1-4.
-1. one aggregate per large group: ``percentile_approx`` (a mergeable
+1. one aggregate per group: its size and ``percentile_approx`` (a mergeable
    sketch of bounded size) at p -/+ a margin around every requested p.
-2. a bracket per (group, p): the sketch values around p.
-3. one pass over the data joined with the (broadcast, groups x probs) bracket
-   table: values below the bracket collapse into one counted bucket
-   map-side, values inside are kept as distinct (value, weight) pairs,
-   values above are dropped. Per (group, p) this leaves roughly
-   ``6 * n / accuracy`` distinct values.
+2. a bracket per (group, p): the sketch values around p; the whole range of
+   a group with no more than `accuracy` values.
+3. one pass over the data joined with the brackets (groups x probs rows; the
+   optimizer broadcasts them if they are small): values below the bracket
+   collapse into one counted bucket map-side, values inside are kept as
+   distinct (value, weight) pairs, values above are dropped. Per (group, p)
+   this leaves roughly ``6 * n / accuracy`` distinct values.
 4. a running count over that bracket gives the values at ranks
    floor(p*(n-1)) and the next one; the result interpolates linearly, as
    ``percentile`` and DuckDB's ``quantile_cont`` do.
@@ -26,16 +24,12 @@ result raises instead of returning a wrong number.
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DEFAULT_ACCURACY = 100_000
-SMALL_GROUP = 1_000_000
-MAX_GROUPS = 10_000
 
 _V, _I, _W = "__q_v", "__q_i", "__q_w"
 
@@ -49,84 +43,28 @@ def _bracket_probs(probs: Sequence[float], margin: float) -> list[float]:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
-                    small_group: int = SMALL_GROUP, counts: Sequence | None = None) -> DataFrame:
-    """Columns ``*by, n, q0..q{P-1}``: exact quantiles of non-null ``value``.
-
-    ``by`` must have few distinct values (at most ``MAX_GROUPS``); groups
-    without any non-null value are absent. A first pass counts the rows
-    per group; groups of at most ``small_group`` rows get Spark's exact
-    ``percentile`` (one aggregate, whose per-group value map is bounded by
-    the group size), larger groups the bracketed path described above.
-    ``counts`` (rows with the ``by`` columns and ``n``, the non-null count
-    per group) skips the counting pass when the caller already has them.
-    """
-    by = list(by)
-    probs = list(probs)
-    no_groups = not by
-    if no_groups:  # a constant key keeps every join an equi-join
-        df = df.withColumn("__q_g", F.lit(0))
-        by = ["__q_g"]
+                    by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Columns ``*by, n, q0..q{P-1}``: exact quantiles of non-null ``value``;
+    groups without any non-null value are absent. Lazy."""
+    by, probs = list(by), list(probs)
+    if not by:  # a constant key keeps every join an equi-join
+        return exact_quantiles(df.withColumn("__q_g", F.lit(0)), value, probs, ["__q_g"], accuracy).drop("__q_g")
     base = df.select(*by, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
 
-    if counts is None:
-        counts = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
-    counts = [r for r in counts if r["n"]]
-    if len(counts) > MAX_GROUPS:
-        raise ValueError(f"exact_quantiles: {len(counts)} groups exceed {MAX_GROUPS}")
-    key_fields = [f for f in base.schema.fields if f.name in by]
-    small = [r for r in counts if r["n"] <= small_group]
-    big = [r for r in counts if r["n"] > small_group]
-    parts = []
-    if small:
-        rows = base if not big else _semi(base, by, key_fields, small)
-        # One percentile call for all probabilities: one value map per group.
-        agg = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                                    F.percentile(_V, F.array(*[F.lit(float(p)) for p in probs])).alias("__q"))
-        parts.append(agg.select(*by, "n", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))]))
-    if big:
-        parts.append(_bracketed(_semi(base, by, key_fields, big) if small else base,
-                                by, key_fields, probs, accuracy))
-    if not parts:
-        spark = df.sparkSession
-        schema = T.StructType(key_fields + [T.StructField("n", T.LongType())]
-                              + [T.StructField(f"q{i}", T.DoubleType()) for i in range(len(probs))])
-        parts.append(spark.createDataFrame([], schema))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.drop("__q_g") if no_groups else out
-
-
-def _semi(base: DataFrame, by: list[str], key_fields, rows) -> DataFrame:
-    """Rows of ``base`` whose group is one of ``rows`` (a bounded key list, broadcast)."""
-    keys = base.sparkSession.createDataFrame([tuple(r[c] for c in by) for r in rows], T.StructType(key_fields))
-    cond = [base[c].eqNullSafe(keys[c]) for c in by]
-    return base.join(F.broadcast(keys), cond, "left_semi")
-
-
-def _bracketed(base: DataFrame, by: list[str], key_fields, probs: list[float], accuracy: int) -> DataFrame:
-    spark = base.sparkSession
-    margin = 3.0 / accuracy
-    sketch = F.percentile_approx(_V, _bracket_probs(probs, margin), accuracy)
-    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), sketch.alias("approx")).collect()
-
-    bracket_rows = []
-    for r in stats:
-        n = r["n"]
-        for i, p in enumerate(probs):
-            pos = p * (n - 1)
-            k0 = int(math.floor(pos))
-            k1 = min(k0 + 1, n - 1)
-            lo, hi = float(r["approx"][2 * i]), float(r["approx"][2 * i + 1])
-            bracket_rows.append(tuple(r[c] for c in by) + (i, n, k0, k1, pos - k0, lo, hi))
-    bschema = T.StructType(key_fields + [
-        T.StructField(_I, T.IntegerType()), T.StructField("n", T.LongType()),
-        T.StructField("k0", T.LongType()), T.StructField("k1", T.LongType()),
-        T.StructField("frac", T.DoubleType()), T.StructField("lo", T.DoubleType()),
-        T.StructField("hi", T.DoubleType())])
-    brackets = spark.createDataFrame(bracket_rows, bschema)
-
-    cond = [base[c].eqNullSafe(brackets[c]) for c in by]
-    joined = base.join(F.broadcast(brackets), cond)
+    sketch = F.percentile_approx(_V, F.array(*[F.lit(p) for p in _bracket_probs(probs, 3.0 / accuracy)]), F.lit(accuracy))
+    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), sketch.alias("__q_a"), F.min(_V).alias("__q_min"), F.max(_V).alias("__q_max"))
+    one = F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias(_I, "__q_p")
+    brackets = stats.select(*by, "n", "__q_a", "__q_min", "__q_max", one)
+    # The margin must span some ranks: up to `accuracy` values the bracket is the whole range.
+    few = F.col("n") <= accuracy
+    place = F.col("__q_p") * (F.col("n") - 1)
+    brackets = brackets.select(
+        *by, _I, "n", F.floor(place).cast("bigint").alias("k0"), F.least(F.floor(place).cast("bigint") + 1, F.col("n") - 1).alias("k1"),
+        (place - F.floor(place)).alias("frac"), F.when(few, F.col("__q_min")).otherwise(F.element_at("__q_a", F.col(_I) * 2 + 1)).alias("lo"),
+        F.when(few, F.col("__q_max")).otherwise(F.element_at("__q_a", F.col(_I) * 2 + 2)).alias("hi")).toDF(*[f"__b_{c}" for c in by], _I, "n", "k0", "k1", "frac", "lo", "hi")
+
+    cond = [base[c].eqNullSafe(brackets[f"__b_{c}"]) for c in by]
+    joined = base.join(brackets, cond)
     joined = joined.select(*[base[c] for c in by], _I, _V, "lo", "hi", "n", "k0", "k1", "frac") \
         .where(F.col(_V) <= F.col("hi"))
     # Below the bracket -> NULL bucket (one counted row per task after the map-side combine).

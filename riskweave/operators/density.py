@@ -5,8 +5,8 @@ of 200 points over [min - 3h, max + 3h].
 
 Plan: the data first collapse to distinct (class, value) pairs with a
 weight (map-side combined), so the kernel cost is grid x distinct values,
-not grid x rows. The grid (classes x 200 rows, a fixed bound) is
-broadcast (after a class-count check) and equi-joined on the class; the kernel sums are a map-side
+not grid x rows. The grid (classes x 200 rows) is equi-joined on the class, by
+broadcast if the optimizer finds it small; the kernel sums are a map-side
 combined aggregate by (class, grid point). A class with a single value or
 zero spread has no bandwidth and therefore no curve.
 """
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from riskweave.schema import KDE_CUT, KDE_GRID_POINTS
 
-MAX_CLASSES = 1_000
-
 
 def kde(df: DataFrame, value: str = "tenure_days", by: str = "default_flag",
         grid_points: int = KDE_GRID_POINTS, cut: float = KDE_CUT) -> DataFrame:
-    """Columns: by, grid_index, x, density."""
+    """Columns: by, grid_index, x, density. No rows unless both columns are there."""
+    if not {value, by} <= set(df.columns):
+        return df.sparkSession.createDataFrame([], f"`{by}` double, grid_index int, x double, density double")
     d = df.select(F.col(by), F.col(value).cast("double").alias("x")) \
         .where(F.col(by).isNotNull() & F.col("x").isNotNull())
     st = (d.groupBy(by)
@@ -33,12 +33,6 @@ def kde(df: DataFrame, value: str = "tenure_days", by: str = "default_flag",
                F.min("x").alias("mn"), F.max("x").alias("mx"))
           .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
           .where(F.col("h").isNotNull() & (F.col("h") > 0)))
-    # The grid is broadcast: its bound (classes x grid points) is checked on
-    # the collected class statistics (one row per class).
-    rows = st.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"kde: more than {MAX_CLASSES} classes in {by}")
-    st = df.sparkSession.createDataFrame(rows, st.schema)
     grid = (st.select(by, "n", "h", "mn", "mx",
                       F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("grid_index"))
             .withColumn("gx", (F.col("mn") - cut * F.col("h"))
@@ -46,7 +40,7 @@ def kde(df: DataFrame, value: str = "tenure_days", by: str = "default_flag",
                         / float(grid_points - 1)))
     weighted = d.groupBy(by, "x").agg(F.count(F.lit(1)).alias("w"))
     z = (F.col("gx") - F.col("x")) / F.col("h")
-    dens = (weighted.join(F.broadcast(grid), by)
+    dens = (weighted.join(grid, by)
             .groupBy(by, "grid_index", "gx", "n", "h")
             .agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("ksum")))
     return dens.select(by, "grid_index", F.col("gx").alias("x"),

@@ -4,8 +4,8 @@ Plan:
 1. The fitted ensemble is saved to the shared checkpoint folder and its node
    table read back (``treeID``, ``nodeData``). The model's size is bounded
    by its parameters (trees x 2^(depth+1) nodes), not by the data; it is
-   turned into per-tree leaf-path arrays whose byte size is checked before
-   they are broadcast.
+   turned into per-tree leaf-path arrays, which are broadcast as part of the
+   model.
 2. The scored rows stay distributed: ``mapInPandas`` receives Arrow batches
    of (key, feature array) and computes all attributions of a batch with
    numpy, vectorised over rows and leaves. Output is long:
@@ -54,10 +54,8 @@ from pyspark.sql import functions as F
 from riskweave.schema import TOP_FEATURES
 from riskweave.session import scratch_path
 
-# Largest broadcast of path arrays; a bigger ensemble needs fewer or shallower trees.
-MAX_PATH_BYTES = 512 * 1024 * 1024
-# Largest ensemble whose node table is read to the driver.
-MAX_NODES = 5_000_000
+# Doubles in pattern tables that a task keeps from batch to batch.
+KEPT_ELEMENTS = 1 << 24
 # Largest per-tree pattern table (2^K x leaves x K doubles); beyond it the
 # per-row kernel is used.
 MAX_TABLE_ELEMENTS = 1 << 22
@@ -241,13 +239,19 @@ def tree_shap(x: np.ndarray, tp: TreePaths, n_features: int, table: np.ndarray |
 
 
 def ensemble_shap(x: np.ndarray, trees: Sequence[TreePaths], n_features: int,
-                  use_tables: bool = True) -> np.ndarray:
-    """Sum over trees, in row chunks whose [rows, leaves] planes stay in cache."""
-    out = np.zeros((x.shape[0], n_features))
-    for tp in trees:
+                  use_tables: bool = True, kept: dict | None = None) -> np.ndarray:
+    """Sum over trees, in row chunks whose [rows, leaves] planes stay in cache.
+    ``kept`` holds feature maps and tables from batch to batch, in bounds."""
+    out, kept = np.zeros((x.shape[0], n_features)), {} if kept is None else kept
+    for t, tp in enumerate(trees):
         L = max(1, tp.zero.shape[0])
-        fmap = _feature_map(tp, n_features)
-        table = _pattern_table(tp) if use_tables else None
+        if t in kept:
+            fmap, table = kept[t]
+        else:
+            fmap, table = _feature_map(tp, n_features), _pattern_table(tp) if use_tables else None
+            size = fmap.size + (0 if table is None else table.size)
+            if kept.get("size", 0) + size <= KEPT_ELEMENTS:
+                kept[t], kept["size"] = (fmap, table), kept.get("size", 0) + size
         step = max(8, PLANE_ELEMENTS // L)
         for a in range(0, x.shape[0], step):
             out[a:a + step] += tree_shap(x[a:a + step], tp, n_features, table, fmap)
@@ -305,8 +309,6 @@ def _paths_broadcast(model, spark):
 
 
 def _build_paths(model, spark) -> tuple[list[TreePaths], str]:
-    if model.totalNumNodes > MAX_NODES:
-        raise ValueError(f"ensemble of {model.totalNumNodes} nodes is too large to explain (max {MAX_NODES})")
     trees = _node_table(model, spark)
     if isinstance(model, GBTClassificationModel):
         weights = list(model.treeWeights)
@@ -324,9 +326,6 @@ def _build_paths(model, spark) -> tuple[list[TreePaths], str]:
         kind = "probability"
     else:
         raise TypeError(f"cannot explain {type(model).__name__}")
-    size = sum(p.nbytes for p in paths)
-    if size > MAX_PATH_BYTES:
-        raise ValueError(f"path arrays of {size} bytes exceed the broadcast bound {MAX_PATH_BYTES}")
     return paths, kind
 
 
@@ -335,8 +334,9 @@ def base_value(paths: Sequence[TreePaths]) -> float:
 
 
 def shap_values(model, prepared: DataFrame, feature_names: Sequence[str], key: str = "loan_no",
-                features: str = "features", partitions: int | None = None) -> DataFrame:
-    """(key, feature, phi) for every row of ``prepared`` and every feature."""
+                features: str = "features", partitions: int | None = None, with_value: bool = False) -> DataFrame:
+    """(key, feature, phi) for every row of ``prepared`` and every feature;
+    ``with_value`` adds the feature's (prepared) value."""
     spark = prepared.sparkSession
     bc = _paths_broadcast(model, spark)
     names = np.array(list(feature_names), dtype=object)
@@ -344,22 +344,27 @@ def shap_values(model, prepared: DataFrame, feature_names: Sequence[str], key: s
     key_type = prepared.schema[key].dataType.simpleString()
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = bc.value
+        trees, kept = bc.value, {}
         for pdf in batches:
             if pdf.empty:
                 continue
             x = np.stack(pdf["x"].to_numpy()).astype(np.float64).reshape(len(pdf), nf)
-            phi = ensemble_shap(x, trees, nf)
-            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), nf),
-                                "feature": np.tile(names, len(pdf)),
-                                "phi": phi.ravel()})
+            phi = ensemble_shap(x, trees, nf, kept=kept)
+            columns = {key: np.repeat(pdf[key].to_numpy(), nf), "feature": np.tile(names, len(pdf)), "phi": phi.ravel()}
+            yield pd.DataFrame(columns | ({"value": x.ravel()} if with_value else {}))
 
     # Attribution is CPU-heavy per row but light in bytes, so AQE would merge
     # the input into very few tasks; an explicit hash repartition by key
     # (deterministic on retry, kept by AQE) spreads it over every core.
     parts = partitions or max(1, spark.sparkContext.defaultParallelism)
     src = prepared.select(key, vector_to_array(features).alias("x")).repartition(parts, key)
-    return src.mapInPandas(explain, f"{key} {key_type}, feature string, phi double")
+    return src.mapInPandas(explain, f"{key} {key_type}, feature string, phi double" + ", value double" * with_value)
+
+
+def summary(shap: DataFrame, k: int = TOP_FEATURES) -> DataFrame:
+    """The rows of ``shap`` (with values) of its k strongest features: what an
+    attribution summary shows, attribution against feature value."""
+    return shap.join(top_features(shap, k).select("feature"), "feature", "left_semi")
 
 
 def top_features(shap: DataFrame, k: int = TOP_FEATURES) -> DataFrame:

@@ -14,7 +14,7 @@ Loans whose key is NULL match nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Callable, Sequence
+from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +74,20 @@ def layer_macro(loans: DataFrame, macro: DataFrame, exclude: Sequence[str] = MAC
     return joined.select(*[loans[c] for c in loans.columns], *[m[c] for c in out_names])
 
 
-def apply_layers(loans: DataFrame, layers: Sequence[DataFrame | LayerSpec],
-                 spark: SparkSession | None = None, **kwargs) -> DataFrame:
-    """Fold the selected layers over the loans; no layer -> loans unchanged."""
+def apply_layers(loans: DataFrame, layers: Sequence[str | DataFrame | LayerSpec],
+                 spark: SparkSession | None = None, catalogue: Mapping[str, LayerSpec] | None = None, **kwargs) -> DataFrame:
+    """Fold the selected layers over the loans; no layer -> loans unchanged.
+
+    A name is looked up in ``catalogue``; an unknown one raises before any
+    layer is applied."""
+    catalogue = catalogue or {}
+    unknown = [x for x in layers if isinstance(x, str) and x not in catalogue]
+    if unknown:
+        raise ValueError(f"unknown layers {unknown}; choose from {sorted(catalogue)}")
     out = loans
     for layer in layers:
+        if isinstance(layer, str):
+            layer = catalogue[layer]
         if isinstance(layer, LayerSpec):
             out = layer_macro(out, layer.load(spark or loans.sparkSession), layer.exclude, **kwargs)
         else:

@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -25,9 +24,6 @@ from riskweave.functions.quantiles import exact_quantiles
 from riskweave.schema import CORR_EXCLUDE, STANDARD_COLUMNS, SUMMARY_EXCLUDE, is_numeric
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Widest frame whose guarded aggregate (7 functions per pair) still compiles to one
-# code-generated stage; wider ones use the Gramian
-CORR_SQL_MAX_COLUMNS = 3
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -43,9 +39,8 @@ def macro_columns(df: DataFrame) -> list[str]:
 def describe_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75% (linear), max per numeric column.
 
-    Two passes over the data: one group-by on the (column, value) pairs for
-    the moments and counts (collected: one row per column), which also
-    routes the exact quartiles; then the quartile pass itself.
+    One group-by on the (column, value) pairs for the moments, joined with
+    the exact quartiles of the same pairs; lazy, one row per column.
     """
     cols = list(columns) if columns is not None else numeric_columns(df, SUMMARY_EXCLUDE)
     spark = df.sparkSession
@@ -57,33 +52,14 @@ def describe_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])).alias("kv")) \
         .select("kv.variable", "kv.value")
     moments = (long.groupBy("variable")
-               .agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-                    F.min("value").alias("min"), F.max("value").alias("max"))
-               .collect())
-    q = {r["variable"]: r for r in
-         exact_quantiles(long, "value", QUARTILES, by=["variable"], counts=moments).collect()}
-    rows = []
-    for c in cols:
-        m = next((r for r in moments if r["variable"] == c), None)
-        qr = q.get(c)
-        rows.append((c, m["n"] if m else 0, m["mean"] if m else None, m["std"] if m else None,
-                     m["min"] if m else None, *(qr[f"q{i}"] if qr else None for i in range(3)),
-                     m["max"] if m else None))
-    return spark.createDataFrame(rows, schema)
-
-
-def guarded_corr(x: str, y: str):
-    """Pearson r of x and y over rows where both are set; NULL when undefined.
-
-    Constant columns are recognised exactly (least == greatest value on the
-    shared rows): a floating deviation of a constant column can come out a
-    tiny non-zero number, which would turn the ratio into noise.
-    """
-    cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
-    both = cx.isNotNull() & cy.isNotNull()
-    bx, by = F.when(both, cx), F.when(both, cy)
-    varies = (F.min(bx) < F.max(bx)) & (F.min(by) < F.max(by))
-    return _clamp(F.when(varies, F.try_divide(F.covar_samp(cx, cy), F.stddev_samp(bx) * F.stddev_samp(by))))
+               .agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                    F.min("value").alias("min"), F.max("value").alias("max")))
+    quartiles = exact_quantiles(long, "value", QUARTILES, by=["variable"]).select(
+        F.col("variable").alias("__v"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    every = spark.createDataFrame([(c,) for c in cols], "__c string")
+    out = every.join(moments, F.col("__c") == F.col("variable"), "left").join(quartiles, F.col("__c") == F.col("__v"), "left")
+    return out.select(F.col("__c").alias("variable"), F.coalesce("count", F.lit(0)).alias("count"),
+                      "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def _clamp(r):
@@ -91,39 +67,21 @@ def _clamp(r):
     return F.when(r > 1.0, F.lit(1.0)).when(r < -1.0, F.lit(-1.0)).otherwise(r)
 
 
-def corr_long(df: DataFrame, columns: Sequence[str] | None = None,
-              method: str = "auto") -> DataFrame:
-    """Full correlation matrix in long form (col_a, col_b, corr); needs two columns.
-
-    ``method``: 'sql' runs guarded built-in aggregates (best for a few
-    columns), 'gram' the batched masked Gramian (best for many columns,
-    whose pair count makes the aggregate too wide for code generation),
-    'auto' picks by width.
-    """
+def corr_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Full correlation matrix in long form (col_a, col_b, corr); needs two columns."""
     cols = list(columns) if columns is not None else numeric_columns(df, CORR_EXCLUDE)
-    spark = df.sparkSession
-    schema = "col_a string, col_b string, corr double"
     if len(cols) < 2:
-        return spark.createDataFrame([], schema)
-    if method == "gram" or (method == "auto" and len(cols) > CORR_SQL_MAX_COLUMNS):
-        return _corr_gram(df, cols)
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    row = df.agg(*[guarded_corr(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs])
-    entries = []
-    for i, j in pairs:
-        entries.append(f"'{cols[i]}', '{cols[j]}', r_{i}_{j}")
-        if i != j:
-            entries.append(f"'{cols[j]}', '{cols[i]}', r_{i}_{j}")
-    return row.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (col_a, col_b, corr)")
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    return _corr_gram(df, cols)
 
 
 _GRAM_FIELDS = ("n", "sa", "sb", "saa", "sbb", "sab", "min_a", "max_a", "min_b", "max_b")
 
 
 def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-deletion Pearson correlation from per-batch masked Gramians.
+    """Pairwise-deletion Pearson correlation from per-task masked Gramians.
 
-    Each Arrow batch gives, for every pair (a <= b), the count of rows where
+    Each task adds up over its batches and gives, for every pair (a <= b), the count of rows where
     both are set and the sums of x_a, x_b, x_a^2, x_b^2, x_a*x_b over those
     rows (matrix products of the centred values and the presence mask),
     plus the least and greatest x_a and x_b there. Spark sums these
@@ -142,27 +100,26 @@ def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
     ia, ib = np.triu_indices(k)
 
     def partials(batches):
+        total = {f: np.zeros((k, k)) for f in ("n", "sx", "sxx", "sxy")}
+        lo, hi = np.full((k, k), np.inf), np.full((k, k), -np.inf)
         for pdf in batches:
-            if pdf.empty:
-                continue
             x = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
             m = ~np.isnan(x)
             mf = m.astype(np.float64)
             xc = np.where(m, x - shift, 0.0)
-            n = mf.T @ mf
-            sx = xc.T @ mf                       # sx[a, b] = sum of x_a where b is set
-            sxx = (xc * xc).T @ mf
-            sxy = xc.T @ xc
-            lo = np.full((k, k), np.inf)
-            hi = np.full((k, k), -np.inf)
+            total["n"] += mf.T @ mf
+            total["sx"] += xc.T @ mf             # [a, b]: sum of x_a where b is set
+            total["sxx"] += (xc * xc).T @ mf
+            total["sxy"] += xc.T @ xc
             for b in range(k):
                 both = m & m[:, b:b + 1]
-                lo[:, b] = np.where(both, x, np.inf).min(axis=0)
-                hi[:, b] = np.where(both, x, -np.inf).max(axis=0)
-            yield pd.DataFrame({
-                "a": ia.astype(np.int32), "b": ib.astype(np.int32), "n": n[ia, ib],
-                "sa": sx[ia, ib], "sb": sx[ib, ia], "saa": sxx[ia, ib], "sbb": sxx[ib, ia], "sab": sxy[ia, ib],
-                "min_a": lo[ia, ib], "max_a": hi[ia, ib], "min_b": lo[ib, ia], "max_b": hi[ib, ia]})
+                lo[:, b] = np.minimum(lo[:, b], np.where(both, x, np.inf).min(axis=0, initial=np.inf))
+                hi[:, b] = np.maximum(hi[:, b], np.where(both, x, -np.inf).max(axis=0, initial=-np.inf))
+        n, sx, sxx, sxy = total.values()
+        yield pd.DataFrame({
+            "a": ia.astype(np.int32), "b": ib.astype(np.int32), "n": n[ia, ib],
+            "sa": sx[ia, ib], "sb": sx[ib, ia], "saa": sxx[ia, ib], "sbb": sxx[ib, ia], "sab": sxy[ia, ib],
+            "min_a": lo[ia, ib], "max_a": hi[ia, ib], "min_b": lo[ib, ia], "max_b": hi[ib, ia]})
 
     out_schema = "a int, b int, " + ", ".join(f"{f} double" for f in _GRAM_FIELDS)
     src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
@@ -170,7 +127,7 @@ def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
             .agg(*[F.sum(f).alias(f) for f in _GRAM_FIELDS[:6]],
                  F.min("min_a").alias("min_a"), F.max("max_a").alias("max_a"),
                  F.min("min_b").alias("min_b"), F.max("max_b").alias("max_b")))
-    n = F.col("n")
+    n = F.when(F.col("n") > 0, F.col("n"))
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
     va = F.col("saa") - F.col("sa") * F.col("sa") / n
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
@@ -180,7 +137,7 @@ def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
     names = [(i, c) for i, c in enumerate(cols)]
     grid = spark.createDataFrame([(i, j, ci, cj) for i, ci in names for j, cj in names if i <= j],
                                  "a int, b int, col_a string, col_b string")
-    full = grid.join(F.broadcast(r), ["a", "b"], "left")
+    full = grid.join(r, ["a", "b"], "left")
     upper = full.select("col_a", "col_b", "corr")
     lower = full.where(F.col("a") != F.col("b")).select(F.col("col_b").alias("col_a"),
                                                          F.col("col_a").alias("col_b"), "corr")
@@ -188,14 +145,18 @@ def _corr_gram(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by: str = "default_flag") -> DataFrame:
-    """Quartiles, 1.5 IQR whisker ends (last value inside the fence) and outlier count per group."""
+    """Quartiles, 1.5 IQR whisker ends (last value inside the fence) and outlier
+    count per group. No rows unless both columns are there."""
+    if not {value, by} <= set(df.columns):
+        return df.sparkSession.createDataFrame([], f"`{by}` double, n bigint, q1 double, median double, q3 double, "
+                                                   "whisker_lo double, whisker_hi double, n_outliers bigint")
     d = df.select(F.col(by), F.col(value).cast("double").alias("v")) \
         .where(F.col(by).isNotNull() & F.col("v").isNotNull())
     q = exact_quantiles(d, "v", QUARTILES, by=[by]).select(
         by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = d.join(F.broadcast(q), by)
+    j = d.join(q, by)
     return (j.groupBy(by, "n", "q1", "median", "q3")
             .agg(F.min(F.when(F.col("v") >= F.col("lo_fence"), F.col("v"))).alias("whisker_lo"),
                  F.max(F.when(F.col("v") <= F.col("hi_fence"), F.col("v"))).alias("whisker_hi"),

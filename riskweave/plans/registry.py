@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.dates import parse_date
 from riskweave.operators import density, explain, features, models, portfolio, risk, statistics
-from riskweave.operators.layering import apply_layers, layer_macro
+from riskweave.operators.layering import LayerSpec, apply_layers, layer_macro
 from riskweave.plans.workspace import workspace
 from riskweave.session import scratch_path
 from riskweave.sources import sinks
-from riskweave.sources.loans import read_loans, tag_loans
-from riskweave.sources.macro import build_macro_panel, country_lookup, resolve_country_code
+from riskweave.sources.loans import read_loans, tag_loans, unparsed_dates
+from riskweave.sources.macro import build_macro_panel, country_lookup, read_macro, resolve_country_code
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,7 +79,24 @@ def q_macro_panel(spark, sf_dir):
 # ---------------------------------------------------------------- layering
 
 def q_macro_layer(spark, sf_dir):
-    return workspace(spark, sf_dir).layered()
+    return workspace(spark, sf_dir).layered_plan()
+
+
+def q_layer_by_name(spark, sf_dir):
+    ws = workspace(spark, sf_dir)
+    return apply_layers(ws.loans, ["gdp"], spark, {"gdp": LayerSpec("gdp", lambda s: ws.macro)})
+
+
+def q_layer_none(spark, sf_dir):
+    return apply_layers(workspace(spark, sf_dir).loans, [])
+
+
+def q_macro_scan(spark, sf_dir):
+    return read_macro(spark, workspace(spark, sf_dir).macro_path)
+
+
+def q_unparsed_dates(spark, sf_dir):
+    return unparsed_dates(workspace(spark, sf_dir).loan_csv)
 
 
 def fanout_macro(macro: DataFrame) -> DataFrame:
@@ -110,6 +127,10 @@ def q_filter_year(spark, sf_dir):
     return portfolio.filter_portfolio(workspace(spark, sf_dir).layered(), year=FILTER_YEAR)
 
 
+def q_filter_both(spark, sf_dir):
+    return portfolio.filter_portfolio(workspace(spark, sf_dir).layered(), borrower_type=FILTER_TYPE, year=FILTER_YEAR)
+
+
 def q_distinct_types(spark, sf_dir):
     return portfolio.distinct_values(workspace(spark, sf_dir).layered(), "borrower_type")
 
@@ -281,6 +302,16 @@ def q_rf_shap_top10(spark, sf_dir):
     return explain.top_features(_shap(spark, sf_dir, models.FOREST, REGISTRY_RF))
 
 
+def q_shap_summary(spark, sf_dir):
+    m = workspace(spark, sf_dir).model(models.BOOSTED, **REGISTRY_GBT)
+    return explain.summary(explain.shap_values(m.model, m.test, m.feature_names, m.key, with_value=True))
+
+
+def q_rf_expected_loss_totals(spark, sf_dir):
+    scored = workspace(spark, sf_dir).model(models.FOREST, **REGISTRY_RF).score()
+    return risk.expected_loss_totals(risk.expected_loss(scored, "pd", LGD_PCT))
+
+
 # Rows shown in the scored-loan table (a display limit, ordered by loan number).
 EL_DISPLAY_ROWS = 50
 
@@ -345,9 +376,14 @@ QUERIES: dict[str, Query] = {
     "macro_layer": q_macro_layer,
     "macro_layer_fanout": q_macro_layer_fanout,
     "macro_layer_two": q_macro_layer_two,
+    "layer_by_name": q_layer_by_name,
+    "layer_none": q_layer_none,
+    "macro_scan": q_macro_scan,
+    "unparsed_dates": q_unparsed_dates,
     # dashboard
     "filter_borrower_type": q_filter_borrower_type,
     "filter_year": q_filter_year,
+    "filter_both": q_filter_both,
     "distinct_types": q_distinct_types,
     "distinct_years": q_distinct_years,
     "preview_loans": q_preview_loans,
@@ -386,6 +422,8 @@ QUERIES: dict[str, Query] = {
     "model_expected_loss": q_model_expected_loss,
     "model_expected_loss_totals": q_model_expected_loss_totals,
     "shap_values": q_shap_values,
+    "rf_expected_loss_totals": q_rf_expected_loss_totals,
+    "shap_summary": q_shap_summary,
     "shap_top10": q_shap_top10,
     "rf_shap_top10": q_rf_shap_top10,
 }

@@ -69,10 +69,14 @@ class Workspace:
         return build_country_mapping(self.economies)
 
     @cached_property
-    def macro(self) -> DataFrame:
+    def macro_path(self) -> str:
         path = scratch_path(self.spark, "macro_gdp")
         build_macro_panel(self.macro_wide, self.economies).write.parquet(path)
-        return self.spark.read.parquet(path)
+        return path
+
+    @cached_property
+    def macro(self) -> DataFrame:
+        return self.spark.read.parquet(self.macro_path)
 
     def layered_plan(self) -> DataFrame:
         """The layering join as a lazy plan (loan panel + broadcast macro panel)."""

@@ -86,3 +86,11 @@ def test_shuffle_path_with_hot_key_and_null_keys(spark):
     hot = a.where(F.col("country_code") == "HOT").select("gdp_usd").distinct().collect()
     assert [r.gdp_usd for r in hot] == [3.0 * 2010]
     assert a.where(F.col("country_code").isNull() & F.col("gdp_usd").isNotNull()).count() == 0
+
+
+def test_named_layers(frames, spark):
+    loans, macro = frames
+    catalogue = {"gdp": LayerSpec("gdp", lambda s: macro)}
+    assert rows(apply_layers(loans, ["gdp"], spark, catalogue)) == EXPECTED
+    with pytest.raises(ValueError, match="unknown layers"):
+        apply_layers(loans, ["gdp", "cpi"], spark, catalogue)
