@@ -81,3 +81,8 @@ def test_no_feature_columns(spark):
     df = spark.createDataFrame([(i, float(i % 2)) for i in range(20)], "loan_no bigint, default_flag double")
     with pytest.raises(ValueError, match="no feature columns"):
         models.train_and_evaluate(df, "XGBoost", max_iter=2)
+
+
+def test_registered_forest_grows_to_the_default_depth(spark):
+    from riskweave.plans import registry
+    assert models.random_forest(**registry.REGISTRY_RF).getMaxDepth() == models.RF_DEFAULT_DEPTH
