@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 
 from riskweave.llm.frames import batch, with_fallback, written
 
-# Distinct digests of a bucket, on average; a filter is built by one task.
+# Distinct digests of a bucket on either side, on average; a filter is built by
+# one task, and one task probes a bucket's incoming digests.
 BUCKET_KEYS = 4096
 # Salts of the byte check: copies of one text spread over so many groups.
 SALTS = 32
@@ -173,7 +174,9 @@ def exact_dedup(docs: DataFrame, in_snapshot=None) -> DataFrame:
 
     old, new = grouped(rows.where("in_snapshot")), grouped(rows.where("not in_snapshot"))
     old = written(old, "dedup-snapshot")
-    buckets = max(1, -(-old.count() // BUCKET_KEYS))
+    # Either side can be the larger one; the count of the incoming digests sets sizes only, so a sketch does.
+    incoming = rows.where("not in_snapshot").agg(F.approx_count_distinct("digest").alias("n")).first()["n"]
+    buckets = max(1, -(-max(old.count(), incoming) // BUCKET_KEYS))
     hits = written(screen(new, snapshot_filters(old, buckets), buckets), "dedup-hits")
     # Only the screened hits meet the exact buckets; of the rest, a group is what its own side holds.
     both = old.join(hits, "digest", "left_semi").unionByName(new)

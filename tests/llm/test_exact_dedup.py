@@ -55,3 +55,21 @@ def test_screen_keeps_every_member(spark):
     snapshot, incoming = (spark.createDataFrame(part, "digest binary") for part in (digests[:1200], digests[1000:]))
     hits = {bytes(r["digest"]) for r in D.screen(incoming, D.snapshot_filters(snapshot, 3), 3).collect()}
     assert {d for d, in digests[1000:1200]} <= hits and len(hits) < 210
+
+
+@pytest.mark.parametrize("side", ["none", "few"])
+def test_incoming_groups_stay_small_beside_a_small_snapshot(spark, monkeypatch, side):
+    rows = [(k, f"text {k % 450}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    largest, screen = [], D.screen
+
+    def seen(incoming, filters, buckets):
+        sizes = incoming.groupBy(D._bucket(buckets).alias("bucket")).count()
+        largest.append(sizes.agg(F.max("count").alias("n")).first()["n"])
+        return screen(incoming, filters, buckets)
+
+    monkeypatch.setattr(D, "screen", seen)
+    monkeypatch.setattr(D, "BUCKET_KEYS", 16)
+    where = {"none": F.lit(False), "few": F.col("doc_id") < 3}[side]
+    assert got(D.exact_dedup(docs, where)) == brute(rows)
+    assert len(largest) == 1 and largest[0] <= 3 * 16
