@@ -147,17 +147,20 @@ def predict(model: PpmModel, column: pa.Array) -> tuple[list, np.ndarray, np.nda
 def training_sample(docs: DataFrame, learn: Column, per_language: int = DOCS_PER_LANGUAGE,
                     max_chars: int = MAX_CHARS) -> list[tuple[str, str]]:
     """(lang, text) of at most ``per_language`` documents of each non-null
-    lang, in the order of a hash of doc_id; the bound is on training only."""
+    lang, in the order of a hash of doc_id (without one: of the text); the
+    bound is on training only. Rows that repeat lang and doc_id are one
+    document, of which the smallest text counts."""
     rows = with_fallback(docs, doc_id="bigint", text="string", lang="string").where(
         learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).alias("key"))
     # A hash threshold per language leaves about three times the bound, whatever the number of rows.
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = rows.select("lang", "doc_id").join(F.broadcast(sizes), "lang").where(draw * F.col("n") <= 3 * per_language + 50)
-    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
-    chosen = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    picked = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    return sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").limit(per_language * 64).collect())
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
+    draw = F.pmod("key", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = rows.select("lang", "key").join(F.broadcast(sizes), "lang").where(draw * F.col("n") <= 3 * per_language + 50)
+    order = Window.partitionBy("lang").orderBy(draw, "key")
+    chosen = drawn.select("lang", "key").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    picked = rows.join(F.broadcast(chosen.select("lang", "key")), ["lang", "key"], "left_semi")
+    return sorted((r["lang"], r["text"]) for r in picked.groupBy("lang", "key").agg(F.min("text").alias("text")).collect())
 
 
 def remainder(divisor: int) -> Column:

@@ -4,6 +4,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from riskweave.llm import langid
 
@@ -103,3 +104,17 @@ def test_held_out_accuracy(sample):
     found = langid.identify(sample, langid.fit_on(sample)).join(sample.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and r["lang"] and r["lang_pred"] != "und"]
     assert len(held) > 30 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+
+
+def test_sample_holds_every_language_and_one_row_per_document(spark):
+    rows = [(k, f"l{lang}", f"text {lang} {k}") for lang in range(100) for k in range(3)]
+    docs = spark.createDataFrame(rows * 2 + [(7, "twice", t) for t in "bca"], "doc_id bigint, lang string, text string")
+    sample = langid.training_sample(docs, F.lit(True), per_language=2)
+    assert {lang: sum(at == lang for at, _ in sample) for lang, _ in sample} == {f"l{k}": 2 for k in range(100)} | {"twice": 1}
+    assert len(set(sample)) == 201 and ("twice", "a") in sample
+
+
+def test_sample_holds_documents_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "en", f"text {k}") for k in range(5)] + [(1, "en", "one")], "doc_id bigint, lang string, text string")
+    assert len(langid.training_sample(docs, F.lit(True), per_language=6)) == 6
+    assert len(langid.training_sample(docs, F.lit(True), per_language=4)) == 4
