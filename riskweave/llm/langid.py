@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.frames import CHUNK_BYTES, batch, utf8, with_fallback
 
-# Bound of the training sample: documents of each language, none longer than MAX_CHARS.
+# Bound of the training sample: documents of each language, and characters from the start of each.
 DOCS_PER_LANGUAGE = 400
 MAX_CHARS = 20_000
 # Bits per byte from which a text is rejected: what equally likely bytes take.
@@ -149,10 +149,11 @@ def training_sample(docs: DataFrame, learn: Column, per_language: int = DOCS_PER
     """(lang, text) of at most ``per_language`` documents of each non-null
     lang, in the order of a hash of doc_id (without one: of the text); the
     bound is on training only. Rows that repeat lang and doc_id are one
-    document, of which the smallest text counts."""
+    document, of which the smallest text counts. Of a text longer than
+    ``max_chars`` its first ``max_chars`` characters are taken."""
     rows = with_fallback(docs, doc_id="bigint", text="string", lang="string").where(
-        learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = rows.select("lang", "text", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).alias("key"))
+        learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("lang", F.substring("text", 1, max_chars).alias("text"), F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).alias("key"))
     # A hash threshold per language leaves about three times the bound, whatever the number of rows.
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
     draw = F.pmod("key", F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -195,11 +196,15 @@ def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: PpmModel) -> DataFrame:
     """The rows of ``docs``, all columns, without those that the language
     identification rejects: no letters (or null), or a text that no
-    language's tree codes shorter than equally likely bytes would be."""
+    language's tree codes shorter than equally likely bytes would be. A model
+    without any language can reject only the texts without letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not shared.value.languages:
+                yield b.filter(pa.array([has_letter(t) for t in b.column("text").to_pylist()], pa.bool_()))
+                continue
             names, _, bits = predict(shared.value, b.column("text"))
             keep = np.array([n != UNDETERMINED for n in names], bool) & (bits < UNIFORM_BITS)
             yield b.filter(pa.array(keep))

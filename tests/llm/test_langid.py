@@ -118,3 +118,17 @@ def test_sample_holds_documents_without_an_id(spark):
     docs = spark.createDataFrame([(None, "en", f"text {k}") for k in range(5)] + [(1, "en", "one")], "doc_id bigint, lang string, text string")
     assert len(langid.training_sample(docs, F.lit(True), per_language=6)) == 6
     assert len(langid.training_sample(docs, F.lit(True), per_language=4)) == 4
+
+
+def test_long_documents_are_learned_from_their_start(spark):
+    docs = spark.createDataFrame([(1, "en", EN * 400), (2, "de", DE)], "doc_id bigint, lang string, text string")
+    sample = dict(langid.training_sample(docs, F.lit(True)))
+    assert sample == {"en": (EN * 400)[:langid.MAX_CHARS], "de": DE}
+    assert len(sample["en"]) < len(EN * 400)
+
+
+def test_without_any_language_texts_with_letters_stay(hard):
+    kept = langid.keep_identified(hard, langid.fit([]))
+    assert kept.columns == hard.columns
+    want = sorted((r["doc_id"] for r in hard.collect() if langid.has_letter(r["text"])), key=str)
+    assert want and sorted((r["doc_id"] for r in kept.collect()), key=str) == want
