@@ -396,19 +396,33 @@ def plausible(kind: str, s: str) -> bool:
     return re.fullmatch(r"[+(][0-9][\x20().0-9-]*[0-9]", s) is not None and is_phone(s)
 
 
+# Digits of the longest item that may hold blanks (a card).
+MOST_DIGITS = 19
+
+
 def parts(text: str, start: int, end: int, kind: str, score: float) -> list[tuple[int, int, str, float]]:
-    """A span as it is, if plausible; else its plausible runs of up to five
-    words (items that run together), with their share of the score."""
+    """A span as it is, if plausible; else its plausible words and runs of
+    words (items that run together), with their share of the score. A run
+    starts and ends with a word that has digits, and has up to MOST_DIGITS."""
     s, e = trimmed(text, kind, start, end)
     if plausible(kind, text[s:e]):
         return [(s, e, kind, score)]
     words = [(m.start() + start, m.end() + start) for m in re.finditer(r"\S+", text[start:end])]
+    digits = [len(re.sub("[^0-9]", "", text[s:e])) for s, e in words]
+    numbered = [k for k, n in enumerate(digits) if n]
+    runs = [(k, k) for k in range(len(words))]
+    for i, k in enumerate(numbered):
+        total = digits[k]
+        for last in numbered[i + 1:i + MOST_DIGITS]:
+            total += digits[last]
+            if total > MOST_DIGITS:
+                break
+            runs.append((k, last))
     out = []
-    for k in range(len(words)):
-        for last in range(k, min(k + 5, len(words))):
-            s, e = trimmed(text, kind, words[k][0], words[last][1])
-            if plausible(kind, text[s:e]):
-                out.append((s, e, kind, score * (e - s) / (end - start)))
+    for k, last in runs:
+        s, e = trimmed(text, kind, words[k][0], words[last][1])
+        if plausible(kind, text[s:e]):
+            out.append((s, e, kind, score * (e - s) / (end - start)))
     return out
 
 

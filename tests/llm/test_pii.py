@@ -100,3 +100,22 @@ def test_hard_rows(hard, nothing, model):
     assert safe.columns == hard.columns and safe.schema == hard.schema
     masked = {r["doc_id"]: r for r in safe.collect()}
     assert masked[12]["text"] == "mail <EMAIL> or <IP>" and masked[12]["n_chars"] == 20 and masked[3]["text"] is None
+
+
+@pytest.mark.parametrize("kind, item, rest", [
+    ("phone", "+33 6 12 34 56 78", " 0612345678"),
+    ("phone", "+1 2 3 4 5 6 7 8 9 0", " 0612345678"),
+    ("card", "41 11 11 11 11 11 11 11", " 0000"),
+    ("card", "4111 1111 1111 1111", " 9999"),
+    ("email", "a12345678901234567890123@some.org", " b")])
+def test_items_of_any_groups_are_found_in_a_span_that_runs_on(kind, item, rest):
+    text = "at " + item + rest
+    found = pii.parts(text, 3, len(text), kind, 1.0)
+    assert (3, 3 + len(item)) in [(s, e) for s, e, _, _ in found]
+    if kind == "phone":
+        assert max(found, key=lambda x: x[3])[:2] == (3, 3 + len(item))
+
+
+def test_parts_stay_linear():
+    text = "1 - " * 2000 + "- " * 20000 + "+ ( " * 2000
+    assert len(pii.parts(text, 0, len(text), "phone", 1.0)) == 0
