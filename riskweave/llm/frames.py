@@ -18,15 +18,16 @@ CHUNK_BYTES = 1 << 20
 
 
 # Rows and bytes of one Arrow batch between Spark and Python: what a task holds, whatever the texts' lengths.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's limits of an Arrow batch to the bounds above."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(spark.conf.get(key).rstrip("bB"))
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
+    """Give the session the bounds above where it sets none of its own; a
+    limit that the user has set stays as it is, in whatever notation."""
+    held = spark.conf.getAll
+    for key, most in BATCH_DEFAULTS.items():
+        if key not in held:
+            spark.conf.set(key, most)
 
 
 def with_fallback(df: DataFrame, **types: str) -> DataFrame:

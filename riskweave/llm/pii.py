@@ -58,7 +58,8 @@ def luhn(digits: str) -> bool:
 
 
 def is_ip(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    parts = [p.lstrip("0") for p in s.split(".")]
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
 
 
 def is_card(s: str) -> bool:

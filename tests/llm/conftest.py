@@ -14,7 +14,8 @@ def hard_rows():
     many_words = " ".join(f"w{k % 997} the" for k in range(20_000))
     rows = [(1, EN, "en"), (2, DE, "de"), (3, None, "en"), (4, "", None), (5, " \n\t ", "de"), (6, "1234 5678 !!", None),
             (7, long_word, None), (8, many_words, None), (9, EN.upper(), "en"), (10, EN, "en"), (10, EN, "en"),
-            (None, EN, "en"), (None, None, None), (11, "a\u0000b \U0001F600 日本 é", None), (12, "mail bob@example.com or 10.0.0.1", "en")]
+            (None, EN, "en"), (None, None, None), (11, "a\u0000b \U0001F600 日本 é", None), (12, "mail bob@example.com or 10.0.0.1", "en"),
+            (13, "0" * 5000 + "1.1.1.1 and " + "9" * 6000 + ".1.1.1", None)]
     return [(i, t, lang, None if i == 5 else "s", None if t is None or i == 9 else len(t), *EXTRA) for i, t, lang in rows]
 
 

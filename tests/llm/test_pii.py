@@ -21,7 +21,7 @@ def plain_luhn(d):
     return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(reversed(d))) % 10 == 0
 
 
-VALID = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")),
+VALID = {"email": lambda s: True, "ip": lambda s: all(float(p) <= 255 for p in s.split(".")),
          "card": lambda s: 16 <= len(digits(s)) <= 19 and plain_luhn(digits(s)), "phone": lambda s: 8 <= len(digits(s)) <= 15}
 
 

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from riskweave.llm import ngram_join as N
 from riskweave.llm.queries import ORACLE, QUERIES
 
 
@@ -28,3 +29,14 @@ def test_equals_sql(spark, small_sf, name):
 def test_columns(spark, small_sf, name, columns):
     df = QUERIES[name](spark, small_sf)
     assert {c: t for c, t in df.dtypes if c in columns} == columns and df.count() > 0
+
+
+def test_limits_set_by_the_user_stay(spark, nothing):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.getAll.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        assert N.similar_classes(nothing).count() == 0
+        assert spark.conf.get(key) in ("64m", "67108864b")
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
