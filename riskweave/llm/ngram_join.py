@@ -7,8 +7,9 @@ their Jaccard similarity. A run splits the classes recursively: each node
 samples positions, 1/similarity of them on average, and every class goes to
 the child named by its token at each sampled position. Nodes of at most
 LEAF classes, and nodes at the last depth, are compared by brute force on
-the tokens; runs are repeated until two classes of the lowest similarity
-meet with the target recall. Classes that may be similar are connected to
+the tokens; a node whose sample is empty takes one position all the same,
+so that no path ends above a leaf. Runs are independent, and are repeated
+until two classes of the lowest similarity meet with the target recall. Classes that may be similar are connected to
 clusters, and each cluster is verified by brute force on its exact
 shingles, in blocks of bounded size, so that all links inside are found and
 counted, also those that no run had met. What is written per class never
@@ -35,7 +36,7 @@ SIMILARITY = 0.8
 POSITIONS = 128
 LEAF = 128
 MAX_DEPTH = 4
-RECALL = 0.99
+RECALL = 0.999
 # Classes of one brute-force block; a block pair is one unit of work.
 BLOCK = 256
 # Standard deviations that the estimate on tokens may fall short.
@@ -50,18 +51,19 @@ EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 LINKS = pa.schema([("set_id", pa.binary()), ("other", pa.binary()), ("links", pa.int64())])
 
 
-def survival(depth: int) -> float:
-    """Chance that two sets of the lowest similarity share a leaf of one run
-    at ``depth``: a branching process with one shared child on average."""
+def survival(depth: int, similarity: float = SIMILARITY) -> float:
+    """Chance that two sets of the lowest similarity t share a leaf of one run
+    at ``depth``. A branching process: a node has Poisson(1/t) children, but
+    one at least, and the pair shares each with chance t."""
     p = 1.0
     for _ in range(depth):
-        p = 1 - math.exp(-p)
+        p = 1 - math.exp(-p) + similarity * p * math.exp(-1 / similarity)
     return p
 
 
-def runs_for(recall: float, depth: int = MAX_DEPTH) -> int:
+def runs_for(recall: float, similarity: float = SIMILARITY, depth: int = MAX_DEPTH) -> int:
     """Runs until the target recall is reached at the greatest depth."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth, similarity)))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +117,13 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def sampled(node: np.ndarray, similarity: float) -> np.ndarray:
-    """(nodes x positions): which positions each node has sampled."""
+    """(nodes x positions): which positions each node has sampled; one of
+    the smallest hash if the sample would be empty."""
     chance = 1 / (similarity * POSITIONS)
     h = mix(node.astype(np.uint64)[:, None] ^ FACTORS[None, :])
-    return (h >> np.uint64(11)).astype(np.float64) / 2.0 ** 53 < chance
+    taken = (h >> np.uint64(11)).astype(np.float64) / 2.0 ** 53 < chance
+    taken[np.arange(len(node)), h.argmin(1)] = True  # the smallest is in every sample that is not empty
+    return taken
 
 
 def children(node: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +150,18 @@ def split(rows: DataFrame, similarity: float, roots: list[int] | None = None) ->
 
 def leaves(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
     """(node, set_id, n) of all leaves with two and more classes, of all runs."""
-    roots = [int(mix(np.array([SEED + r], np.uint64)).astype(np.int64)[0]) for r in range(runs_for(recall))]
+    roots = [int(mix(np.array([SEED + r], np.uint64)).astype(np.int64)[0]) for r in range(runs_for(recall, similarity))]
     level = split(sets.select("set_id", "tokens"), similarity, roots)
     out = None
     for depth in range(1, MAX_DEPTH + 1):
         level = written(level, "path-nodes")
-        size = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("members")).where("n > 1")
-        # Nodes with the same members (close copies meet in many runs) count once.
-        size = written(size.groupBy("n", "members").agg(F.min("node").alias("node")).select("node", "n"), "path-sizes")
-        done = level.join(size if depth == MAX_DEPTH else size.where(F.col("n") <= LEAF), "node")
+        size = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("members"))
+        size = written(size.where("n > 1"), "path-sizes")
+        ends = size if depth == MAX_DEPTH else size.where(F.col("n") <= LEAF)
+        # Leaves with the same members (close copies meet in many runs) are compared once; nodes that go on
+        # all go on, whoever is in them, since a run may lose what another finds.
+        ends = ends.groupBy("n", "members").agg(F.min("node").alias("node")).select("node", "n")
+        done = level.join(ends, "node")
         out = done if out is None else out.unionByName(done)
         if depth < MAX_DEPTH:
             large = level.join(size.where(F.col("n") > LEAF).select("node"), "node")

@@ -134,3 +134,35 @@ def test_components(spark, edges):
         root[max(a, b)] = min(a, b)
     rows = components(df).collect()
     assert len(rows) == len(root) and {r["node"]: r["root"] for r in rows} == {x: find(x) for x in list(root)}
+
+
+def test_clusters_of_more_than_a_leaf_stay_whole(spark):
+    rng = random.Random(5)
+    rows = []
+    for cluster in range(7):
+        text = [f"c{cluster}x{rng.randrange(10 ** 6)}" for _ in range(3000)]
+        for _ in range(N.LEAF + 12):
+            copy = list(text)
+            for _ in range(2):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(10 ** 9)}"
+            rows.append((len(rows), " ".join(copy)))
+    found = N.similar_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()
+    size = N.LEAF + 12
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in found} == {(i, i // size * size, size - 1) for i, _ in rows}
+
+
+@pytest.mark.parametrize("changed", [8, 6, 4, 2])  # of 400 words: similarities from about 0.8 to 0.95
+def test_recall_by_similarity_at_the_greatest_depth(spark, monkeypatch, changed):
+    monkeypatch.setattr(N, "LEAF", 1)
+    rng = random.Random(changed)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows = []
+    for _ in range(150):
+        text = rng.choices(vocabulary, k=400)
+        copy = list(text)
+        for k in rng.sample(range(0, 400, 10), changed):
+            copy[k] = rng.choice(vocabulary)
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(copy))]
+    want = sum(r[2] > 0 for r in brute(rows))
+    have = sum(r[2] > 0 for r in got(N.similar_classes(spark.createDataFrame(rows, "doc_id bigint, text string"))))
+    assert want > 100 and have >= 0.97 * want
