@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import ann, chat
 from riskweave.llm import exact_dedup as dedup
-from riskweave.llm import langid, ngram_join, packing, piece_codec, pii, quality, urlfilter
-from riskweave.llm.frames import table
+from riskweave.llm import hard_negatives, langid, ngram_join, packing, piece_codec, pii, quality, urlfilter, vector_codes, warc
+from riskweave.llm.frames import stored, table
+from riskweave.session import scratch_path
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(table(spark, sf_dir, "pages"), scratch_path(spark, "archive"))
+    records, _ = stored(warc.read_archive(spark, path, with_payload=False).drop("payload"), "warc-records")
+    return warc.resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
 OP7_SQL = """
 WITH low AS (
     SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
@@ -143,6 +159,77 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """.replace("\\", "\\")
 
+SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11_SQL = f"""
+WITH kept AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND {SOUND}
+), scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+    FROM kept a JOIN kept r ON r.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER first::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW first AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER first <= 5
+"""
+
+OP12_SQL = """
+WITH records AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), kept AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM records
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM kept
+"""
+
+
+def _lloyd_sql() -> str:
+    """The rounds written out as one table of entries and one of assignments each."""
+    square = "list_inner_product({0}, {0})"
+    steps = [f"""kept AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS v, len(embedding) // 8 AS w
+    FROM embeddings WHERE {SOUND}
+), parts AS MATERIALIZED (
+    SELECT vec_id, label, p, v[p * w + 1:p * w + w] AS part FROM kept, range(8) AS positions(p)
+), entries0 AS MATERIALIZED (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS entry, part AS mean FROM parts
+    QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 16
+)"""]
+    for k in range(7):
+        steps.append(f"""assigned{k} AS MATERIALIZED (
+    SELECT vec_id, any_value(label) AS label, p, any_value(part) AS part, min(struct_pack(d := d, entry := entry)) AS best
+    FROM (SELECT vec_id, label, p, part, entry, {square.format("part")} - 2 * list_inner_product(part, mean) + {square.format("mean")} AS d
+          FROM parts JOIN entries{k} USING (p)) compared GROUP BY vec_id, p
+)""")
+        if k < 6:
+            steps.append(f"""sums{k} AS (
+    SELECT p, entry, list(mean ORDER BY place) AS mean FROM (
+        SELECT p, best.entry AS entry, place, floor(sum(part[place]) / count(*)) AS mean
+        FROM assigned{k}, unnest(range(1, len(part) + 1)) AS places(place) GROUP BY ALL) means GROUP BY p, entry
+), entries{k + 1} AS MATERIALIZED (
+    SELECT p, entry, coalesce(n.mean, o.mean) AS mean FROM entries{k} o LEFT JOIN sums{k} n USING (p, entry)
+)""")
+    return "WITH " + ", ".join(steps) + """, coded AS (
+    SELECT vec_id, any_value(label) AS label, string_agg(format('{:02x}', best.entry), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+    FROM assigned6 GROUP BY vec_id
+), books AS (
+    SELECT sha256(string_agg(array_to_string(list_transform(mean, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY p, entry)) AS codebooks_sha256
+    FROM entries6
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -154,10 +241,16 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_warc": op12_warc,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE = {
     "op3_url_filter": OP3_SQL,
     "op6_chat_format": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_warc": OP12_SQL,
+    "op13_vector_codes": _lloyd_sql(),
 }

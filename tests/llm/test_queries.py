@@ -15,7 +15,7 @@ def canon(columns, records):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, small_sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small_sf}/{t}.parquet')")
     df, res = QUERIES[name](spark, small_sf), con.execute(ORACLE[name])
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([c[0] for c in res.description], res.fetchall())
