@@ -7,7 +7,8 @@ their Jaccard similarity. A run splits the classes recursively: each node
 samples positions, 1/similarity of them on average, and every class goes to
 the child named by its token at each sampled position. Nodes of at most
 LEAF classes, and nodes at the last depth, are compared by brute force on
-the tokens; a node whose sample is empty takes one position all the same,
+the tokens (in a large one, members near the same pivot are connected
+through it and not compared with each other); a node whose sample is empty takes one position all the same,
 so that no path ends above a leaf. Runs are independent, and are repeated
 until two classes of the lowest similarity meet with the target recall. Classes that may be similar are connected to
 clusters, and each cluster is verified by brute force on its exact
@@ -18,12 +19,13 @@ depends on the number of links: counts and a spanning forest, no pairs.
 
 from __future__ import annotations
 
+import base64
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +38,9 @@ SIMILARITY = 0.8
 POSITIONS = 128
 LEAF = 128
 MAX_DEPTH = 4
-RECALL = 0.999
+RECALL = 0.995
+# Members of a large leaf that all others are compared with first.
+PIVOTS = 4
 # Classes of one brute-force block; a block pair is one unit of work.
 BLOCK = 256
 # Standard deviations that the estimate on tokens may fall short.
@@ -219,13 +223,16 @@ def forest(similar: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), POSITIONS)
+
+
 def likely_edges(members: DataFrame, similarity: float) -> DataFrame:
-    """Spanning edges between classes of a leaf whose tokens agree enough."""
+    """Edges that connect the classes of a leaf whose tokens agree enough."""
     least = POSITIONS * similarity - SLACK * math.sqrt(POSITIONS * similarity * (1 - similarity))
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = t.column("set_id").combine_chunks()
-        tokens = np.frombuffer(b"".join(t.column("tokens").to_pylist()), np.uint32).reshape(len(ids), POSITIONS)
+        ids, tokens = t.column("set_id").combine_chunks(), matrix(t.column("tokens"))
         agree = np.zeros((len(ids), len(ids)), np.uint8)
         for k in range(POSITIONS):
             agree += tokens[:, k, None] == tokens[None, :, k]
@@ -234,7 +241,53 @@ def likely_edges(members: DataFrame, similarity: float) -> DataFrame:
             a, b = zip(*edges)
             yield batch(EDGES, a=ids.take(pa.array(a)), b=ids.take(pa.array(b)))
 
-    return by_group(in_blocks(members, "node", "n"), ["node", "p", "q"], run, "a binary, b binary")
+    def pairs(rows: DataFrame) -> DataFrame:
+        return by_group(rows, ["node", "p", "q"], run, "a binary, b binary")
+
+    near = written(near_pivots(members.where(F.col("n") > LEAF), least), "near-pivots")
+    to_pivots = near.select(F.explode("near").alias("b"), F.col("set_id").alias("a")).where("a <> b").select("a", "b")
+    return pairs(in_blocks(members.where(F.col("n") <= LEAF), "node", "n")).unionByName(to_pivots).unionByName(pairs(across(near)))
+
+
+def near_pivots(members: DataFrame, least: float) -> DataFrame:
+    """(node, set_id, tokens, near, group): ``near`` holds the pivots of the
+    leaf that agree with the class in ``least`` tokens, ``group`` is the
+    place of the first of them, 0 without any. Pivots are the classes of the
+    smallest hashes of a leaf."""
+    order = Window.partitionBy("node").orderBy(F.xxhash64("set_id"), "set_id")
+    chosen = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+    chosen = chosen.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "set_id", "tokens"))).alias("pivots"))
+    rows = members.select("node", "set_id", "tokens").join(
+        chosen.select("node", F.col("pivots.set_id").alias("pivot_ids"), F.array_join(F.transform("pivots.tokens", F.base64), ",").alias("pivots")), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for b in batches:
+            tokens, near, group = matrix(b.column("tokens")), [], []
+            for k, (ids, text) in enumerate(zip(b.column("pivot_ids").to_pylist(), b.column("pivots").to_pylist())):
+                if text not in known:
+                    known = {text: np.stack([np.frombuffer(base64.b64decode(x), np.uint32) for x in text.split(",")])}
+                found = np.flatnonzero((known[text] == tokens[k]).sum(1) >= least).tolist()
+                near.append([ids[f] for f in found])
+                group.append(found[0] + 1 if found else 0)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("set_id"), b.column("tokens"), pa.array(near, pa.list_(pa.binary())),
+                                              pa.array(group, pa.int32())], ["node", "set_id", "tokens", "near", "group"])
+
+    return rows.mapInArrow(run, "node bigint, set_id binary, tokens binary, near array<binary>, group int")
+
+
+def across(near: DataFrame) -> DataFrame:
+    """Block pairs of the large leaves: blocks hold classes of one group, and
+    blocks of the same pivot's group are not paired with each other."""
+    groups = range(PIVOTS + 1)
+    sizes = near.groupBy("node").agg(F.array(*[F.ceil(F.count_if(F.col("group") == g) / BLOCK).cast("int") for g in groups]).alias("sizes"))
+    rows = near.select("node", "set_id", "tokens", "group").join(sizes, "node")
+    first = F.aggregate(F.slice("sizes", 1, F.col("group")), F.lit(0), lambda a, x: a + x)
+    total = F.aggregate("sizes", F.lit(0), lambda a, x: a + x)
+    rows = rows.withColumn("first", first).withColumn("own", F.element_at("sizes", F.col("group") + 1))
+    rows = rows.withColumn("part", F.col("first") + F.pmod(F.xxhash64("set_id", F.lit(3)), F.col("own")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), total - 1), lambda x: (F.col("group") == 0) | (x < F.col("first")) | (x >= F.col("first") + F.col("own")))
+    return (rows.withColumn("other", F.explode(others)).select("node", "set_id", "tokens", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")))
 
 
 def verified(members: DataFrame, similarity: float) -> DataFrame:
