@@ -1,36 +1,34 @@
-"""Per-loan feature attributions (path-dependent TreeSHAP) for the tree models.
-
-Plan:
-1. The fitted ensemble is saved to the shared checkpoint folder and its node
-   table read back (``treeID``, ``nodeData``). The model's size is bounded
-   by its parameters (trees x 2^(depth+1) nodes), not by the data; it is
-   turned into per-tree leaf-path arrays, which are broadcast as part of the
-   model.
-2. The scored rows stay distributed: ``mapInPandas`` receives Arrow batches
-   of (key, feature array) and computes all attributions of a batch with
-   numpy, vectorised over rows and leaves. Output is long:
-   (key, feature, phi), one row per loan and feature.
-
-Algorithm (Lundberg et al., path-dependent TreeSHAP, in polynomial form):
-for a leaf with value v whose path has k distinct features, feature j has
-a zero fraction z_j (the share of training cover following the path at
-its splits) and a one fraction o_j (1 when the row follows the path at
-all splits on j, else 0). Then
-
-    phi_i += v * (o_i - z_i) * sum_s  s! (k-s-1)! / k!  * e_s(i)
-
-where e_s(i) is the coefficient of t^s in prod_{j != i} (o_j t + z_j).
-The full product is built once per leaf and the factor of i is divided
-out (synthetic division, stable because 0 < z <= 1).
-
-Two exact shortcuts keep the kernel cheap:
-* attributions do not change when all leaf values move by one constant,
-  so leaves holding the most common value (pure leaves of a forest) are
-  shifted to zero and dropped;
-* a row enters a leaf's formula only through its bitmask of followed
-  slots, so for trees with few distinct features per path all 2^K
-  patterns are evaluated once per tree, and each row costs a bitmask, a
-  gather and a matrix product. Larger trees use the per-row kernel.
+"""Per-loan feature attributions (path-dependent TreeSHAP) and scores of tree ensembles.
+
+A row's attribution depends only on which side of each split it lies on.
+So the split thresholds of a model form one sorted table per feature, a row
+becomes its vector of cells (numbers of thresholds below each value), and
+each distinct vector is explained once:
+
+1. rows are mapped to cells; the distinct cells are dealt into blocks;
+2. the node table of the model stays a table: its trees are sent to the
+   blocks, every task takes one block and a share of the trees, so that few
+   cells use all cores too; the shares are summed per cell;
+3. the result is joined back to the rows by their cells.
+
+The driver sees the thresholds (at most bins x features), never nodes.
+
+Algorithm (Lundberg et al., path-dependent TreeSHAP, in product form): a
+leaf of value v whose path has the distinct features j, with z_j the share
+of training cover that follows the path at its splits on j, and o_j = 1 if
+the row's cell lies in the path's interval of j, else 0, adds to feature i
+
+    v (o_i - z_i) integral_0^1 prod_{j != i} (t o_j + (1 - t) z_j) dt
+
+A polynomial in t, which Gauss-Legendre nodes, half as many as features,
+integrate exactly. It depends on the row only through the pattern of bits
+o, so each leaf gets a table of its patterns. The feature with the most
+cells in a block is swept: rows are sorted by it, all others form contexts;
+a leaf is added once per context as if its bit were 0, and the difference
+only to the slice of rows inside the leaf's interval.
+
+Attributions do not change when all leaf values of a tree move by one
+constant, so leaves of the most common value are moved to zero and dropped.
 
 Output scale: boosted trees are explained on the log-odds (Spark's
 probability is 1 / (1 + exp(-2 F)), so log-odds = 2 F), random forests on
@@ -40,325 +38,356 @@ equal the model output for that row.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from math import factorial
-from typing import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave.schema import TOP_FEATURES
 from riskweave.session import scratch_path
 
-# Doubles in pattern tables that a task keeps from batch to batch.
-KEPT_ELEMENTS = 1 << 24
-# Largest per-tree pattern table (2^K x leaves x K doubles); beyond it the
-# per-row kernel is used.
-MAX_TABLE_ELEMENTS = 1 << 22
-# Rows x leaves per work plane of one row chunk (about 256 KiB of doubles).
-PLANE_ELEMENTS = 1 << 15
+# Distinct cell vectors of a block.
+BLOCK_CELLS = 16_384
+# Patterns of a leaf that are all tabulated; of more, those that occur are.
+TABLE_BITS = 10
+# Doubles of one step's tables, and (leaves x contexts) of one step.
+STEP_ELEMENTS = 1 << 20
 
+NODE_COLUMNS = ("id", "left", "right", "feature", "threshold", "cover", "value")
+NODES = "tree int, " + ", ".join(f"{c} {t}" for c, t in zip(NODE_COLUMNS, ["int"] * 4 + ["double"] * 3))
 
-@dataclass
-class TreePaths:
-    """Leaf paths of one tree, padded to depth D and K distinct features."""
-    feat: np.ndarray      # [L, D] int, split feature (0 where padded)
-    thr: np.ndarray       # [L, D] float, threshold
-    left: np.ndarray      # [L, D] bool, the path goes left (x <= thr)
-    valid: np.ndarray     # [L, D] bool
-    slot: np.ndarray      # [L, D] int, distinct-feature slot of the split (K where padded)
-    zero: np.ndarray      # [L, K] float, zero fractions (1 where padded)
-    ufeat: np.ndarray     # [L, K] int, feature of each slot
-    has: np.ndarray       # [L, K] bool
-    weights: np.ndarray   # [L, K] float, s!(k-s-1)!/k! by slot count s
-    value: np.ndarray     # [L] float, leaf value times the tree's output scale
-    base: float           # cover-weighted mean leaf value
-
-    @property
-    def nbytes(self) -> int:
-        return sum(a.nbytes for a in (self.feat, self.thr, self.left, self.valid, self.slot,
-                                      self.zero, self.ufeat, self.has, self.weights, self.value))
-
-
-def _shapley_weights(k: int, size: int) -> np.ndarray:
-    w = np.zeros(size)
-    for s in range(k):
-        w[s] = factorial(s) * factorial(k - s - 1) / factorial(k)
-    return w
-
-
-def tree_paths(nodes: dict[int, dict], leaf_value, cover, scale: float) -> TreePaths:
-    """Leaf paths of a tree given as {id: node dict} from the saved node table."""
-    children = {n["leftChild"] for n in nodes.values()} | {n["rightChild"] for n in nodes.values()}
-    root = min(i for i in nodes if i not in children)
-    leaves: list[tuple[list, float, float]] = []
-    stack = [(root, [])]
-    while stack:
-        nid, path = stack.pop()
-        n = nodes[nid]
-        if n["leftChild"] < 0:
-            leaves.append((path, scale * leaf_value(n), cover(n) / cover(nodes[root])))
-            continue
-        split = n["split"]
-        if split["numCategories"] > 0:
-            raise NotImplementedError("categorical splits are not produced by this engine's features")
-        f, t = split["featureIndex"], split["leftCategoriesOrThreshold"][0]
-        c = cover(n)
-        for child, go_left in ((n["leftChild"], True), (n["rightChild"], False)):
-            stack.append((child, path + [(f, t, go_left, cover(nodes[child]) / c)]))
-
-    # Attributions do not change when every leaf value moves by the same
-    # constant (the path weights of all leaves sum to one for any feature
-    # subset). Shifting by the most common leaf value makes those leaves
-    # zero, so they are dropped: in forests most leaves are pure.
-    base = sum(v * frac for _, v, frac in leaves)
-    counts: dict[float, int] = {}
-    for _, v, _ in leaves:
-        counts[v] = counts.get(v, 0) + 1
-    shift = max(counts, key=counts.get)
-    kept = [(p, v - shift) for p, v, _ in leaves if v != shift]
-
-    L = len(kept)
-    D = max([1] + [len(p) for p, _ in kept])
-    uniq = [list(dict.fromkeys(f for f, _, _, _ in p)) for p, _ in kept]
-    K = max([1] + [len(u) for u in uniq])
-    tp = TreePaths(np.zeros((L, D), np.int32), np.zeros((L, D)), np.zeros((L, D), bool),
-                   np.zeros((L, D), bool), np.full((L, D), K, np.int32), np.ones((L, K)),
-                   np.zeros((L, K), np.int32), np.zeros((L, K), bool), np.zeros((L, K)),
-                   np.zeros(L), base)
-    for li, ((path, v), u) in enumerate(zip(kept, uniq)):
-        slot_of = {f: s for s, f in enumerate(u)}
-        for d, (f, t, go_left, ratio) in enumerate(path):
-            s = slot_of[f]
-            tp.feat[li, d], tp.thr[li, d], tp.left[li, d], tp.valid[li, d], tp.slot[li, d] = f, t, go_left, True, s
-            tp.zero[li, s] *= ratio
-        for s, f in enumerate(u):
-            tp.ufeat[li, s], tp.has[li, s] = f, True
-        tp.weights[li] = _shapley_weights(len(u), K)
-        tp.value[li] = v
-    return tp
-
-
-def _patterns(x: np.ndarray, tp: TreePaths) -> np.ndarray:
-    """[R, L] int bitmask: bit k is set when row r follows leaf l's path at
-    every split on slot k (one pass per depth over an [R, L] plane)."""
-    L, D = tp.feat.shape
-    K = tp.zero.shape[1]
-    failed = np.zeros((x.shape[0], L), np.int64)
-    for d in range(D):
-        goes_left = x[:, tp.feat[:, d]] <= tp.thr[:, d]
-        off_path = (goes_left != tp.left[:, d]) & tp.valid[:, d]
-        failed |= off_path.astype(np.int64) << tp.slot[:, d].astype(np.int64)
-    has_mask = (tp.has.astype(np.int64) << np.arange(K, dtype=np.int64)).sum(axis=1)
-    return has_mask & ~failed
-
-
-def _one_fractions(pattern: np.ndarray, K: int) -> np.ndarray:
-    """[K, R, L] bool view of a pattern bitmask."""
-    return np.stack([(pattern >> k) & 1 for k in range(K)]).astype(bool)
-
-
-def _slot_contributions(of: np.ndarray, tp: TreePaths) -> np.ndarray:
-    """[K, R, L]: contribution of slot k of leaf l to row r's attribution.
-
-    Arrays are slot-major so every step works on a contiguous [R, L] plane.
-    """
-    K, R, L = of.shape
-    o = of.astype(np.float64)
-    z = np.ascontiguousarray(tp.zero.T)                           # [K, L]
-    w = np.ascontiguousarray(tp.weights.T)                        # [K, L]
-    P = np.zeros((K + 1, R, L))                                   # prod_j (o_j t + z_j)
-    P[0] = 1.0
-    for k in range(K):
-        P[1:k + 2] = P[1:k + 2] * z[k] + o[k] * P[0:k + 1]
-        P[0] *= z[k]
-    t0 = np.einsum("srl,sl->rl", P[:K], w)
-    C = np.zeros((K, R, L))
-    for i in range(K):
-        hi = tp.has[:, i]
-        if not hi.any():
-            continue
-        zi = z[i]
-        # Row follows the path at i: divide P by (t + zi), top coefficient down.
-        q = P[K].copy()
-        s1 = w[K - 1] * q
-        for j in range(K - 1, 0, -1):
-            q = P[j] - zi * q
-            s1 += w[j - 1] * q
-        # Otherwise the factor of i is the constant zi.
-        s0 = np.divide(t0, zi, out=np.zeros_like(t0), where=zi > 0)
-        C[i] = np.where(o[i] > 0, s1, s0) * (o[i] - zi) * (tp.value * hi)
-    return C
-
-
-def _feature_map(tp: TreePaths, n_features: int) -> np.ndarray:
-    """[L*K, n_features]: slot (l, k) -> its feature (zero rows for padded slots)."""
-    L, K = tp.zero.shape
-    m = np.zeros((L * K, n_features))
-    rows = np.flatnonzero(tp.has.ravel())
-    m[rows, tp.ufeat.ravel()[rows]] = 1.0
-    return m
-
-
-def _pattern_table(tp: TreePaths) -> np.ndarray | None:
-    """[2^K * L, K]: slot contributions for every one-fraction pattern, or
-    None when the table would exceed ``MAX_TABLE_ELEMENTS``.
-
-    A row's contribution at a leaf depends on the row only through which
-    slots it follows, so for small K all 2^K patterns are evaluated once
-    per tree and rows become a gather plus a matrix product.
-    """
-    L, K = tp.zero.shape
-    n = 1 << K
-    if n * L * K > MAX_TABLE_ELEMENTS:
-        return None
-    bits = ((np.arange(n)[:, None] >> np.arange(K)[None, :]) & 1).astype(bool)   # [2^K, K]
-    of = bits.T[:, :, None] & tp.has.T[:, None, :]                                # [K, 2^K, L]
-    C = _slot_contributions(np.ascontiguousarray(of), tp)                         # [K, 2^K, L]
-    return np.ascontiguousarray(C.transpose(1, 2, 0)).reshape(n * L, K)
-
-
-def tree_shap(x: np.ndarray, tp: TreePaths, n_features: int, table: np.ndarray | None = None,
-              fmap: np.ndarray | None = None) -> np.ndarray:
-    """Attributions [R, n_features] of one tree for rows ``x`` [R, n_features]."""
-    R = x.shape[0]
-    L, K = tp.zero.shape
-    if R == 0 or L == 0:
-        return np.zeros((R, n_features))
-    fmap = _feature_map(tp, n_features) if fmap is None else fmap
-    pattern = _patterns(x, tp)
-    if table is not None:
-        G = table[pattern * L + np.arange(L)]                     # [R, L, K]
-        return G.reshape(R, L * K) @ fmap
-    C = _slot_contributions(_one_fractions(pattern, K), tp)       # [K, R, L]
-    return np.ascontiguousarray(C.transpose(1, 2, 0)).reshape(R, L * K) @ fmap
-
-
-def ensemble_shap(x: np.ndarray, trees: Sequence[TreePaths], n_features: int,
-                  use_tables: bool = True, kept: dict | None = None) -> np.ndarray:
-    """Sum over trees, in row chunks whose [rows, leaves] planes stay in cache.
-    ``kept`` holds feature maps and tables from batch to batch, in bounds."""
-    out, kept = np.zeros((x.shape[0], n_features)), {} if kept is None else kept
-    for t, tp in enumerate(trees):
-        L = max(1, tp.zero.shape[0])
-        if t in kept:
-            fmap, table = kept[t]
-        else:
-            fmap, table = _feature_map(tp, n_features), _pattern_table(tp) if use_tables else None
-            size = fmap.size + (0 if table is None else table.size)
-            if kept.get("size", 0) + size <= KEPT_ELEMENTS:
-                kept[t], kept["size"] = (fmap, table), kept.get("size", 0) + size
-        step = max(8, PLANE_ELEMENTS // L)
-        for a in range(0, x.shape[0], step):
-            out[a:a + step] += tree_shap(x[a:a + step], tp, n_features, table, fmap)
-    return out
 
+# --- node tables ----------------------------------------------------------------
 
-def _node_table(model, spark) -> dict[int, dict[int, dict]]:
+def node_table(model, spark) -> tuple[DataFrame, str]:
+    """(tree, id, left, right, feature, threshold, cover, value) of a fitted
+    ensemble, read from its saved form, and the scale of the leaf values
+    ('log_odds' or 'probability'); ``left`` is -1 in a leaf."""
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
-    cols = ("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
-            "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
-            "nodeData.split.numCategories")
-    rows = spark.read.parquet(f"{path}/data").select(*cols).collect()
-    trees: dict[int, dict[int, dict]] = {}
-    for tid, nid, pred, stats, left, right, feat, thr, ncat in rows:
-        trees.setdefault(tid, {})[nid] = {
-            "id": nid, "prediction": pred, "impurityStats": stats, "leftChild": left, "rightChild": right,
-            "split": {"featureIndex": feat, "leftCategoriesOrThreshold": thr, "numCategories": ncat}}
-    return trees
+    raw = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    stats = F.col("impurityStats")
+    if isinstance(model, GBTClassificationModel):
+        weights = F.array(*[F.lit(2.0 * w) for w in model.treeWeights])
+        cover, value, kind = stats[0], F.col("prediction") * F.element_at(weights, F.col("treeID") + 1), "log_odds"
+    elif isinstance(model, RandomForestClassificationModel):
+        cover = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+        value, kind = F.coalesce(F.try_divide(F.get(stats, F.lit(1)), cover), F.lit(0.0)) / model.getNumTrees, "probability"
+    else:
+        raise TypeError(f"cannot explain {type(model).__name__}")
+    # The features of this engine are numbers; a categorical split has no threshold to compare.
+    threshold = F.when(F.col("split.numCategories") > 0, F.raise_error(F.lit("categorical splits are not produced by this engine's features")).cast("double")) \
+        .otherwise(F.get("split.leftCategoriesOrThreshold", F.lit(0)))
+    return raw.select(F.col("treeID").cast("int").alias("tree"), F.col("id").cast("int").alias("id"), F.col("leftChild").cast("int").alias("left"),
+                      F.col("rightChild").cast("int").alias("right"), F.col("split.featureIndex").cast("int").alias("feature"),
+                      threshold.alias("threshold"), cover.alias("cover"), value.alias("value")), kind
 
 
-_PATHS_CACHE: dict[str, tuple[list[TreePaths], str]] = {}
-_PATHS_CACHE_SIZE = 4
+_NODES: dict[tuple[str, int], tuple[DataFrame, str]] = {}
 
 
-def ensemble_paths(model, spark) -> tuple[list[TreePaths], str]:
-    """Leaf paths of every tree and the output scale ('log_odds' or 'probability').
+def known_nodes(model, spark) -> tuple[DataFrame, str]:
+    """``node_table``, saved once per fitted model, which never changes."""
+    key = (model.uid, id(spark.sparkContext))
+    if key not in _NODES:
+        _NODES[key] = node_table(model, spark)
+    return _NODES[key]
 
-    A fitted model never changes, so its paths are kept per model uid."""
-    cached = _PATHS_CACHE.get(model.uid)
-    if cached is None:
-        cached = _build_paths(model, spark)
-        if len(_PATHS_CACHE) >= _PATHS_CACHE_SIZE:
-            _PATHS_CACHE.pop(next(iter(_PATHS_CACHE)))
-        _PATHS_CACHE[model.uid] = cached
-    return cached
 
+def base_value(nodes: DataFrame) -> float:
+    """The cover-weighted mean leaf value, summed over the trees."""
+    root = nodes.groupBy("tree").agg(F.max("cover").alias("all"))
+    return float(nodes.where("left < 0").join(root, "tree").agg(F.sum(F.col("value") * F.col("cover") / F.col("all"))).first()[0] or 0.0)
 
-_BROADCASTS: dict[tuple[str, int], object] = {}
 
+def threshold_table(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """Sorted distinct thresholds of every feature that is split on."""
+    rows = nodes.where("left >= 0").groupBy("feature").agg(F.array_sort(F.collect_set("threshold")).alias("t")).collect()
+    return {r["feature"]: np.array(r["t"]) for r in sorted(rows)}
 
-def _paths_broadcast(model, spark):
-    """One broadcast of a model's paths, reused by every attribution query;
-    the oldest is unpersisted (not destroyed: Spark re-sends it if a pending
-    plan still needs it) when more than a few models are kept."""
-    key = (model.uid, id(spark.sparkContext))
-    bc = _BROADCASTS.get(key)
-    if bc is None:
-        paths, _ = ensemble_paths(model, spark)
-        bc = spark.sparkContext.broadcast(paths)
-        if len(_BROADCASTS) >= _PATHS_CACHE_SIZE:
-            _BROADCASTS.pop(next(iter(_BROADCASTS))).unpersist()
-        _BROADCASTS[key] = bc
-    return bc
-
-
-def _build_paths(model, spark) -> tuple[list[TreePaths], str]:
-    trees = _node_table(model, spark)
-    if isinstance(model, GBTClassificationModel):
-        weights = list(model.treeWeights)
-        paths = [tree_paths(trees[t], lambda n: n["prediction"], lambda n: n["impurityStats"][0], 2.0 * weights[t])
-                 for t in sorted(trees)]
-        kind = "log_odds"
-    elif isinstance(model, RandomForestClassificationModel):
-        T = len(trees)
-
-        def p1(n):
-            st = n["impurityStats"]
-            tot = sum(st)
-            return st[1] / tot if tot > 0 and len(st) > 1 else 0.0
-        paths = [tree_paths(trees[t], p1, lambda n: sum(n["impurityStats"]), 1.0 / T) for t in sorted(trees)]
-        kind = "probability"
-    else:
-        raise TypeError(f"cannot explain {type(model).__name__}")
-    return paths, kind
+
+# --- kernel ---------------------------------------------------------------------
+
+@dataclass
+class Tree:
+    """Nodes of one tree; ``feature`` is a place in the cell vector, a row
+    goes left if its cell is at most ``cell``."""
+    left: np.ndarray
+    right: np.ndarray
+    feature: np.ndarray
+    cell: np.ndarray
+    cover: np.ndarray
+    value: np.ndarray
+    root: int
+
+
+def tree_of(nodes: dict[str, np.ndarray], thresholds: dict[int, np.ndarray]) -> Tree:
+    """The arrays of ``NODE_COLUMNS`` of one tree with node ids turned into
+    places and thresholds into cells."""
+    order = np.argsort(nodes["id"])
+    n = {k: v[order] for k, v in nodes.items()}
+    inner = n["left"] >= 0
+    at = {f: k for k, f in enumerate(thresholds)}
+    feature, cell = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    for f, places in at.items():
+        mine = inner & (n["feature"] == f)
+        feature[mine], cell[mine] = places, np.searchsorted(thresholds[f], n["threshold"][mine])
+    left, right = (np.where(inner, np.searchsorted(n["id"], n[c]), -1) for c in ("left", "right"))
+    child = np.zeros(len(order), bool)
+    child[left[inner]] = child[right[inner]] = True
+    if (n["cover"] <= 0).any():
+        raise ValueError("a node without cover has no share of its parent")
+    return Tree(left, right, feature, cell, n["cover"], n["value"], int(np.flatnonzero(~child)[0]))
+
+
+@dataclass
+class Leaves:
+    """Paths of a tree's leaves: interval of cells [lo, hi) and zero fraction
+    per feature, whether the path splits on it, and the leaf values."""
+    lo: np.ndarray
+    hi: np.ndarray
+    zero: np.ndarray
+    on: np.ndarray
+    value: np.ndarray
+
+
+def leaf_paths(tree: Tree, width: int) -> Leaves:
+    """The leaves whose value is not the tree's most common one, with that
+    value taken off; all paths grow level by level."""
+    n = len(tree.left)
+    lo, hi = np.zeros((n, width), np.int32), np.full((n, width), np.iinfo(np.int32).max, np.int32)
+    zero, on = np.ones((n, width)), np.zeros((n, width), bool)
+    level = np.array([tree.root])
+    while len(level := level[tree.left[level] >= 0]):
+        f, cell = tree.feature[level], tree.cell[level] + 1
+        for child in (tree.left[level], tree.right[level]):
+            lo[child], hi[child], zero[child], on[child] = lo[level], hi[level], zero[level], on[level]
+            zero[child, f] *= tree.cover[child] / tree.cover[level]
+            on[child, f] = True
+        hi[tree.left[level], f] = np.minimum(hi[tree.left[level], f], cell)
+        lo[tree.right[level], f] = np.maximum(lo[tree.right[level], f], cell)
+        level = np.concatenate([tree.left[level], tree.right[level]])
+    leaf = np.flatnonzero(tree.left < 0)
+    values, times = np.unique(tree.value[leaf], return_counts=True)
+    common = values[times.argmax()]
+    leaf = leaf[tree.value[leaf] != common]
+    return Leaves(lo[leaf], hi[leaf], zero[leaf], on[leaf], tree.value[leaf] - common)
+
+
+def contributions(bits: np.ndarray, zero: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """(leaves x patterns x slots): what each slot of each leaf adds when the
+    row follows the slots that ``bits`` (patterns x slots) marks."""
+    slots = bits.shape[1]
+    x, w = np.polynomial.legendre.leggauss((slots + 1) // 2)
+    t = ((x + 1) / 2)[:, None, None]
+    off = (1 - t) * zero
+    g = np.where(bits[None, None], (off + t)[:, :, None, :], off[:, :, None, :])
+    return (w[:, None, None, None] / 2 * g.prod(-1, keepdims=True) / g).sum(0) * (bits - zero[:, None, :]) * value[:, None, None]
+
+
+@dataclass
+class Block:
+    """Distinct cell vectors, sorted by the swept feature, and the distinct
+    vectors of the other features (contexts)."""
+    order: np.ndarray     # sorted place -> row
+    sweep: int
+    start: np.ndarray     # first sorted place whose swept cell is at least this
+    context: np.ndarray   # context of each sorted place
+    cells: np.ndarray     # [features, contexts]
+
+    @classmethod
+    def of(cls, cells: np.ndarray) -> Block:
+        most = [len(np.unique(c)) for c in cells.T]
+        sweep = int(np.argmax(most))
+        order = np.argsort(cells[:, sweep], kind="stable")
+        swept = cells[order]
+        start = np.searchsorted(swept[:, sweep], np.arange(int(swept[-1, sweep]) + 2))
+        rest = np.ascontiguousarray(np.delete(swept, sweep, 1))
+        if rest.shape[1]:
+            keys = rest.view(np.dtype((np.void, rest.dtype.itemsize * rest.shape[1]))).ravel()
+            _, first, context = np.unique(keys, return_index=True, return_inverse=True)
+        else:
+            first, context = np.zeros(1, np.int64), np.zeros(len(swept), np.int64)
+        return cls(order, sweep, start, context, np.ascontiguousarray(swept[first].T))
+
+    def places(self, lo: int, hi: int) -> tuple[int, int]:
+        last = len(self.start) - 1
+        return int(self.start[min(lo, last)]), int(self.start[min(hi, last)])
+
+
+def tree_shap(block: Block, tree: Tree, by_context: np.ndarray, by_row: np.ndarray) -> None:
+    """Add the attributions of one tree: ``by_context`` (contexts x features)
+    holds for all rows of a context, ``by_row`` for each sorted row besides."""
+    width = by_row.shape[1]
+    leaves = leaf_paths(tree, width)
+    other = leaves.on.copy()
+    other[:, block.sweep] = False
+    slots, swept = other.sum(1), leaves.on[:, block.sweep]
+    for k, s in sorted(set(zip(slots.tolist(), swept.tolist()))):
+        group, total = np.flatnonzero((slots == k) & (swept == s)), k + s
+        every = total <= TABLE_BITS
+        step = max(1, STEP_ELEMENTS // max(block.cells.shape[1], (width << total))) if every else 1
+        for at in (group[i:i + step] for i in range(0, len(group), step)):
+            feature = np.nonzero(other[at])[1].reshape(len(at), k)
+            pattern = np.zeros((len(at), block.cells.shape[1]), np.int32)
+            for b in range(k):
+                f = feature[:, b]
+                lo, hi = leaves.lo[at, f][:, None], leaves.hi[at, f][:, None]
+                cell = block.cells[f]
+                pattern |= ((cell >= lo) & (cell < hi)).astype(np.int32) << b
+            present = np.arange(1 << k)
+            if not every:
+                present, pattern[0] = np.unique(pattern[0], return_inverse=True)
+            bits = ((present[:, None] >> np.arange(k)) & 1).astype(bool)
+            if s:
+                bits = np.concatenate([np.column_stack([bits, np.full(len(bits), v)]) for v in (False, True)])
+                feature = np.column_stack([feature, np.full(len(at), block.sweep)])
+            table = np.zeros((len(at), len(bits), width))
+            zero = np.take_along_axis(leaves.zero[at], feature, 1)
+            table[np.arange(len(at))[:, None], :, feature] = contributions(bits, zero, leaves.value[at]).transpose(0, 2, 1)
+            half = len(present)
+            for i, leaf in enumerate(at):
+                by_context += table[i, :half].take(pattern[i], 0)
+                if s:
+                    first, last = block.places(leaves.lo[leaf, block.sweep], leaves.hi[leaf, block.sweep])
+                    if first < last:
+                        inside = table[i, half:] - table[i, :half]
+                        by_row[first:last] += inside.take(pattern[i].take(block.context[first:last]), 0)
+
+
+def ensemble_shap(cells: np.ndarray, trees: Iterator[Tree]) -> np.ndarray:
+    """Attributions (rows x features) of the rows of ``cells``, summed over ``trees``."""
+    if not cells.shape[1]:
+        return np.zeros(cells.shape)
+    block = Block.of(cells)
+    by_context, by_row = np.zeros(block.cells.shape[::-1]), np.zeros(cells.shape)
+    for tree in trees:
+        tree_shap(block, tree, by_context, by_row)
+    out = np.empty(cells.shape)
+    out[block.order] = by_row + by_context[block.context]
+    return out
 
 
-def base_value(paths: Sequence[TreePaths]) -> float:
-    return float(sum(p.base for p in paths))
+def ensemble_score(cells: np.ndarray, trees: Iterator[Tree]) -> np.ndarray:
+    """(rows x 1): sum of the values of the leaves that each row reaches."""
+    total = np.zeros(len(cells))
+    for tree in trees:
+        at = np.full(len(cells), tree.root)
+        while len(open_ := np.flatnonzero(tree.left[at] >= 0)):
+            node = at[open_]
+            goes_left = cells[open_, tree.feature[node]] <= tree.cell[node]
+            at[open_] = np.where(goes_left, tree.left[node], tree.right[node])
+        total += tree.value[at]
+    return total[:, None]
+
+
+# --- Spark ----------------------------------------------------------------------
+
+def cells_of(x: np.ndarray, thresholds: dict[int, np.ndarray]) -> np.ndarray:
+    """Cell vectors of feature vectors: per feature the number of thresholds
+    below the value, so that x <= t[k] exactly if the cell is at most k."""
+    return np.stack([np.searchsorted(t, x[:, f]) for f, t in thresholds.items()] or [np.zeros(len(x))], 1).astype(np.int32)
+
+
+def with_cells(rows: DataFrame, thresholds: dict[int, np.ndarray]) -> DataFrame:
+    """``rows`` with the cell vector of the array column ``x`` as column ``cells``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield b.append_column("cells", pa.array([c.tobytes() for c in cells_of(x, thresholds)], pa.binary()))
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cells", T.BinaryType())]))
+
+
+def over_cells(cells: DataFrame, nodes: DataFrame, thresholds: dict[int, np.ndarray],
+               kernel: Callable[[np.ndarray, Iterator[Tree]], np.ndarray], width: int) -> DataFrame:
+    """(cells, out): ``kernel`` of every distinct cell vector over all trees,
+    an array of ``width`` sums."""
+    spark = cells.sparkSession
+    path = scratch_path(spark, "cells")
+    cells.select("cells").distinct().write.parquet(path)
+    distinct = spark.read.parquet(path)
+    blocks = max(1, -(-distinct.count() // BLOCK_CELLS))
+    shares = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))
+    length = 4 * max(1, len(thresholds))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for b in batches for x in b.column("cells").to_pylist()]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["block", "rows"])
+
+    places = F.struct(*NODE_COLUMNS)
+    trees = nodes.groupBy("tree").agg(F.collect_list(places).alias("nodes"))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = (distinct.repartition(blocks).mapInArrow(pack, "block int, rows binary").withColumn("share", number(shares))
+             .select((F.col("block") * shares + F.col("share")).cast("int").alias("task"), F.lit(-1).alias("tree"), "rows",
+                     F.lit(None).cast(f"array<struct<{', '.join(f'{c}:{t}' for c, t in zip(NODE_COLUMNS, ['int'] * 4 + ['double'] * 3))}>>").alias("nodes")))
+    sent = trees.withColumn("block", number(blocks)).select(
+        (F.col("block") * shares + F.pmod("tree", F.lit(shares))).cast("int").alias("task"), "tree", F.lit(None).cast("binary").alias("rows"), "nodes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = ((b, i) for b in batches for i in range(b.num_rows))
+        first = next(rest, None)
+        if first is None or first[0].column("rows")[first[1]].as_py() is None:
+            return  # no cells in this block
+        raw = first[0].column("rows")[first[1]].as_py()
+
+        def grown() -> Iterator[Tree]:
+            for b, i in rest:
+                held = b.column("nodes")[i].values
+                yield tree_of({c: held.field(c).to_numpy(zero_copy_only=False) for c in NODE_COLUMNS}, thresholds)
+
+        out = kernel(np.frombuffer(raw, np.int32).reshape(-1, length // 4), grown())
+        for lo in range(0, len(out), 4096):
+            part = out[lo:lo + 4096]
+            names = [raw[k * length:(k + 1) * length] for k in range(lo, lo + len(part))]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(list(part), pa.list_(pa.float64()))], ["cells", "out"])
+
+    found = dealt.unionByName(sent).repartitionById(blocks * shares, "task").sortWithinPartitions("tree").mapInArrow(run, "cells binary, out array<double>")
+    return found.groupBy("cells").agg(F.array(*[F.sum(F.get("out", F.lit(k))) for k in range(width)]).alias("out"))
+
+
+def as_array(df: DataFrame, features: str):
+    return F.col(features) if isinstance(df.schema[features].dataType, T.ArrayType) else vector_to_array(features)
+
+
+def explain_nodes(nodes: DataFrame, prepared: DataFrame, feature_names: Sequence[str], key: str = "loan_no",
+                  features: str = "features", with_value: bool = False) -> DataFrame:
+    """(key, feature, phi) for every row of ``prepared`` and every feature of
+    its vector (or array) column ``features`` under the trees of ``nodes``;
+    ``with_value`` adds the feature's (prepared) value. Repeated rows and
+    keys give repeated results; no rows, none."""
+    thresholds = threshold_table(nodes)
+    rows = with_cells(prepared.select(key, as_array(prepared, features).alias("x")), thresholds)
+    rows = rows if with_value else rows.select(key, "cells")
+    found = over_cells(rows, nodes, thresholds, ensemble_shap, max(1, len(thresholds)))
+    at = {f: k for k, f in enumerate(thresholds)}
+    entries = F.array(*[F.struct(F.lit(name).alias("feature"), (F.col("out")[at[f]] if f in at else F.lit(0.0)).alias("phi"),
+                                 *([F.col("x")[f].alias("value")] if with_value else [])) for f, name in enumerate(feature_names)])
+    return rows.join(found, "cells").select(key, F.explode(entries).alias("e")).select(key, "e.*")
+
+
+def score_nodes(nodes: DataFrame, prepared: DataFrame, key: str = "loan_no", features: str = "features", name: str = "score") -> DataFrame:
+    """(key, ``name``): the sum over the trees of ``nodes`` of the value of the
+    leaf that each row of ``prepared`` reaches; a row's cells decide."""
+    thresholds = threshold_table(nodes)
+    rows = with_cells(prepared.select(key, as_array(prepared, features).alias("x")), thresholds).select(key, "cells")
+    return rows.join(over_cells(rows, nodes, thresholds, ensemble_score, 1), "cells").select(key, F.col("out")[0].alias(name))
 
 
 def shap_values(model, prepared: DataFrame, feature_names: Sequence[str], key: str = "loan_no",
-                features: str = "features", partitions: int | None = None, with_value: bool = False) -> DataFrame:
-    """(key, feature, phi) for every row of ``prepared`` and every feature;
-    ``with_value`` adds the feature's (prepared) value."""
-    spark = prepared.sparkSession
-    bc = _paths_broadcast(model, spark)
-    names = np.array(list(feature_names), dtype=object)
-    nf = len(names)
-    key_type = prepared.schema[key].dataType.simpleString()
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees, kept = bc.value, {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["x"].to_numpy()).astype(np.float64).reshape(len(pdf), nf)
-            phi = ensemble_shap(x, trees, nf, kept=kept)
-            columns = {key: np.repeat(pdf[key].to_numpy(), nf), "feature": np.tile(names, len(pdf)), "phi": phi.ravel()}
-            yield pd.DataFrame(columns | ({"value": x.ravel()} if with_value else {}))
-
-    # Attribution is CPU-heavy per row but light in bytes, so AQE would merge
-    # the input into very few tasks; an explicit hash repartition by key
-    # (deterministic on retry, kept by AQE) spreads it over every core.
-    parts = partitions or max(1, spark.sparkContext.defaultParallelism)
-    src = prepared.select(key, vector_to_array(features).alias("x")).repartition(parts, key)
-    return src.mapInPandas(explain, f"{key} {key_type}, feature string, phi double" + ", value double" * with_value)
+                features: str = "features", with_value: bool = False) -> DataFrame:
+    """``explain_nodes`` of a fitted Spark ML ensemble."""
+    nodes, _ = known_nodes(model, prepared.sparkSession)
+    return explain_nodes(nodes, prepared, feature_names, key, features, with_value)
 
 
 def summary(shap: DataFrame, k: int = TOP_FEATURES) -> DataFrame:

@@ -312,6 +312,34 @@ def q_rf_expected_loss_totals(spark, sf_dir):
     return risk.expected_loss_totals(risk.expected_loss(scored, "pd", LGD_PCT))
 
 
+# A small ensemble over tenure, amount and year with stated covers:
+# (tree, id, left, right, feature, threshold, cover, value).
+FIXED_FEATURES = ("tenure_days", "amount", "year")
+FIXED_NODES = [
+    (0, 0, 1, 2, 0, 180.0, 100.0, 0.0), (0, 1, 3, 4, 1, 150000.0, 60.0, 0.0), (0, 2, 5, 6, 1, 300000.0, 40.0, 0.0),
+    (0, 3, -1, -1, None, None, 35.0, 0.05), (0, 4, -1, -1, None, None, 25.0, 0.2),
+    (0, 5, -1, -1, None, None, 22.0, 0.3), (0, 6, -1, -1, None, None, 18.0, 0.9),
+    (1, 0, 1, 2, 2, 1997.0, 80.0, 0.0), (1, 1, -1, -1, None, None, 30.0, 0.1), (1, 2, 3, 4, 0, 90.0, 50.0, 0.0),
+    (1, 3, -1, -1, None, None, 20.0, 0.15), (1, 4, -1, -1, None, None, 30.0, 0.4)]
+
+
+def _fixed_ensemble(spark, sf_dir):
+    """(node table, test rows with their raw features, missing ones as 0)."""
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FIXED_FEATURES])
+    rows = _split_rows(spark, sf_dir).where(F.col(features.IS_TEST)).select("loan_no", x.alias("x"))
+    return spark.createDataFrame(FIXED_NODES, explain.NODES), rows
+
+
+def q_score_fixed_ensemble(spark, sf_dir):
+    nodes, rows = _fixed_ensemble(spark, sf_dir)
+    return round6(explain.score_nodes(nodes, rows, features="x"), ["score"])
+
+
+def q_shap_fixed_tree(spark, sf_dir):
+    nodes, rows = _fixed_ensemble(spark, sf_dir)
+    return round6(explain.explain_nodes(nodes, rows, FIXED_FEATURES, features="x"), ["phi"])
+
+
 # Rows shown in the scored-loan table (a display limit, ordered by loan number).
 EL_DISPLAY_ROWS = 50
 
@@ -410,6 +438,8 @@ QUERIES: dict[str, Query] = {
     "onehot_long": q_onehot_long,
     "feature_matrix": q_feature_matrix,
     "binary_metrics": q_binary_metrics,
+    "score_fixed_ensemble": q_score_fixed_ensemble,
+    "shap_fixed_tree": q_shap_fixed_tree,
     "expected_loss": q_expected_loss,
     "expected_loss_preview": q_expected_loss_preview,
     "expected_loss_totals": q_expected_loss_totals,

@@ -6,7 +6,8 @@ from math import factorial
 import numpy as np
 import pytest
 
-from riskweave.operators.explain import ensemble_shap, tree_paths, tree_shap
+from riskweave.operators import explain
+from riskweave.operators.explain import cells_of, ensemble_score, ensemble_shap, leaf_paths, tree_of
 
 
 def leaf(i, v, n):
@@ -56,56 +57,104 @@ def brute_shap(nodes, x, m):
     return phi
 
 
+def thresholds_of(trees):
+    out = {}
+    for nodes in trees:
+        for n in nodes.values():
+            if n["leftChild"] >= 0:
+                out.setdefault(n["split"]["featureIndex"], set()).add(n["split"]["leftCategoriesOrThreshold"][0])
+    return {f: np.array(sorted(out[f])) for f in sorted(out)}
+
+
+def as_tree(nodes, thresholds):
+    columns = {"id": [], "left": [], "right": [], "feature": [], "threshold": [], "cover": [], "value": []}
+    for n in nodes.values():
+        split = n["split"]
+        for c, v in zip(columns, (n["id"], n["leftChild"], n["rightChild"], split["featureIndex"],
+                                  (split["leftCategoriesOrThreshold"] or [0.0])[0], n["impurityStats"][0], n["prediction"])):
+            columns[c].append(v)
+    return tree_of({c: np.array(v) for c, v in columns.items()}, thresholds)
+
+
+def shap(trees, x):
+    """Attributions of the features that are split on."""
+    thresholds = thresholds_of(trees)
+    return ensemble_shap(cells_of(x, thresholds), iter([as_tree(t, thresholds) for t in trees]))
+
+
 @pytest.mark.parametrize("x", [[0.0, 1.0, 9.0], [-2.0, 3.0, 0.0], [1.0, 0.0, 0.0], [3.0, 2.0, 1.0],
                                [0.5, 1.5, 0.0], [-1.0, 9.0, 5.0]])
 def test_matches_brute_force(x):
     nodes = sample_tree()
-    tp = tree_paths(nodes, lambda n: n["prediction"], lambda n: n["impurityStats"][0], 1.0)
-    phi = tree_shap(np.array([x]), tp, 3)[0]
-    np.testing.assert_allclose(phi, brute_shap(nodes, x, 3), atol=1e-12)
+    phi = shap([nodes], np.array([x]))[0]
+    np.testing.assert_allclose(phi, brute_shap(nodes, x, 3)[:2], atol=1e-12)
     # additivity: base + sum(phi) = prediction
-    assert tp.base + phi.sum() == pytest.approx(exp_value(nodes, x, {0, 1, 2}))
-    assert phi[2] == 0.0
-
-
-def test_scale_and_chunks():
-    nodes = sample_tree()
-    tp = tree_paths(nodes, lambda n: n["prediction"], lambda n: n["impurityStats"][0], 2.0)
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(37, 3)) * 2
-    full = ensemble_shap(x, [tp, tp], 3)
-    one = tree_shap(x, tp, 3)
-    np.testing.assert_allclose(full, 2 * one, atol=1e-12)
-    expect = np.array([brute_shap(nodes, r, 3) for r in x]) * 4
-    np.testing.assert_allclose(full, expect, atol=1e-10)
+    assert exp_value(nodes, x, set()) + phi.sum() == pytest.approx(exp_value(nodes, x, {0, 1, 2}))
+
+
+def random_tree(rng, features, depth, values=None):
+    nodes, count = {}, [0]
+
+    def grow(level, n):
+        i = count[0]
+        count[0] += 1
+        if level == depth or n < 2 or rng.random() < 0.1:
+            nodes[i] = leaf(i, float(rng.choice(values) if values else rng.normal()), float(n))
+            return i
+        nodes[i] = None
+        share = int(rng.integers(1, n))
+        f, t = int(rng.integers(features)), float(rng.integers(-3, 4))
+        nodes[i] = node(i, f, t, grow(level + 1, share), grow(level + 1, n - share), float(n))
+        return i
+
+    grow(0, 1000)
+    return nodes
+
+
+@pytest.mark.parametrize("depth, features", [(2, 2), (4, 3), (6, 5), (9, 6)])
+def test_random_ensembles_match_brute_force(depth, features, monkeypatch):
+    rng = np.random.default_rng(depth)
+    trees = [random_tree(rng, features, depth) for _ in range(3)]
+    used = list(thresholds_of(trees))
+    x = rng.integers(-4, 5, (25, features)).astype(float)
+    want = np.array([sum(brute_shap(t, r, features) for t in trees) for r in x])[:, used]
+    np.testing.assert_allclose(shap(trees, x), want, atol=1e-10)
+    monkeypatch.setattr(explain, "TABLE_BITS", 1)      # patterns that occur instead of all
+    np.testing.assert_allclose(shap(trees, x), want, atol=1e-10)
+    monkeypatch.setattr(explain, "STEP_ELEMENTS", 1)   # one leaf at a time
+    np.testing.assert_allclose(shap(trees, x), want, atol=1e-10)
+
+
+def test_deep_tree_of_many_features_adds_up():
+    rng = np.random.default_rng(8)
+    tree = random_tree(rng, 40, 24)
+    x = rng.integers(-4, 5, (30, 40)).astype(float)
+    phi = shap([tree], x).sum(1)
+    want = [exp_value(tree, r, set(range(40))) - exp_value(tree, r, set()) for r in x]
+    np.testing.assert_allclose(phi, want, atol=1e-9)
+
+
+def test_scores_are_leaf_values():
+    rng = np.random.default_rng(9)
+    trees = [random_tree(rng, 4, 7) for _ in range(4)]
+    x = np.concatenate([rng.normal(size=(40, 4)) * 3, rng.integers(-3, 4, (40, 4))])
+    thresholds = thresholds_of(trees)
+    got = ensemble_score(cells_of(x, thresholds), iter([as_tree(t, thresholds) for t in trees]))[:, 0]
+    np.testing.assert_allclose(got, [sum(exp_value(t, r, {0, 1, 2, 3}) for t in trees) for r in x])
 
 
 def test_single_leaf_tree():
-    tp = tree_paths({0: leaf(0, 0.7, 10.0)}, lambda n: n["prediction"], lambda n: n["impurityStats"][0], 1.0)
-    assert tp.base == pytest.approx(0.7)
-    np.testing.assert_array_equal(tree_shap(np.zeros((4, 2)), tp, 2), np.zeros((4, 2)))
+    only = {0: leaf(0, 0.7, 10.0)}
+    assert shap([only], np.zeros((4, 2))).sum() == 0
+    assert ensemble_score(cells_of(np.zeros((4, 2)), {}), iter([as_tree(only, {})])).tolist() == [[0.7]] * 4
 
 
-def test_modal_leaf_shift_is_exact():
-    # many leaves share one value: they are dropped after the shift, same attributions
-    nodes = sample_tree()
-    for i in (3, 5, 7):
-        nodes[i]["prediction"] = 0.25
-    tp = tree_paths(nodes, lambda n: n["prediction"], lambda n: n["impurityStats"][0], 1.0)
-    assert tp.value.shape[0] == 2
+def test_most_common_leaf_value_is_dropped():
     rng = np.random.default_rng(5)
-    for x in rng.normal(size=(20, 3)) * 2:
-        np.testing.assert_allclose(tree_shap(np.array([x]), tp, 3)[0], brute_shap(nodes, x, 3), atol=1e-12)
-        assert tp.base + tree_shap(np.array([x]), tp, 3)[0].sum() == pytest.approx(exp_value(nodes, x, {0, 1, 2}))
-
-
-def test_pattern_table_equals_direct_kernel():
-    from riskweave.operators.explain import _pattern_table
-    nodes = sample_tree()
-    tp = tree_paths(nodes, lambda n: n["prediction"], lambda n: n["impurityStats"][0], 1.0)
-    table = _pattern_table(tp)
-    assert table is not None
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(50, 3)) * 2
-    np.testing.assert_allclose(tree_shap(x, tp, 3, table), tree_shap(x, tp, 3), atol=1e-13)
-    np.testing.assert_allclose(ensemble_shap(x, [tp], 3), ensemble_shap(x, [tp], 3, use_tables=False), atol=1e-13)
+    tree = random_tree(rng, 3, 6, values=[0.0, 0.25, 1.0])
+    thresholds = thresholds_of([tree])
+    grown = as_tree(tree, thresholds)
+    kept = leaf_paths(grown, len(thresholds))
+    assert 0 < len(kept.value) < (grown.left < 0).sum() and (kept.value != 0).all()
+    for x in rng.normal(size=(20, 3)) * 3:
+        np.testing.assert_allclose(shap([tree], np.array([x]))[0], brute_shap(tree, x, 3)[list(thresholds)], atol=1e-12)

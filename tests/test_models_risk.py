@@ -40,8 +40,8 @@ def test_models_beat_majority_and_explain(trained, spark):
         assert r.accuracy > majority, name
         assert scored.where((F.col("pd") < 0) | (F.col("pd") > 1)).count() == 0
         # attributions add up to the model output
-        paths, kind = explain.ensemble_paths(m.model, spark)
-        base = explain.base_value(paths)
+        nodes, kind = explain.known_nodes(m.model, spark)
+        base = explain.base_value(nodes)
         sh = explain.shap_values(m.model, m.test, m.feature_names, m.key)
         tot = sh.groupBy("loan_no").agg(F.sum("phi").alias("s"))
         p = F.col("pd")
