@@ -18,7 +18,7 @@ from riskweave.operators.layering import LayerSpec, apply_layers, layer_macro
 from riskweave.plans.workspace import workspace
 from riskweave.session import scratch_path
 from riskweave.sources import sinks
-from riskweave.sources.loans import read_loans, tag_loans, unparsed_dates
+from riskweave.sources.loans import read_loans, rejected_records, tag_loans, unparsed_dates
 from riskweave.sources.macro import build_macro_panel, country_lookup, read_macro, resolve_country_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def q_loan_csv_ingest(spark, sf_dir):
     return read_loans(spark, workspace(spark, sf_dir).loan_csv_path, fmt="csv")
 
 
+def q_rejected_records(spark, sf_dir):
+    """Without the places, which depend on how the upload was written."""
+    return rejected_records(spark, workspace(spark, sf_dir).uneven_csv_path).select("cells", "error", "record")
+
+
 def q_parse_dates(spark, sf_dir):
     raw = workspace(spark, sf_dir).loan_csv
     return raw.select(F.col("loan_no").cast("bigint").alias("loan_no"),
@@ -395,6 +400,7 @@ QUERIES: dict[str, Query] = {
     # sources
     "loan_panel": q_loan_panel,
     "loan_csv_ingest": q_loan_csv_ingest,
+    "rejected_records": q_rejected_records,
     "parse_dates": q_parse_dates,
     "tagged_loans": q_tagged_loans,
     "country_lookup": q_country_lookup,

@@ -56,6 +56,13 @@ class Workspace:
         self.loan_csv.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
         return path
 
+    @cached_property
+    def uneven_csv_path(self) -> str:
+        """An upload with records of too many and too few cells."""
+        path = scratch_path(self.spark, "uneven_csv")
+        fixtures.uneven_lines(self.spark, self.sf_dir).write.text(path)
+        return path
+
     @cached_property
     def economies(self) -> DataFrame:
         return fixtures.economies(self.spark, self.sf_dir)

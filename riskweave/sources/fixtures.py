@@ -2,7 +2,7 @@
 
 The original application ships no data, so the loan panel, the wide
 indicator table and the economies table are derived deterministically
-from the TPC-H style tables. Everything is lazy DataFrame code without any action.
+from the TPC-H style tables: lazy DataFrame code but for the years of ``macro_wide``.
 
 Scale notes:
 * ``loan_panel`` joins orders with customer on the customer key (a
@@ -34,10 +34,14 @@ HIGH_RISK_PRIORITIES = ("4", "5")
 HIGH_RISK_PRICE = 300000
 FLAG_MOD = 11
 PAYOFF_SHIFT_MOD = 20
-# Every ship year of the tables.
-MACRO_YEARS = (1995, 1996, 1997, 1998, 1999, 2000, 2001)
 MISSING_CELL = ("NATION_7", 1997)
 CSV_JUNK_MOD, CSV_JUNK_REM = 50, 7
+# Hard cells of the raw CSV: a quoted cell with delimiter, quotes and a line break, a fraction of days, an
+# amount in scientific form; records with a cell too many and with three cells only.
+CSV_QUOTED_MOD, CSV_QUOTED_REM, CSV_QUOTED = 83, 4, 'SME, "old"\nbook'
+CSV_FRACTION_MOD, CSV_FRACTION_REM = 59, 3
+CSV_LARGE_MOD, CSV_LARGE_REM, CSV_LARGE = 61, 5, "1e17"
+CSV_LONG_MOD, CSV_LONG_REM, CSV_SHORT_MOD, CSV_SHORT_REM = 97, 5, 89, 3
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +104,8 @@ def loan_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loan panel as raw CSV text: mixed date layouts, null tokens, junk."""
+    """The loan panel as raw CSV text, all contract columns: mixed date
+    layouts, null tokens, junk, quoted cells, fractions, large numbers."""
     p = loan_panel(spark, sf_dir)
     s = F.col("loan_date").cast("string")
     no = F.col("loan_no")
@@ -112,14 +117,38 @@ def loan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         no.cast("string").alias("loan_no"),
         F.col("borrower_id").cast("string").alias("borrower_id"),
-        F.coalesce("borrower_type", F.lit("NA")).alias("borrower_type"),
+        F.when(no % CSV_QUOTED_MOD == CSV_QUOTED_REM, F.lit(CSV_QUOTED)).otherwise(F.coalesce("borrower_type", F.lit("NA"))).alias("borrower_type"),
         date_txt.alias("loan_date"),
-        F.col("tenure_days").cast("string").alias("tenure_days"),
-        F.coalesce(F.col("amount").cast(T.DecimalType(18, 2)).cast("string"), F.lit("")).alias("amount"),
+        F.coalesce(F.date_format("due_date", "yyyy/MM/dd"), F.lit("null")).alias("due_date"),
+        F.coalesce(F.date_format("payoff_date", "dd/MM/yyyy"), F.lit("")).alias("payoff_date"),
+        F.concat(F.col("tenure_days").cast("string"), F.when(no % CSV_FRACTION_MOD == CSV_FRACTION_REM, ".5").otherwise("")).alias("tenure_days"),
+        F.when(no % CSV_LARGE_MOD == CSV_LARGE_REM, CSV_LARGE).otherwise(F.coalesce(F.col("amount").cast(T.DecimalType(18, 2)).cast("string"), F.lit(""))).alias("amount"),
         F.coalesce(F.col("default_flag").cast("int").cast("string"), F.lit("NA")).alias("default_flag"),
     )
 
 
+def uneven_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw CSV as lines (value), a header line in each partition, some
+    records with a cell too many and some with three cells only."""
+    raw = loan_csv(spark, sf_dir)
+    no = F.col("loan_no").cast("bigint")
+    text = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) if c == "borrower_type" else F.col(c) for c in raw.columns]
+    line = (F.when(no % CSV_LONG_MOD == CSV_LONG_REM, F.concat_ws(",", *text, F.lit("extra")))
+            .when(no % CSV_SHORT_MOD == CSV_SHORT_REM, F.concat_ws(",", *text[:3])).otherwise(F.concat_ws(",", *text)))
+    header = ",".join(raw.columns)
+
+    def with_header(batches):
+        import pyarrow as pa
+        first = True
+        for b in batches:
+            if first and b.num_rows:
+                first = False
+                yield pa.RecordBatch.from_arrays([pa.array([header], b.schema.field(0).type)], schema=b.schema)
+            yield b
+
+    return raw.select(line.alias("value")).mapInArrow(with_header, "value string")
+
+
 def economies(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
@@ -132,8 +161,10 @@ def economies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier revenue by economy (nation or region) and ship year, wide."""
+    """Supplier revenue by economy (nation or region) and ship year, wide;
+    one column per ship year that occurs (one small job finds them)."""
     lineitem = read_table(spark, sf_dir, "lineitem")
+    years = sorted(r[0] for r in lineitem.select(F.year("l_shipdate")).distinct().collect() if r[0] is not None)
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -158,7 +189,7 @@ def macro_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
                            "y", "p"))
     skip_economy, skip_year = MISSING_CELL
     cols = []
-    for yr in MACRO_YEARS:
+    for yr in years:
         cond = F.col("y") == yr
         if yr == skip_year:
             cond = cond & (F.col("economy") != skip_economy)

@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 from riskweave.functions.dates import parse_date
 from riskweave.functions.nulls import na_token_to_null, nan_to_null, number, to_double, to_long
 from riskweave.schema import CONTRACT_COLUMNS, DATE_COLUMNS, LOAN_TYPES
+from riskweave.sources.csv_records import read_csv
 
 # Standard quoting: a quote inside a quoted cell is doubled, and a quoted
-# cell may hold line breaks. Such files are not split between tasks.
+# cell may hold line breaks. Spark's own reader does not split such files;
+# loan panels are read by riskweave.sources.csv_records, which does.
 CSV_STANDARD = {"quote": '"', "escape": '"', "multiLine": True}
 
 _CASTS = {
@@ -143,16 +145,24 @@ def unparsed_dates(raw: DataFrame) -> DataFrame:
 def read_loans(spark: SparkSession, path: str, fmt: str = "csv", **kwargs) -> DataFrame:
     """Read an uploaded loan panel.
 
-    CSV is read as text (no schema inference pass) and typed by
-    :func:`type_loans`; other formats are brought to the contract types
-    by :func:`conform_loans`.
+    CSV is read as text in byte ranges (also a single large file) and typed
+    by :func:`type_loans`; other formats are brought to the contract types
+    by :func:`conform_loans`. Records with too many cells are left out, see
+    :func:`rejected_records`.
     """
     if fmt == "csv":
-        raw = spark.read.options(header=True, inferSchema=False, **CSV_STANDARD).csv(path)
-        return type_loans(raw, **kwargs)
+        panel, _ = read_csv(spark, path)
+        return type_loans(panel, **kwargs)
     return conform_loans(spark.read.format(fmt).load(path))
 
 
+def rejected_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, cells, error, record): the records of uploaded CSV files
+    with more or fewer cells than the header; those with fewer are in the
+    panel all the same, the missing cells null."""
+    return read_csv(spark, path)[1]
+
+
 def tag_loans(df: DataFrame, session_id: str, country_code: str | None = None) -> DataFrame:
     """Constant tags: the session id, and the portfolio's country code when given."""
     out = df.withColumn("session_id", F.lit(session_id))
