@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,29 +183,46 @@ class PieceCodec(dict):
         _, down = powers(size)
         prefix = hashed(codes)
         widths = min(size, self.longest)
-        piece = np.full((widths + 1, n, size + 1), -1, np.int64)  # [width, word, end]
-        for w in range(1, widths + 1):
-            piece[w, :, w:] = self.find((prefix[:, w:] - prefix[:, :-w]) * down[:size - w + 1])
-        piece[1, :, 1:] = np.where(piece[1, :, 1:] < 0, self.unknown, piece[1, :, 1:])
-        last, back = np.full((n, size + 1), -1, np.int64), np.zeros((n, size + 1), np.int64)
+        last, back = np.full((n, size + 1), -1, np.int32), np.zeros((n, size + 1), np.int32)
         rows = np.arange(n)
-        for end in range(1, size + 1):
-            m = min(end, widths)
-            now = piece[1:m + 1, :, end]                      # widths 1..m
-            before = last[:, end - m:end][:, ::-1].T          # last piece of the prefix before each
-            value = now >= 0
-            test = value & (before >= 0) & (now != self.unknown) & (before != self.unknown)
-            if test.any():
-                value[test] = self.compatible(before[test], now[test])
-            value = value * np.arange(1, m + 1)[:, None]
-            width = value.max(0)
-            back[:, end], last[:, end] = width, now[width - 1, rows]
+        # Pieces are looked up for a window of ends at a time: a long word holds two numbers a character.
+        window = max(1, CELLS // n)
+        for lo in range(1, size + 1, window):
+            hi = min(size + 1, lo + window)
+            piece = np.full((widths + 1, n, hi - lo), -1, np.int64)  # [width, word, end - lo]
+            for w in range(1, widths + 1):
+                first = max(lo, w)
+                if first < hi:
+                    piece[w, :, first - lo:] = self.find((prefix[:, first:hi] - prefix[:, first - w:hi - w]) * down[first - w:hi - w])
+            piece[1] = np.where(piece[1] < 0, self.unknown, piece[1])
+            for end in range(lo, hi):
+                m = min(end, widths)
+                now = piece[1:m + 1, :, end - lo]                 # widths 1..m
+                before = last[:, end - m:end][:, ::-1].T.astype(np.int64)  # last piece of the prefix before each
+                value = now >= 0
+                test = value & (before >= 0) & (now != self.unknown) & (before != self.unknown)
+                if test.any():
+                    value[test] = self.compatible(before[test], now[test])
+                width = (value * np.arange(1, m + 1)[:, None]).max(0)
+                back[:, end], last[:, end] = width, now[width - 1, rows]
+        if n == 1:
+            return self.followed(last[0], back[0])
         at, steps = np.full(n, size), []
         while (at > 0).any():  # follow the backpointers of all words
             steps.append(np.where(at > 0, last[rows, at], -1))
             at = at - back[rows, at]
         tokens = np.stack(steps[::-1], 1)
-        return tokens[tokens >= 0], (tokens >= 0).sum(1)
+        return tokens[tokens >= 0].astype(np.int64), (tokens >= 0).sum(1)
+
+    @staticmethod
+    def followed(last: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of one word by its backpointers, as ``viterbi`` returns them."""
+        at, ends = len(last) - 1, array("i")
+        while at > 0:
+            ends.append(at)
+            at -= int(back[at])
+        tokens = last[np.array(ends, np.int64)[::-1]].astype(np.int64)
+        return tokens, np.array([len(tokens)])
 
     def learn(self, words: list[str]) -> None:
         """Segment new words in batches of equal length and remember them."""

@@ -30,6 +30,14 @@ def test_ids_equal_the_library(sample, reference):
     assert c.decode(np.array([3 + 0xE6, 3 + 0x97], "<u4").tobytes()) == "\ufffd"
 
 
+def test_long_text_without_spaces(reference, monkeypatch):
+    rng = random.Random(7)
+    text = "".join(rng.choices("abcdefgétion日", k=60_000))
+    monkeypatch.setattr(piece_codec, "CELLS", 7000)  # many windows of ends
+    got = piece_codec.PieceCodec(PATH).encode([text, text[:9000], text[:9000] + "x"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == reference.encode([text, text[:9000], text[:9000] + "x"])
+
+
 def test_memory_bound_changes_nothing(sample, monkeypatch):
     texts = [r["text"] or "" for r in sample.collect()][:60]
     want = piece_codec.codec(PATH).encode(texts)
@@ -88,6 +96,42 @@ def test_nearest_equals_brute_force(spark, monkeypatch, shard_rows, block_rows):
     assert found == {q: w for q, w in want.items() if w}
 
 
+def test_many_ties_are_all_kept(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=12)
+    rows = [(k, (v * rng.uniform(0.1, 9)).tolist()) for k in range(900)]  # different vectors of one direction
+    rows += [(5000 + k, rng.normal(size=12).tolist()) for k in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), w) for i, w in rows], "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0, shard_rows=150).collect()
+    want = plain_nearest([(int(i), w) for i, w in rows], {int(i) for i, _ in rows if i % 100 == 0})
+    for q, best in want.items():
+        mine = sorted((r["rank"], round(r["score"], 12), r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [s for _, s, _ in mine] == [-s for s, _ in best]
+        if q >= 5000:
+            assert [i for _, _, i in mine] == [i for _, i in best]
+
+
+def test_shards_that_cannot_help_are_skipped(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 16)) * 10
+    rows = [(k, (centres[k % 8] + rng.normal(size=16) * 0.05).tolist()) for k in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    sent = []
+    plain = ann.searched
+    monkeypatch.setattr(ann, "searched", lambda trees, asked, *rest: sent.append(asked.count()) or plain(trees, asked, *rest))
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=100).collect()
+    queries, shards = 80, 16
+    assert sent[0] == queries and sent[1] < queries * shards / 3
+    want = plain_nearest(rows, {k for k in range(1600) if k % 20 == 0})
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((-round(r["score"], 12), r["vec_id"]))
+    assert found == want
+
+
 def test_relaxed_pruning_still_finds_most():
     rng = np.random.default_rng(4)
     v = rng.normal(size=(3000, 6))
