@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.frames import written
+from riskweave.llm.frames import delete, stored, written
 
 
 def stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -49,11 +49,13 @@ def components(edges: DataFrame, step: Callable = stars) -> DataFrame:
     Duplicate edges and loops are harmless; no edge gives no row."""
     ends = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = written(ends.distinct(), "edges")
-    now, last = edges.where("a <> b"), None
+    now, last, held = edges.where("a <> b"), None, None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        now = written(step(step(both, small=False), small=True), "edges")
-        following = state(now)
+        now, path = stored(step(step(both, small=False), small=True), "edges")
+        if held:
+            delete(edges.sparkSession, held)  # the turn before has been read
+        held, following = path, state(now)
         if following == last:
             break
         last = following

@@ -56,6 +56,23 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Scratch tables that are deleted together when their readers are done."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        self.paths.append((df.sparkSession, path))
+        return out
+
+    def drop(self) -> None:
+        for spark, path in self.paths:
+            delete(spark, path)
+        self.paths.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm.components import components
-from riskweave.llm.frames import batch, spans, utf8, with_fallback, written
+from riskweave.llm.frames import Scratch, batch, spans, utf8, with_fallback, written
 from riskweave.llm.words import mix, shingle_hashes, word_hashes
 
 SHINGLE_WORDS = 5
@@ -152,15 +152,15 @@ def split(rows: DataFrame, similarity: float, roots: list[int] | None = None) ->
     return rows.mapInArrow(run, "node bigint, set_id binary")
 
 
-def leaves(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
+def leaves(sets: DataFrame, similarity: float, recall: float, scratch: Scratch) -> DataFrame:
     """(node, set_id, n) of all leaves with two and more classes, of all runs."""
     roots = [int(mix(np.array([SEED + r], np.uint64)).astype(np.int64)[0]) for r in range(runs_for(recall, similarity))]
     level = split(sets.select("set_id", "tokens"), similarity, roots)
     out = None
     for depth in range(1, MAX_DEPTH + 1):
-        level = written(level, "path-nodes")
+        level = scratch.written(level, "path-nodes")
         size = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("members"))
-        size = written(size.where("n > 1"), "path-sizes")
+        size = scratch.written(size.where("n > 1"), "path-sizes")
         ends = size if depth == MAX_DEPTH else size.where(F.col("n") <= LEAF)
         # Leaves with the same members (close copies meet in many runs) are compared once; nodes that go on
         # all go on, whoever is in them, since a run may lose what another finds.
@@ -227,7 +227,7 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), POSITIONS)
 
 
-def likely_edges(members: DataFrame, similarity: float) -> DataFrame:
+def likely_edges(members: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Edges that connect the classes of a leaf whose tokens agree enough."""
     least = POSITIONS * similarity - SLACK * math.sqrt(POSITIONS * similarity * (1 - similarity))
 
@@ -244,7 +244,7 @@ def likely_edges(members: DataFrame, similarity: float) -> DataFrame:
     def pairs(rows: DataFrame) -> DataFrame:
         return by_group(rows, ["node", "p", "q"], run, "a binary, b binary")
 
-    near = written(near_pivots(members.where(F.col("n") > LEAF), least), "near-pivots")
+    near = scratch.written(near_pivots(members.where(F.col("n") > LEAF), least), "near-pivots")
     to_pivots = near.select(F.explode("near").alias("b"), F.col("set_id").alias("a")).where("a <> b").select("a", "b")
     return pairs(in_blocks(members.where(F.col("n") <= LEAF), "node", "n")).unionByName(to_pivots).unionByName(pairs(across(near)))
 
@@ -350,8 +350,10 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     filled = rows.where("set_id is not null")
     sets = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("tokens").alias("tokens"))
     sets = written(sets, "classes")
-    met = leaves(sets, similarity, recall).join(sets.select("set_id", "tokens"), "set_id")
-    clusters = written(components(likely_edges(met, similarity)).select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), "clusters")
+    scratch = Scratch()
+    met = leaves(sets, similarity, recall, scratch).join(sets.select("set_id", "tokens"), "set_id")
+    clusters = written(components(likely_edges(met, similarity, scratch)).select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), "clusters")
+    scratch.drop()
     size = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     # The text of one row of each class in a cluster, by doc_id and set (doc_ids may repeat or be null).
     wanted = clusters.join(size, "cluster").join(sets.select("set_id", "doc_id"), "set_id")
