@@ -61,7 +61,8 @@ TABLE_BITS = 10
 STEP_ELEMENTS = 1 << 20
 
 NODE_COLUMNS = ("id", "left", "right", "feature", "threshold", "cover", "value")
-NODES = "tree int, " + ", ".join(f"{c} {t}" for c, t in zip(NODE_COLUMNS, ["int"] * 4 + ["double"] * 3))
+NODE_TYPES = ("bigint", "bigint", "bigint", "int", "double", "double", "double")
+NODES = "tree int, " + ", ".join(f"{c} {t}" for c, t in zip(NODE_COLUMNS, NODE_TYPES))
 
 
 # --- node tables ----------------------------------------------------------------
@@ -85,8 +86,8 @@ def node_table(model, spark) -> tuple[DataFrame, str]:
     # The features of this engine are numbers; a categorical split has no threshold to compare.
     threshold = F.when(F.col("split.numCategories") > 0, F.raise_error(F.lit("categorical splits are not produced by this engine's features")).cast("double")) \
         .otherwise(F.get("split.leftCategoriesOrThreshold", F.lit(0)))
-    return raw.select(F.col("treeID").cast("int").alias("tree"), F.col("id").cast("int").alias("id"), F.col("leftChild").cast("int").alias("left"),
-                      F.col("rightChild").cast("int").alias("right"), F.col("split.featureIndex").cast("int").alias("feature"),
+    return raw.select(F.col("treeID").cast("int").alias("tree"), F.col("id").cast("bigint").alias("id"), F.col("leftChild").cast("bigint").alias("left"),
+                      F.col("rightChild").cast("bigint").alias("right"), F.col("split.featureIndex").cast("int").alias("feature"),
                       threshold.alias("threshold"), cover.alias("cover"), value.alias("value")), kind
 
 
@@ -96,6 +97,8 @@ _NODES: dict[tuple[str, int], tuple[DataFrame, str]] = {}
 def known_nodes(model, spark) -> tuple[DataFrame, str]:
     """``node_table``, saved once per fitted model, which never changes."""
     key = (model.uid, id(spark.sparkContext))
+    if hasattr(model, "nodes"):  # a forest that is a node table already
+        return model.nodes, "probability"
     if key not in _NODES:
         _NODES[key] = node_table(model, spark)
     return _NODES[key]
@@ -329,7 +332,7 @@ def over_cells(cells: DataFrame, nodes: DataFrame, thresholds: dict[int, np.ndar
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = (distinct.repartition(blocks).mapInArrow(pack, "block int, rows binary").withColumn("share", number(shares))
              .select((F.col("block") * shares + F.col("share")).cast("int").alias("task"), F.lit(-1).alias("tree"), "rows",
-                     F.lit(None).cast(f"array<struct<{', '.join(f'{c}:{t}' for c, t in zip(NODE_COLUMNS, ['int'] * 4 + ['double'] * 3))}>>").alias("nodes")))
+                     F.lit(None).cast(f"array<struct<{', '.join(f'{c}:{t}' for c, t in zip(NODE_COLUMNS, NODE_TYPES))}>>").alias("nodes")))
     sent = trees.withColumn("block", number(blocks)).select(
         (F.col("block") * shares + F.pmod("tree", F.lit(shares))).cast("int").alias("task"), "tree", F.lit(None).cast("binary").alias("rows"), "nodes")
 
@@ -375,12 +378,13 @@ def explain_nodes(nodes: DataFrame, prepared: DataFrame, feature_names: Sequence
     return rows.join(found, "cells").select(key, F.explode(entries).alias("e")).select(key, "e.*")
 
 
-def score_nodes(nodes: DataFrame, prepared: DataFrame, key: str = "loan_no", features: str = "features", name: str = "score") -> DataFrame:
-    """(key, ``name``): the sum over the trees of ``nodes`` of the value of the
-    leaf that each row of ``prepared`` reaches; a row's cells decide."""
+def score_nodes(nodes: DataFrame, prepared: DataFrame, features: str = "features", name: str = "score") -> DataFrame:
+    """``prepared`` without ``features``, and as ``name`` the sum over the trees
+    of ``nodes`` of the value of the leaf that a row reaches; its cells decide."""
     thresholds = threshold_table(nodes)
-    rows = with_cells(prepared.select(key, as_array(prepared, features).alias("x")), thresholds).select(key, "cells")
-    return rows.join(over_cells(rows, nodes, thresholds, ensemble_score, 1), "cells").select(key, F.col("out")[0].alias(name))
+    kept = [c for c in prepared.columns if c != features]
+    rows = with_cells(prepared.select(*kept, as_array(prepared, features).alias("x")), thresholds).drop("x")
+    return rows.join(over_cells(rows, nodes, thresholds, ensemble_score, 1), "cells").select(*kept, F.col("out")[0].alias(name))
 
 
 def shap_values(model, prepared: DataFrame, feature_names: Sequence[str], key: str = "loan_no",

@@ -9,10 +9,12 @@ Scale notes:
 * the prepared training set is persisted (memory and disk) because tree
   learning reads it once per level and iteration; it is unpersisted by
   ``TrainedModel.release``;
-* tree learning is Spark ML's distributed level-wise algorithm: executors
+* boosted trees are Spark ML's distributed level-wise algorithm: executors
   build split statistics per partition, only the per-level histograms go
   through the driver, so cost grows with data and model size, not with a
   single task;
+* the forest is Spark ML's in its upper levels only, and finished by one
+  task per lower node (riskweave.operators.forest);
 * node-id caching and checkpoints (to the shared checkpoint folder) keep
   the lineage of deep or long boosting runs short.
 """
@@ -23,24 +25,21 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.features import (FEATURES, IS_TEST, LABEL, FeatureSpec, FittedPrep, feature_spec,
                                           fit_prep, row_key, training_rows, with_split)
+from riskweave.operators.forest import GrownForest, LocalForest
 from riskweave.session import checkpoint_dir
 
 PD = "pd"
 PREDICTION = "prediction"
 SEED = 42
-# Spark's trees reach depth 30; the original forest grows without limit.
-RF_DEFAULT_DEPTH = 30
 # Split candidates per feature.
 MAX_BINS = 256
-# Memory for the split statistics of the nodes of one pass.
-NODE_MEMORY_MB = 1024
 
 
 # Node-id caching pays off only for deep trees (shallow trees are cheaper to ship).
@@ -57,13 +56,9 @@ def gbt(max_iter: int = 100, max_depth: int = 6, step_size: float = 0.3, seed: i
                          cacheNodeIds=max_depth >= NODE_CACHE_MIN_DEPTH, checkpointInterval=10, maxBins=MAX_BINS)
 
 
-def random_forest(num_trees: int = 100, max_depth: int = RF_DEFAULT_DEPTH, seed: int = SEED) -> RandomForestClassifier:
-    """Random forest: 100 trees, sqrt features per split, bootstrap."""
-    return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=num_trees,
-                                  maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
-                                  impurity="gini", cacheNodeIds=max_depth >= NODE_CACHE_MIN_DEPTH,
-                                  checkpointInterval=10,
-                                  bootstrap=True, maxBins=MAX_BINS, maxMemoryInMB=NODE_MEMORY_MB)
+def random_forest(num_trees: int = 100, max_depth: int | None = None, seed: int = SEED) -> LocalForest:
+    """Random forest: 100 trees, sqrt features per split, bootstrap, no depth limit."""
+    return LocalForest(num_trees=num_trees, max_depth=max_depth, seed=seed, features=FEATURES, label=LABEL)
 
 
 BOOSTED, FOREST = "Gradient Boosted Trees", "Random Forest"
@@ -117,9 +112,13 @@ class TrainedModel:
         if df is None and self._scored is not None:
             return self._scored
         prepared = self.test if df is None else df
-        out = (self.model.transform(prepared)
-               .select(self.key, *self.passthrough, LABEL, F.col(PREDICTION).cast("int").alias(PREDICTION),
-                       vector_to_array("probability")[1].alias(PD)))
+        columns = [self.key, *self.passthrough, LABEL]
+        if isinstance(self.model, GrownForest):
+            scored = self.model.scored(prepared.select(*columns, FEATURES), FEATURES, PD)
+            out = scored.select(*columns, (F.col(PD) > 0.5).cast("int").alias(PREDICTION), PD)
+        else:
+            out = self.model.transform(prepared).select(*columns, F.col(PREDICTION).cast("int").alias(PREDICTION),
+                                                        vector_to_array("probability")[1].alias(PD))
         if df is None:
             self._scored = out
         return out
@@ -173,10 +172,13 @@ def train_and_evaluate(df: DataFrame, name: str = BOOSTED, key: str = "loan_no",
     return TrainedModel(name, model, prep, key, train, test, carried)
 
 
-def run_models(df: DataFrame, names: list[str],
-               params: dict[str, dict] | None = None) -> dict[str, TrainedModel]:
-    """Train every selected model on one split and preparation (the
-    dispatcher); ``params`` holds optional keyword arguments per model name."""
-    params, names = params or {}, {n: model_name(n) for n in names}
-    prepared = prepare(df)
-    return {n: train_and_evaluate(df, m, prepared=prepared, **params.get(n, {})) for n, m in names.items()}
+def run_models(df: DataFrame, names: list[str], params: dict[str, dict] | None = None,
+               train: Callable[..., TrainedModel] | None = None) -> dict[str, TrainedModel]:
+    """Train every selected model (the dispatcher); ``params`` holds optional
+    keyword arguments per model name. All share one split and preparation of
+    ``df``, unless ``train(name, **params)`` says how a model is trained."""
+    params, known = params or {}, {n: model_name(n) for n in names}
+    if train is None:
+        prepared = prepare(df)
+        train = lambda name, **p: train_and_evaluate(df, name, prepared=prepared, **p)
+    return {n: train(m, **params.get(n, {})) for n, m in known.items()}

@@ -4,7 +4,7 @@ Per loan: LGD is a parameter (percent, 10..100 in steps of 5), EAD is the
 loan amount, EL = PD x LGD x EAD (a missing amount gives a missing EL).
 For the portfolio: total EAD, total EL and EL / EAD x 100 (0 when EAD is 0).
 All of it is projection and one map-side combined aggregate; the totals sum
-in decimal so they do not depend on the order partitions are merged in.
+doubles as given, so registered queries round them to cents.
 """
 
 from __future__ import annotations

@@ -3,12 +3,9 @@
 * ``describe_long``: one aggregate for count/mean/std/min/max of all
   columns, plus exact quartiles from :mod:`riskweave.functions.quantiles`
   on the unpivoted (column, value) pairs; one row per column.
-* ``corr_long``: Pearson with pairwise deletion in one pass. For a few
-  columns: covariance and pairwise-filtered standard deviations with
-  ``try_divide`` in one built-in aggregate, so a constant column gives NULL
-  instead of an ANSI divide-by-zero. For many columns (the pair count grows
-  quadratically and the aggregate stops being compiled): masked Gramians
-  per Arrow batch in numpy, summed per pair by Spark.
+* ``corr_long``: Pearson with pairwise deletion from masked Gramians that
+  each task adds up over its Arrow batches, summed per pair by Spark; a
+  constant column gives NULL.
 * ``box_stats``: exact quartiles per group, then one more pass with the
   broadcast (tiny) quartile table for the whisker ends and outlier count.
 """

@@ -17,7 +17,7 @@ from riskweave.operators import density, explain, features, models, portfolio, r
 from riskweave.operators.layering import LayerSpec, apply_layers, layer_macro
 from riskweave.plans.workspace import workspace
 from riskweave.session import scratch_path
-from riskweave.sources import sinks
+from riskweave.sources import sinks, versions
 from riskweave.sources.loans import read_loans, rejected_records, tag_loans, unparsed_dates
 from riskweave.sources.macro import build_macro_panel, country_lookup, read_macro, resolve_country_code
 
@@ -68,6 +68,13 @@ def q_tagged_loans(spark, sf_dir):
     return tag_loans(ws.loans, TAG_SESSION, row["country_code"] if row else None)
 
 
+def q_replaced_lookup(spark, sf_dir):
+    """A stored lookup replaced by one that was read from it."""
+    path = versions.replace_table(workspace(spark, sf_dir).country_mapping, scratch_path(spark, "lookup"))
+    versions.replace_table(country_lookup(spark, versions.read_table(spark, path)), path)
+    return versions.read_table(spark, path)
+
+
 def q_country_lookup(spark, sf_dir):
     return country_lookup(spark, workspace(spark, sf_dir).country_mapping)
 
@@ -186,6 +193,12 @@ def q_macro_box(spark, sf_dir):
     return round6(b, ["q1", "median", "q3"])
 
 
+def q_amount_kde(spark, sf_dir):
+    """The density of a continuous column."""
+    k = density.kde(workspace(spark, sf_dir).layered(), "amount", "borrower_type")
+    return k.withColumns({"x": F.round("x", 3), "density": F.round(F.col("density") * 1e6, 6)})
+
+
 def q_tenure_kde(spark, sf_dir):
     k = density.kde(workspace(spark, sf_dir).layered(), "tenure_days", "default_flag")
     return round6(k, ["x", "density"])
@@ -217,6 +230,11 @@ def q_train_test_split(spark, sf_dir):
     return _split_rows(spark, sf_dir).select("loan_no", features.IS_TEST)
 
 
+def q_train_test_split_exact(spark, sf_dir):
+    rows = features.training_rows(workspace(spark, sf_dir).layered())
+    return features.with_exact_split(rows).select("loan_no", features.IS_TEST)
+
+
 def q_impute_stats(spark, sf_dir):
     prep = workspace(spark, sf_dir).prepared[0]
     return round6(features.stats_frame(prep, spark).select("variable", "median"), ["median"])
@@ -337,7 +355,7 @@ def _fixed_ensemble(spark, sf_dir):
 
 def q_score_fixed_ensemble(spark, sf_dir):
     nodes, rows = _fixed_ensemble(spark, sf_dir)
-    return round6(explain.score_nodes(nodes, rows, features="x"), ["score"])
+    return round6(explain.score_nodes(nodes, rows, "x"), ["score"])
 
 
 def q_shap_fixed_tree(spark, sf_dir):
@@ -360,7 +378,7 @@ def q_model_expected_loss_totals(spark, sf_dir):
 def q_model_runs(spark, sf_dir):
     """Both models through the dispatcher on one shared split and preparation."""
     ws = workspace(spark, sf_dir)
-    runs = {n: ws.model(n, **p) for n, p in ((models.BOOSTED, REGISTRY_GBT), (models.FOREST, REGISTRY_RF))}
+    runs = models.run_models(ws.layered(), [models.BOOSTED, models.FOREST], {models.BOOSTED: REGISTRY_GBT, models.FOREST: REGISTRY_RF}, ws.model)
     out = None
     for name, m in runs.items():
         s = m.score().select(F.lit(name).alias("model"), "loan_no", "label", "prediction", "pd")
@@ -404,6 +422,7 @@ QUERIES: dict[str, Query] = {
     "parse_dates": q_parse_dates,
     "tagged_loans": q_tagged_loans,
     "country_lookup": q_country_lookup,
+    "replaced_lookup": q_replaced_lookup,
     "macro_wide": q_macro_wide,
     "macro_panel": q_macro_panel,
     # layering
@@ -432,11 +451,13 @@ QUERIES: dict[str, Query] = {
     "amount_box": q_amount_box,
     "macro_box": q_macro_box,
     "tenure_kde": q_tenure_kde,
+    "amount_kde": q_amount_kde,
     "sme_monthly_series": q_sme_monthly_series,
     "year_rate_by_type": q_year_rate_by_type,
     # features, metrics, risk, export
     "train_rows": q_train_rows,
     "train_test_split": q_train_test_split,
+    "train_test_split_exact": q_train_test_split_exact,
     "impute_stats": q_impute_stats,
     "scale_stats": q_scale_stats,
     "category_vocab": q_category_vocab,

@@ -5,7 +5,7 @@ starts from, built once and shared.
   driver tables;
 * the macro panel is built once and written to the shared checkpoint
   folder (so that the layering join knows its size in bytes);
-* the layered panel (loan panel + broadcast macro) is written once as the
+* the layered panel (loan panel + macro panel) is written once as the
   feature table, so every query scans Parquet (with pushdown and column
   pruning) instead of re-running the joins, and lineage stays short.
 """
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.layering import layer_macro
 from riskweave.session import checkpoint_dir, scratch_path
-from riskweave.sources.sinks import write_table
 from riskweave.sources import fixtures
 from riskweave.sources.macro import build_country_mapping, build_macro_panel
+from riskweave.sources.versions import read_table, replace_table
 
 # Partition column of the written feature table.
 FEATURE_PARTITIONS = ("year",)
@@ -86,7 +86,7 @@ class Workspace:
         return self.spark.read.parquet(self.macro_path)
 
     def layered_plan(self) -> DataFrame:
-        """The layering join as a lazy plan (loan panel + broadcast macro panel)."""
+        """The layering join as a lazy plan (loan panel + macro panel)."""
         return layer_macro(self.loans, self.macro)
 
     @cached_property
@@ -95,12 +95,12 @@ class Workspace:
         table every dashboard, feature and model query starts from),
         partitioned by ``year`` so year filters prune whole directories."""
         plan = self.layered_plan()
-        path = write_table(plan, scratch_path(self.spark, "ml_features"), partition_by=FEATURE_PARTITIONS)
+        path = replace_table(plan, scratch_path(self.spark, "ml_features"), partition_by=FEATURE_PARTITIONS)
         return path, plan.columns
 
     def layered(self) -> DataFrame:
         path, columns = self.feature_table
-        df = self.spark.read.parquet(path)
+        df = read_table(self.spark, path)
         return df.select(*[F.col(c).cast("int").alias(c) if c in FEATURE_PARTITIONS else F.col(c)
                            for c in columns])
 

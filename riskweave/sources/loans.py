@@ -11,6 +11,7 @@ from riskweave.functions.dates import parse_date
 from riskweave.functions.nulls import na_token_to_null, nan_to_null, number, to_double, to_long
 from riskweave.schema import CONTRACT_COLUMNS, DATE_COLUMNS, LOAN_TYPES
 from riskweave.sources.csv_records import read_csv
+from riskweave.sources.versions import read_table
 
 # Standard quoting: a quote inside a quoted cell is doubled, and a quoted
 # cell may hold line breaks. Spark's own reader does not split such files;
@@ -153,7 +154,7 @@ def read_loans(spark: SparkSession, path: str, fmt: str = "csv", **kwargs) -> Da
     if fmt == "csv":
         panel, _ = read_csv(spark, path)
         return type_loans(panel, **kwargs)
-    return conform_loans(spark.read.format(fmt).load(path))
+    return conform_loans(read_table(spark, path, fmt))
 
 
 def rejected_records(spark: SparkSession, path: str) -> DataFrame:

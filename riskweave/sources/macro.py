@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.schema import ANNUAL, FALLBACK_COUNTRY_MAPPING, GDP_INDICATOR, MACRO_SCHEMA, YEAR_PREFIX
+from riskweave.sources.versions import current
 
 # Renames of the identifier columns of the wide table and the economies table.
 WIDE_RENAMES = {"economy": "country_code", "Country": "country_name", "country": "country_name"}
@@ -75,7 +76,7 @@ def read_macro(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     """Read a stored macro panel (Parquet, or CSV with the panel schema)."""
     if fmt == "csv":
         return spark.read.schema(MACRO_SCHEMA).option("header", True).csv(path)
-    return spark.read.format(fmt).load(path)
+    return spark.read.format(fmt).load(current(spark, path))
 
 
 def read_mapping(spark: SparkSession, path: str | None, fmt: str = "parquet") -> DataFrame | None:
@@ -84,7 +85,7 @@ def read_mapping(spark: SparkSession, path: str | None, fmt: str = "parquet") ->
         return None
     try:
         reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-        return reader.format(fmt).load(path)
+        return reader.format(fmt).load(current(spark, path))
     except Exception as exc:  # missing table -> fallback mapping
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return None

@@ -1,7 +1,5 @@
-"""Sinks: the feature table and the CSV export.
+"""The CSV export (replaceable tables: riskweave.sources.versions).
 
-* ``write_table`` replaces a stored table (Parquet, optionally partitioned,
-  e.g. by ``year`` so filters on it prune files).
 * ``export_csv`` is the analyst download: header row, UTF-8, one file per
   partition (``single_file=True`` coalesces small results to one file;
   never use it for large frames, it funnels everything through one task).
@@ -10,36 +8,10 @@
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from riskweave.sources.loans import CSV_STANDARD
 
-
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> str:
-    """Create or replace the table at ``path``: written beside it first, so that
-    a frame that reads the old table can replace it, then moved into place.
-
-    Partitioned tables are rebalanced by their columns before the write:
-    few files per value, and a value with many rows is split."""
-    spark = df.sparkSession
-    if partition_by:
-        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    jvm, fresh = spark._jvm, f"{path.rstrip('/')}__new"
-    w = df.write.mode("overwrite").format(fmt)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.save(fresh)
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target):
-        raise OSError(f"could not move the written table to {path}")
-    return path
-
-
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """Header CSV export of the whole frame (no index column)."""
     out = df.coalesce(1) if single_file else df

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave.operators import features as fz
@@ -50,7 +51,7 @@ def test_fit_and_transform(spark):
     imputed = np.array([1.0, 3.0, 3.0, 4.0])
     assert prep.means["amount"] == pytest.approx(imputed.mean())
     assert prep.scales["amount"] == pytest.approx(imputed.std())       # population deviation
-    assert prep.vocab == {"borrower_type": ["Retail", "SME", "missing"]}
+    assert [tuple(r) for r in prep.vocab.orderBy("variable", "idx").collect()] == [("borrower_type", v, i) for i, v in enumerate(["Retail", "SME", "missing"])]
     assert prep.feature_names == ["num__tenure_days", "num__amount", "cat__borrower_type_Retail",
                                   "cat__borrower_type_SME", "cat__borrower_type_missing"]
     unseen = frame(spark, [(9, 9, "Corporate", 25, None, 0.0, 2020, 0, True)])
@@ -100,3 +101,13 @@ def test_year_is_settled_on_all_rows(spark):
                                  F.when(F.col("id") > 0, F.lit(2000)).cast("int").alias("year"))
     assert "year" in prepare(df)[0].spec.numeric
     assert "year" in prepare(df.withColumn("default_flag", F.when(F.col("loan_no") > 0, F.col("default_flag"))))[0].spec.numeric
+
+
+def test_large_vocabulary_is_numbered_in_order(spark):
+    n = 200_000
+    pairs = spark.range(n).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("variable"), F.md5(F.col("id").cast("string")).alias("category"))
+    rows = fz.sorted_index(pairs.unionByName(spark.createDataFrame([("c", "é"), ("c", "Z"), ("c", "z"), ("c", "")], pairs.schema)))
+    assert rows.count() == n + 4
+    wrong = rows.withColumn("want", F.row_number().over(Window.partitionBy("variable").orderBy("category")) - 1).where("idx <> want")
+    assert wrong.count() == 0
+    assert [r["category"] for r in rows.where("variable = 'c'").orderBy("idx").collect()] == sorted(["é", "Z", "z", ""])

@@ -1,7 +1,7 @@
 import tempfile
 
 from riskweave.sources.macro import country_lookup, read_macro, read_mapping
-from riskweave.sources.sinks import write_table
+from riskweave.sources.versions import replace_table
 
 
 def test_read_macro_csv_and_parquet(spark):
@@ -12,7 +12,7 @@ def test_read_macro_csv_and_parquet(spark):
     m = read_macro(spark, f"{d}/macro.csv", fmt="csv")
     assert dict(m.dtypes) == {"country_code": "string", "country_name": "string", "year": "string",
                               "gdp_usd": "double", "frequency": "string", "indicator_type": "string"}
-    write_table(m, f"{d}/macro_pq")
+    replace_table(m, f"{d}/macro_pq")
     assert read_macro(spark, f"{d}/macro_pq").first().gdp_usd == 1.5
 
 

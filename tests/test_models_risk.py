@@ -85,4 +85,4 @@ def test_no_feature_columns(spark):
 
 def test_registered_forest_grows_to_the_default_depth(spark):
     from riskweave.plans import registry
-    assert models.random_forest(**registry.REGISTRY_RF).getMaxDepth() == models.RF_DEFAULT_DEPTH
+    assert models.random_forest(**registry.REGISTRY_RF).max_depth is None  # no limit

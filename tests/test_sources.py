@@ -1,6 +1,8 @@
 import datetime as dt
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from riskweave.functions.dates import parse_date, year_month
@@ -8,7 +10,8 @@ from riskweave.functions.nulls import na_token_to_null, to_double, to_long
 from riskweave.schema import CONTRACT_COLUMNS, NA_TOKENS
 from riskweave.sources.loans import loan_template, read_loans, tag_loans, unparsed_dates, validate_loans
 from riskweave.sources.macro import build_country_mapping, build_macro_panel, country_lookup, strip_year_prefix
-from riskweave.sources.sinks import export_csv, read_export, write_table
+from riskweave.sources.sinks import export_csv, read_export
+from riskweave.sources.versions import COMMITTED, drop_versions, read_table, replace_table, versions
 
 
 def test_parse_date_day_first_lenient(spark):
@@ -104,9 +107,30 @@ def test_export_roundtrip_keeps_spaces(spark):
 def test_write_table_replaces_what_it_reads(spark):
     import tempfile
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/t"
-    write_table(spark.range(5).withColumn("x", F.lit(0)), path)
-    write_table(spark.read.parquet(path).withColumn("x", F.lit(1)), path)
-    assert [tuple(r) for r in spark.read.parquet(path).orderBy("id").collect()] == [(k, 1) for k in range(5)]
+    replace_table(spark.range(5).withColumn("x", F.lit(0)), path)
+    replace_table(read_table(spark, path).withColumn("x", F.lit(1)), path)
+    assert [tuple(r) for r in read_table(spark, path).orderBy("id").collect()] == [(k, 1) for k in range(5)]
+
+
+def test_a_writer_that_died_leaves_the_old_table(spark):
+    import os
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/t"
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_table(spark, path)
+    replace_table(spark.range(3), path)
+    # Dead before, during and after the write of its rows: no marker.
+    os.makedirs(f"{path}/version-0000000001-aa")
+    os.makedirs(f"{path}/version-0000000002-bb/_temporary/0")
+    spark.range(9).write.parquet(f"{path}/version-0000000003-cc")
+    assert read_table(spark, path).count() == 3 and len(versions(spark, path)) == 1
+    held = read_table(spark, path)
+    replace_table(spark.range(4), path)
+    assert read_table(spark, path).count() == 4 and held.count() == 3  # readers of the old version go on
+    assert drop_versions(spark, path) == [] and len(drop_versions(spark, path, 0.0)) == 4
+    assert read_table(spark, path).count() == 4 and versions(spark, path, complete=False) == versions(spark, path)
+    os.remove(f"{path}/{versions(spark, path)[0]}/{COMMITTED}")
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, path)
 
 
 def test_quoted_csv(spark, tmp_path):
@@ -173,7 +197,7 @@ def test_read_loans_parquet_conforms_types(spark):
     df = spark.createDataFrame([(1, 2, "2020-03-04", 30, float("nan"), 1, 7)],
                                "borrower_id int, loan_no int, loan_date string, tenure_days int, "
                                "amount double, default_flag int, extra int")
-    write_table(df, path)
+    replace_table(df, path)
     got = read_loans(spark, path, fmt="parquet")
     types = dict(got.dtypes)
     assert (types["loan_no"], types["loan_date"], types["tenure_days"], types["default_flag"], types["extra"],
@@ -190,9 +214,10 @@ def test_single_file_export_and_partitioned_table(spark):
     out = export_csv(df, f"{d}/one", single_file=True)
     assert len([f for f in os.listdir(out) if f.endswith(".csv")]) == 1
     assert read_export(spark, out, df.schema).count() == 50
-    write_table(df, f"{d}/t", partition_by=["year"])
-    assert sorted(x for x in os.listdir(f"{d}/t") if x.startswith("year=")) == ["year=2000", "year=2001", "year=2002"]
-    back = spark.read.parquet(f"{d}/t")
+    replace_table(df, f"{d}/t", partition_by=["year"])
+    there = os.listdir(f"{d}/t/{versions(spark, f'{d}/t')[0]}")
+    assert sorted(x for x in there if x.startswith("year=")) == ["year=2000", "year=2001", "year=2002"]
+    back = read_table(spark, f"{d}/t")
     assert dict(back.dtypes)["year"] == "int" and back.where("year = 2001").count() == 17
 
 
