@@ -97,8 +97,8 @@ _NODES: dict[tuple[str, int], tuple[DataFrame, str]] = {}
 def known_nodes(model, spark) -> tuple[DataFrame, str]:
     """``node_table``, saved once per fitted model, which never changes."""
     key = (model.uid, id(spark.sparkContext))
-    if hasattr(model, "nodes"):  # a forest that is a node table already
-        return model.nodes, "probability"
+    if hasattr(model, "nodes"):  # a node table already
+        return model.nodes, model.kind
     if key not in _NODES:
         _NODES[key] = node_table(model, spark)
     return _NODES[key]

@@ -158,12 +158,13 @@ def grow(cells: np.ndarray, label: np.ndarray, weight: np.ndarray, rng: np.rando
 
 
 @dataclass
-class GrownForest:
-    """A fitted forest: its node table (values are class-1 shares over the
-    number of trees) at ``path``."""
+class TreeModel:
+    """A fitted ensemble: its node table at ``path``, and what the summed leaf
+    values are: the 'probability' of class 1 or its 'log_odds'."""
     spark: object
     path: str
     uid: str
+    kind: str
 
     @property
     def nodes(self) -> DataFrame:
@@ -171,7 +172,8 @@ class GrownForest:
 
     def scored(self, prepared: DataFrame, features: str, name: str) -> DataFrame:
         """``prepared`` with the probability of class 1 as ``name``."""
-        return score_nodes(self.nodes, prepared, features, name)
+        scored = score_nodes(self.nodes, prepared, features, name)
+        return scored if self.kind == "probability" else scored.withColumn(name, 1 / (1 + F.exp(-F.col(name))))
 
 
 @dataclass
@@ -189,7 +191,7 @@ class LocalForest:
         need = max(LEAST_UPPER, math.ceil(math.log2(max(1, rows / self.task_rows))) + 1)
         return min(need, MOST_UPPER, math.inf if self.max_depth is None else self.max_depth)
 
-    def fit(self, train: DataFrame) -> GrownForest:
+    def fit(self, train: DataFrame) -> TreeModel:
         """Grow the forest on ``train`` (vector column and 0/1 label)."""
         spark, seed = train.sparkSession, self.seed
         x = train.select(vector_to_array(self.features).alias("x"), F.col(self.label).cast("int").alias("label"))
@@ -210,7 +212,7 @@ class LocalForest:
         lower.write.parquet(f"{grown}/part=lower")
         roots = spark.read.schema(NODES).parquet(f"{grown}/part=lower").where(F.col("id") < ID_SPACE).select("tree", "id")
         top.join(roots, ["tree", "id"], "left_anti").write.parquet(f"{grown}/part=upper")
-        return GrownForest(spark, grown, upper.uid)
+        return TreeModel(spark, grown, upper.uid, "probability")
 
     def _lower(self, distinct: DataFrame, known: list, bounds: dict[int, np.ndarray], levels: int) -> DataFrame:
         """Nodes grown below the leaves of the upper levels; the first of each has that leaf's id."""

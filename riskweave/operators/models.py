@@ -9,10 +9,8 @@ Scale notes:
 * the prepared training set is persisted (memory and disk) because tree
   learning reads it once per level and iteration; it is unpersisted by
   ``TrainedModel.release``;
-* boosted trees are Spark ML's distributed level-wise algorithm: executors
-  build split statistics per partition, only the per-level histograms go
-  through the driver, so cost grows with data and model size, not with a
-  single task;
+* boosted trees take one job per level: tasks add up histograms, the driver
+  sees one best split per open node and feature (riskweave.operators.boosting);
 * the forest is Spark ML's in its upper levels only, and finished by one
   task per lower node (riskweave.operators.forest);
 * node-id caching and checkpoints (to the shared checkpoint folder) keep
@@ -32,7 +30,8 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.features import (FEATURES, IS_TEST, LABEL, FeatureSpec, FittedPrep, feature_spec,
                                           fit_prep, row_key, training_rows, with_split)
-from riskweave.operators.forest import GrownForest, LocalForest
+from riskweave.operators.boosting import NewtonBoosting
+from riskweave.operators.forest import LocalForest, TreeModel
 from riskweave.session import checkpoint_dir
 
 PD = "pd"
@@ -46,8 +45,14 @@ MAX_BINS = 256
 NODE_CACHE_MIN_DEPTH = 9
 
 
-def gbt(max_iter: int = 100, max_depth: int = 6, step_size: float = 0.3, seed: int = SEED) -> GBTClassifier:
-    """Boosted trees with the original library's defaults (100 rounds, depth 6, rate 0.3).
+def gbt(max_iter: int = 100, max_depth: int = 6, step_size: float = 0.3, reg_lambda: float = 1.0) -> NewtonBoosting:
+    """Boosted trees with the original library's defaults (100 rounds, depth
+    6, rate 0.3, L2 term 1): second-order steps."""
+    return NewtonBoosting(max_iter=max_iter, max_depth=max_depth, step_size=step_size, reg_lambda=reg_lambda, features=FEATURES, label=LABEL)
+
+
+def first_order_gbt(max_iter: int = 100, max_depth: int = 6, step_size: float = 0.3, seed: int = SEED) -> GBTClassifier:
+    """Spark ML's boosted trees (first-order steps, no L2 term).
 
     ``checkpointInterval`` also checkpoints the running predictions every 10
     rounds, which keeps the lineage of long boosting runs short."""
@@ -61,8 +66,8 @@ def random_forest(num_trees: int = 100, max_depth: int | None = None, seed: int
     return LocalForest(num_trees=num_trees, max_depth=max_depth, seed=seed, features=FEATURES, label=LABEL)
 
 
-BOOSTED, FOREST = "Gradient Boosted Trees", "Random Forest"
-MODELS: dict[str, Callable[..., object]] = {BOOSTED: gbt, FOREST: random_forest}
+BOOSTED, FIRST_ORDER, FOREST = "Gradient Boosted Trees", "First-order Boosted Trees", "Random Forest"
+MODELS: dict[str, Callable[..., object]] = {BOOSTED: gbt, FIRST_ORDER: first_order_gbt, FOREST: random_forest}
 # FIXED VALUES: other names that callers use for the models.
 ALIASES = {"XGBoost": BOOSTED, "XGBoost Classifier": BOOSTED, "Random Forest Classifier": FOREST}
 
@@ -113,7 +118,7 @@ class TrainedModel:
             return self._scored
         prepared = self.test if df is None else df
         columns = [self.key, *self.passthrough, LABEL]
-        if isinstance(self.model, GrownForest):
+        if isinstance(self.model, TreeModel):
             scored = self.model.scored(prepared.select(*columns, FEATURES), FEATURES, PD)
             out = scored.select(*columns, (F.col(PD) > 0.5).cast("int").alias(PREDICTION), PD)
         else:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from typing import Callable, Sequence
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.dates import parse_date
-from riskweave.operators import density, explain, features, models, portfolio, risk, statistics
+from riskweave.operators import boosting, density, explain, features, models, portfolio, risk, statistics
 from riskweave.operators.layering import LayerSpec, apply_layers, layer_macro
 from riskweave.plans.workspace import workspace
 from riskweave.session import scratch_path
@@ -363,6 +364,18 @@ def q_shap_fixed_tree(spark, sf_dir):
     return round6(explain.explain_nodes(nodes, rows, FIXED_FEATURES, features="x"), ["phi"])
 
 
+def q_newton_stump(spark, sf_dir):
+    """The first split of the boosted trees on tenure and year: its leaves in closed form."""
+    rows = _split_rows(spark, sf_dir).where(~F.col(features.IS_TEST) & F.col("year").isNotNull())
+    train = rows.select(F.array(F.col("tenure_days").cast("double"), F.col("year").cast("double")).alias("x"), "label")
+    model = boosting.NewtonBoosting(max_iter=1, max_depth=1, features="features").fit(
+        train.select(array_to_vector("x").alias("features"), "label"))
+    names = F.array(F.lit("tenure_days"), F.lit("year"))
+    kinds = F.when(F.col("tree") == 0, "base").when(F.col("left") >= 0, "split").when(F.col("id") == 1, "left").otherwise("right")
+    return round6(model.nodes.select(kinds.alias("node"), F.get(names, F.col("feature")).alias("feature"), "threshold",
+                                     "cover", F.when(F.col("left") < 0, F.col("value")).alias("value")), ["cover", "value"])
+
+
 # Rows shown in the scored-loan table (a display limit, ordered by loan number).
 EL_DISPLAY_ROWS = 50
 
@@ -467,6 +480,7 @@ QUERIES: dict[str, Query] = {
     "binary_metrics": q_binary_metrics,
     "score_fixed_ensemble": q_score_fixed_ensemble,
     "shap_fixed_tree": q_shap_fixed_tree,
+    "newton_stump": q_newton_stump,
     "expected_loss": q_expected_loss,
     "expected_loss_preview": q_expected_loss_preview,
     "expected_loss_totals": q_expected_loss_totals,

@@ -73,7 +73,7 @@ def test_dispatcher_shares_split(trained):
     ws, ms = trained
     keys = [sorted(r.loan_no for r in m.score().select("loan_no").collect()) for m in ms.values()]
     assert keys[0] == keys[1] and len(keys[0]) > 0
-    assert set(models.MODELS) == {models.BOOSTED, models.FOREST}
+    assert set(models.MODELS) == {models.BOOSTED, models.FIRST_ORDER, models.FOREST}
     assert models.model_name("XGBoost Classifier") == models.model_name("XGBoost") == models.BOOSTED
 
 
