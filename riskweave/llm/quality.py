@@ -138,14 +138,15 @@ def fit(texts: list[str], n_chars: list, labels: list[int], visits: int = VISITS
 
 def fit_on(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Machine:
     """Machine of at most ``max_docs`` labelled documents (``labels``:
-    doc_id, quality 0 or 1) for which ``learn`` holds, of at most
-    ``max_chars`` characters, in the order of a hash of doc_id. The bound is
-    on training only. Null labels do not teach."""
-    rows = with_fallback(docs, doc_id="bigint", text="string", n_chars="bigint").where(learn & (F.length(F.coalesce("text", F.lit(""))) <= max_chars))
+    doc_id, quality 0 or 1) for which ``learn`` holds, in the order of a
+    hash of doc_id; of a longer text its first ``max_chars`` characters, of
+    rows that repeat a doc_id the smallest. The bounds are on training only.
+    Null labels do not teach."""
+    rows = with_fallback(docs, doc_id="bigint", text="string", n_chars="bigint").where(learn).withColumn("text", F.substring("text", 1, max_chars))
     marked = with_fallback(labels, doc_id="bigint", quality="int").where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = rows.select("doc_id").distinct().join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "quality").limit(2 * max_docs).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["text"] or ""))
+    taught = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "n_chars", "quality")).alias("r"))
+    got = [r["r"] for r in sorted(taught.collect(), key=lambda r: r["doc_id"])]
     return fit([r["text"] or "" for r in got], [r["n_chars"] for r in got], [r["quality"] for r in got])
 
 

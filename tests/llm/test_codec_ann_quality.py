@@ -176,6 +176,16 @@ def test_quality_hard_rows(hard, nothing):
     assert quality.score(hard, quality.fit([], [], [])).count() == hard.count()
 
 
+def test_long_documents_teach_and_repeats_count_once(spark):
+    from pyspark.sql import functions as F
+    rows = [(k, ("good words said here " if k % 2 else "BAD!! $$$ ### ") * 3000, None) for k in range(30) for _ in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id bigint, quality int")
+    m = quality.fit_on(docs, labels, F.lit(True), max_docs=20)
+    scored = {r["doc_id"]: r["score"] for r in quality.score(docs, m).collect()}
+    assert min(s for k, s in scored.items() if k % 2) > max(s for k, s in scored.items() if not k % 2)
+
+
 def test_held_out_quality(spark, small_sf):
     from riskweave.llm.langid import remainder
     docs, labels = (spark.read.parquet(f"{small_sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
