@@ -327,10 +327,11 @@ def train(background: list[str], steps: int = STEPS, seed: int = 7) -> dict[str,
 
 
 def train_on(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> dict[str, np.ndarray]:
-    """Model whose windows come from at most ``max_docs`` documents of at
-    most ``max_chars`` characters, in the order of a hash of the text (the
-    bound is on training only); half of them hold a digit or an `@`."""
-    rows = with_fallback(docs, text="string").where(F.length("text").between(1, max_chars))
+    """Model whose windows come from at most ``max_docs`` documents, in the
+    order of a hash of the text, of a longer one its first ``max_chars``
+    characters (the bounds are on training only); half of them hold a digit
+    or an `@`."""
+    rows = with_fallback(docs, text="string").select(F.substring("text", 1, max_chars).alias("text")).where(F.length("text") > 0)
     order, half = F.xxhash64("text").alias("h"), max_docs // 2
     picked: set[str] = set()
     for part in (rows.where(F.col("text").rlike("[0-9@]")), rows):
