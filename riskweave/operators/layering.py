@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.schema import MACRO_EXCLUDE
+from riskweave.sources.macro import read_macro
 
 _K_CODE, _K_YEAR = "__layer_code", "__layer_year"
 
@@ -74,6 +75,24 @@ def layer_macro(loans: DataFrame, macro: DataFrame, exclude: Sequence[str] = MAC
     return joined.select(*[loans[c] for c in loans.columns], *[m[c] for c in out_names])
 
 
+def folder_catalogue(spark: SparkSession, folder: str) -> dict[str, LayerSpec]:
+    """The macro panels of a folder by name: CSV files (``name.csv``), Parquet
+    folders and replaceable tables. Hidden entries are left out; a folder
+    that is not there has none. Nothing is read before a layer is used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return {}
+    out = {}
+    for entry in fs.listStatus(path):
+        name, where = entry.getPath().getName(), entry.getPath().toString()
+        if name.startswith((".", "_")) or not (entry.isDirectory() or name.endswith(".csv")):
+            continue
+        fmt = "csv" if name.endswith(".csv") else "parquet"
+        out[name.removesuffix(".csv")] = LayerSpec(name.removesuffix(".csv"), lambda s, w=where, f=fmt: read_macro(s, w, f))
+    return dict(sorted(out.items()))
+
+
 def apply_layers(loans: DataFrame, layers: Sequence[str | DataFrame | LayerSpec],
                  spark: SparkSession | None = None, catalogue: Mapping[str, LayerSpec] | None = None, **kwargs) -> DataFrame:
     """Fold the selected layers over the loans; no layer -> loans unchanged.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.dates import parse_date
 from riskweave.operators import boosting, density, explain, features, models, portfolio, risk, statistics
-from riskweave.operators.layering import LayerSpec, apply_layers, layer_macro
+from riskweave.operators.layering import LayerSpec, apply_layers, folder_catalogue, layer_macro
 from riskweave.plans.workspace import workspace
 from riskweave.session import scratch_path
 from riskweave.sources import sinks, versions
@@ -100,6 +100,14 @@ def q_layer_by_name(spark, sf_dir):
     return apply_layers(ws.loans, ["gdp"], spark, {"gdp": LayerSpec("gdp", lambda s: ws.macro)})
 
 
+def q_layer_from_folder(spark, sf_dir):
+    """A layer found by listing the folder of stored panels."""
+    ws = workspace(spark, sf_dir)
+    folder = scratch_path(spark, "layers")
+    versions.replace_table(ws.macro, f"{folder}/gdp")
+    return apply_layers(ws.loans, list(folder_catalogue(spark, folder)), spark, folder_catalogue(spark, folder))
+
+
 def q_layer_none(spark, sf_dir):
     return apply_layers(workspace(spark, sf_dir).loans, [])
 
@@ -443,6 +451,7 @@ QUERIES: dict[str, Query] = {
     "macro_layer_fanout": q_macro_layer_fanout,
     "macro_layer_two": q_macro_layer_two,
     "layer_by_name": q_layer_by_name,
+    "layer_from_folder": q_layer_from_folder,
     "layer_none": q_layer_none,
     "macro_scan": q_macro_scan,
     "unparsed_dates": q_unparsed_dates,

@@ -37,6 +37,7 @@ class Workspace:
         self.sf_dir = sf_dir.rstrip("/")
         checkpoint_dir(spark)
         self.models: dict = {}
+        self.locks: dict = {}
 
     def table(self, name: str) -> DataFrame:
         return fixtures.read_table(self.spark, self.sf_dir, name)
@@ -115,6 +116,8 @@ class Workspace:
         from riskweave.operators.models import train_and_evaluate
         key = (name, tuple(sorted(params.items())))
         with _LOCK:
+            lock = self.locks.setdefault(key, threading.Lock())
+        with lock:  # one training per model; others go on
             if key not in self.models:
                 self.models[key] = train_and_evaluate(self.layered(), name, prepared=self.prepared, **params)
             return self.models[key]

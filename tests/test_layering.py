@@ -94,3 +94,20 @@ def test_named_layers(frames, spark):
     assert rows(apply_layers(loans, ["gdp"], spark, catalogue)) == EXPECTED
     with pytest.raises(ValueError, match="unknown layers"):
         apply_layers(loans, ["gdp", "cpi"], spark, catalogue)
+
+
+def test_folder_catalogue(spark, tmp_path):
+    from riskweave.operators.layering import apply_layers, folder_catalogue
+    from riskweave.sources.versions import replace_table
+    macro = spark.createDataFrame([("KEN", "Kenya", "2010", 1.5, "Annual", "GDP")],
+                                  "country_code string, country_name string, year string, gdp_usd double, frequency string, indicator_type string")
+    replace_table(macro, str(tmp_path / "gdp"))
+    macro.write.parquet(str(tmp_path / "debt"))
+    (tmp_path / "rates.csv").write_text("country_code,country_name,year,gdp_usd,frequency,indicator_type\nKEN,Kenya,2010,9.5,Annual,RATE\n")
+    (tmp_path / "_notes").mkdir()
+    (tmp_path / "readme.txt").write_text("x")
+    found = folder_catalogue(spark, str(tmp_path))
+    assert list(found) == ["debt", "gdp", "rates"] and folder_catalogue(spark, str(tmp_path / "none")) == {}
+    loans = spark.createDataFrame([(1, "KEN ", 2010)], "loan_no int, country_code string, year int")
+    row = apply_layers(loans, ["gdp", "rates"], spark, found).first()
+    assert (row["gdp_usd"], row["gdp_usd_1"]) == (1.5, 9.5)
