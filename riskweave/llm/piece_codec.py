@@ -183,7 +183,7 @@ class PieceCodec(dict):
         _, down = powers(size)
         prefix = hashed(codes)
         widths = min(size, self.longest)
-        last, back = np.full((n, size + 1), -1, np.int32), np.zeros((n, size + 1), np.int32)
+        last, back = np.full((n, size + 1), -1, np.int64), np.zeros((n, size + 1), np.int32)
         rows = np.arange(n)
         # Pieces are looked up for a window of ends at a time: a long word holds two numbers a character.
         window = max(1, CELLS // n)
@@ -198,7 +198,7 @@ class PieceCodec(dict):
             for end in range(lo, hi):
                 m = min(end, widths)
                 now = piece[1:m + 1, :, end - lo]                 # widths 1..m
-                before = last[:, end - m:end][:, ::-1].T.astype(np.int64)  # last piece of the prefix before each
+                before = last[:, end - m:end][:, ::-1].T          # last piece of the prefix before each
                 value = now >= 0
                 test = value & (before >= 0) & (now != self.unknown) & (before != self.unknown)
                 if test.any():
@@ -212,7 +212,7 @@ class PieceCodec(dict):
             steps.append(np.where(at > 0, last[rows, at], -1))
             at = at - back[rows, at]
         tokens = np.stack(steps[::-1], 1)
-        return tokens[tokens >= 0].astype(np.int64), (tokens >= 0).sum(1)
+        return tokens[tokens >= 0], (tokens >= 0).sum(1)
 
     @staticmethod
     def followed(last: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ class PieceCodec(dict):
         while at > 0:
             ends.append(at)
             at -= int(back[at])
-        tokens = last[np.array(ends, np.int64)[::-1]].astype(np.int64)
+        tokens = last[np.array(ends, np.int64)[::-1]]
         return tokens, np.array([len(tokens)])
 
     def learn(self, words: list[str]) -> None:
