@@ -11,13 +11,13 @@ over features and cell bounds, both sides holding at least
 
 Rows become vectors of cells (``riskweave.operators.forest``), and equal
 vectors count once with their number and their number of ones, so that the
-work of a round follows the distinct vectors. A node of many vectors is
-split by one job per level: each task adds up one histogram of G and H per
-open node and feature, Spark brings the parts of a histogram together, and
-its best split is found there; the driver sees one row per open node and
-feature. Nodes of at most ``task_rows`` vectors are finished by one more
-job, each by one task from the same histograms. The running margins are
-written every few rounds, so lineage and the work of a task stay short.
+work of a round follows the distinct vectors. They are held in blocks
+(``riskweave.operators.blocks``). A tree takes one job per level: each task
+adds up one histogram of G and H per open node and feature over its blocks,
+Spark brings the parts of a histogram together, and its best split is found
+there; the driver sees one row per open node and feature. The running
+margins are written every few rounds, so lineage and the work of a task stay
+short.
 """
 
 from __future__ import annotations
@@ -29,27 +29,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.operators import blocks
 from riskweave.operators.explain import NODES, with_cells
 from riskweave.operators.forest import BINS, TreeModel, cell_bounds
 from riskweave.session import scratch_path
 
 # Rounds after which the margins are written.
-KEPT_ROUNDS = 10
+KEPT_ROUNDS = 4
 # A split must gain more than this.
 LEAST_GAIN = 1e-6
 
-STATE = "cells binary, n bigint, ones bigint, margin double"
-# Distinct vectors of a node that one task finishes.
-TASK_ROWS = 1 << 17
-
-PARTS = "slot int, feature int, sums binary"
+NUMBERS = {"n": np.int64, "ones": np.int64, "margin": np.float64}
+STATE = "cells binary, n binary, ones binary, margin binary"
+PARTS = "slot int, feature int, part int, sums binary"
 SPLITS = "slot int, feature int, gain double, cell int, total array<double>, below array<double>"
-OPEN_ROWS = "node int, cells binary, g double, h double"
-GROWN = "node int, place int, left int, right int, feature int, cell int, g double, h double"
 
 
 @dataclass
@@ -80,68 +78,34 @@ class Grown:
         return left, left + 1
 
     def places(self, cells: np.ndarray) -> np.ndarray:
-        """Node that each row of ``cells`` is in."""
-        left, right, feature, cell = (np.array(x) for x in (self.left, self.right, self.feature, self.cell))
-        at = np.zeros(len(cells), np.int64)
-        while len(inner := np.flatnonzero(left[at] >= 0)):
-            node = at[inner]
-            at[inner] = np.where(cells[inner, feature[node]] <= cell[node], left[node], right[node])
-        return at
+        """Node that each vector of ``cells`` (features x vectors) is in."""
+        return blocks.places(cells, *(np.array(x) for x in (self.left, self.right, self.feature, self.cell)))
 
 
 def histograms(cells: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, most: int) -> np.ndarray:
-    """[slots, features, G / H / rows, cells]: the sums over the rows of each slot."""
-    out = np.zeros((slots, cells.shape[1], 3, most))
-    for f in range(cells.shape[1]):
-        key = slot * most + cells[:, f]
-        for k, w in enumerate((g, h, None)):
+    """[slots, features, G / H, cells]: the sums over the vectors of each slot."""
+    out = np.zeros((slots, len(cells), 2, most))
+    for f, mine in enumerate(cells):
+        key = slot * most + mine
+        for k, w in enumerate((g, h)):
             out[:, f, k] = np.bincount(key, w, slots * most).reshape(slots, most)
     return out
 
 
 def best_split(sums: np.ndarray, reg: float, least: float) -> tuple[float, int, np.ndarray, np.ndarray]:
-    """(gain, cell, total, below) of the best bound of one histogram (G, H,
-    rows x cells), the first of equal ones; gain -inf without an allowed one."""
+    """(gain, cell, total, below) of the best bound of one histogram (G, H, ...
+    x cells), the first of equal ones; gain -inf without an allowed one."""
     total, below = sums.sum(1), np.cumsum(sums, 1)[:, :-1]
     above = total[:, None] - below
     gain = np.full(below.shape[1], -np.inf)
     ok = (below[1] >= least) & (above[1] >= least)
     gain[ok] = below[0, ok] ** 2 / (below[1, ok] + reg) + above[0, ok] ** 2 / (above[1, ok] + reg) - total[0] ** 2 / (total[1] + reg)
     if not ok.any():
-        return -math.inf, 0, total, np.zeros(3)
+        return -math.inf, 0, total, np.zeros(len(sums))
     k = int(gain.argmax())
     return float(gain[k]), k, total, below[:, k]
 
 
-def grow(cells: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, sizes: list[int], reg: float, least: float) -> Grown:
-    """The subtree of rows that one task holds."""
-    tree = Grown.root()
-    tree.g[0], tree.h[0] = float(g.sum()), float(h.sum())
-    place, open_ = np.zeros(len(cells), np.int64), [0]
-    for _ in range(depth):
-        if not open_:
-            break
-        slot_of = np.full(len(tree.left), -1)
-        slot_of[open_] = np.arange(len(open_))
-        rows = np.flatnonzero(slot_of[place] >= 0)
-        sums = histograms(cells[rows], slot_of[place[rows]], g[rows], h[rows], len(open_), max(sizes))
-        following = []
-        for k, node in enumerate(open_):
-            found = [(f, *best_split(sums[k, f, :, :sizes[f]], reg, least)) for f in range(len(sizes))]
-            f, gain, cell, total, below = min(found, key=lambda x: (-x[1], x[0]))
-            if gain > LEAST_GAIN:
-                following += tree.split(node, f, cell, total, below)
-        place[rows] = _moved_down(tree, place[rows], cells[rows])
-        open_ = following
-    return tree
-
-
-def _moved_down(tree: Grown, place: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    left, right, feature, cell = (np.array(x)[place] for x in (tree.left, tree.right, tree.feature, tree.cell))
-    goes_left = cells[np.arange(len(cells)), feature] <= cell
-    return np.where(left < 0, place, np.where(goes_left, left, right))
-
-
 @dataclass
 class NewtonBoosting:
     max_iter: int = 100
@@ -150,7 +114,7 @@ class NewtonBoosting:
     reg_lambda: float = 1.0
     min_child_weight: float = 1.0
     bins: int = BINS
-    task_rows: int = TASK_ROWS
+    task_rows: int = blocks.BLOCK_ROWS  # distinct vectors of a block
     features: str = "features"
     label: str = "label"
 
@@ -161,19 +125,19 @@ class NewtonBoosting:
         width = x.agg(F.max(F.size("x")).alias("w")).first()["w"]
         bounds = cell_bounds(x, width, self.bins)
         counts = with_cells(x, bounds).groupBy("cells").agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("ones"))
-        state, path = self._stored(counts.select("*", F.lit(0.0).alias("margin")))
-        total = state.agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("ones").alias("ones")).first()
+        sizes = [len(bounds[f]) + 1 for f in range(width)]
+        state, path, _ = blocks.stored_blocks(counts.select("*", F.lit(0.0).alias("margin")), sizes, NUMBERS, self.task_rows)
+        total = x.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
         share = total["ones"] / total["n"]
         base = math.log(share / (1 - share))
-        sizes = [len(bounds[f]) + 1 for f in range(width)]
         trees: list[Grown] = []
         pending: list[Grown] = []
         for _ in range(self.max_iter):
-            tree = self._tree(state, base, pending, sizes, total["rows"])
+            tree = self._tree(state, base, pending, sizes)
             trees.append(tree)
             pending.append(tree)
             if len(pending) == KEPT_ROUNDS:
-                after, fresh = self._stored(self._moved(state, pending, width))
+                after, fresh = self._stored(self._moved(state, pending, sizes))
                 self._delete(spark, path)
                 state, path, pending = after, fresh, []
         self._delete(spark, path)
@@ -194,70 +158,58 @@ class NewtonBoosting:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
     @staticmethod
-    def _moved(state: DataFrame, pending: list[Grown], width: int) -> DataFrame:
+    def _moved(state: DataFrame, pending: list[Grown], sizes: list[int]) -> DataFrame:
         """``state`` with the pending trees added to the margins."""
+        width, kind = len(sizes), blocks.cell_type(sizes)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    cells = np.frombuffer(b"".join(b.column("cells").to_pylist()), np.int32).reshape(-1, width)
-                    margin = b.column("margin").to_numpy() + sum(t.value[t.places(cells)] for t in pending)
-                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cells", "n", "ones")), pa.array(margin)], ["cells", "n", "ones", "margin"])
+            for cells, n, ones, margin in blocks.unpacked(batches, width, kind, NUMBERS):
+                margin = margin + sum(t.value[t.places(cells)] for t in pending)
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in (cells, n, ones, margin)], ["cells", *NUMBERS])
 
         return state.mapInArrow(run, STATE)
 
-    def _tree(self, state: DataFrame, base: float, pending: list[Grown], sizes: list[int], rows: int) -> Grown:
-        tree, open_, small = Grown.root(), {0: rows}, {}
-        for depth in range(self.max_depth):
-            small |= {node: self.max_depth - depth for node, n in open_.items() if n <= self.task_rows}
-            large = [node for node in open_ if node not in small]
-            if not large:
+    def _tree(self, state: DataFrame, base: float, pending: list[Grown], sizes: list[int]) -> Grown:
+        tree, open_ = Grown.root(), [0]
+        for _ in range(self.max_depth):
+            if not open_:
                 break
             best: dict[int, tuple] = {}
-            for r in self._splits(state, base, pending, tree, large, sizes).collect():
+            for r in self._splits(state, base, pending, tree, open_, sizes).collect():
                 mine = (-r["gain"], r["feature"], r["cell"], r["total"], r["below"])
-                best[large[r["slot"]]] = min(best.get(large[r["slot"]], mine), mine)
-            open_ = {}
+                best[open_[r["slot"]]] = min(best.get(open_[r["slot"]], mine), mine)
+            open_ = []
             for node, (gain, feature, cell, total, below) in sorted(best.items()):
-                tree.g[node], tree.h[node] = total[0], total[1]
+                tree.g[node], tree.h[node] = total
                 if -gain > LEAST_GAIN:
-                    left, right = tree.split(node, feature, cell, np.array(total), np.array(below))
-                    open_ |= {left: below[2], right: total[2] - below[2]}
-        if small:
-            self._finish(state, base, pending, tree, small, sizes)
+                    open_ += tree.split(node, feature, cell, np.array(total), np.array(below))
         tree.value = -np.array(tree.g) / (np.array(tree.h) + self.reg_lambda) * self.step_size
         return tree
 
-    @staticmethod
-    def _steps(b: pa.RecordBatch, width: int, base: float, pending: list[Grown]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cells, G, H) of the rows of a batch of the state."""
-        cells = np.frombuffer(b"".join(b.column("cells").to_pylist()), np.int32).reshape(-1, width)
-        margin = base + b.column("margin").to_numpy() + sum((t.value[t.places(cells)] for t in pending), np.zeros(len(cells)))
-        n, p = b.column("n").to_numpy(), 1 / (1 + np.exp(-margin))
-        return cells, n * p - b.column("ones").to_numpy(), n * p * (1 - p)
-
     def _splits(self, state: DataFrame, base: float, pending: list[Grown], tree: Grown, open_: list[int], sizes: list[int]) -> DataFrame:
         """Best split of every open node by every feature, from the sums over all rows."""
-        width, most, reg, least, steps = len(sizes), max(sizes), self.reg_lambda, self.min_child_weight, self._steps
+        width, most, kind, reg, least = len(sizes), max(sizes), blocks.cell_type(sizes), self.reg_lambda, self.min_child_weight
         slot_of = np.full(len(tree.left), -1)
         slot_of[open_] = np.arange(len(open_))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(open_), width, 3, most))
-            for b in batches:
-                if b.num_rows:
-                    cells, g, h = steps(b, width, base, pending)
-                    slot = slot_of[tree.places(cells)]
-                    some = np.flatnonzero(slot >= 0)
-                    sums += histograms(cells[some], slot[some], g[some], h[some], len(open_), most)
-            s, f = np.nonzero(sums[:, :, 2].any(2))
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(f, pa.int32()),
-                                              pa.array([sums[i, j].tobytes() for i, j in zip(s, f)], pa.binary())], ["slot", "feature", "sums"])
+            sums = np.zeros((len(open_), width, 2, most))
+            for cells, n, ones, margin in blocks.unpacked(batches, width, kind, NUMBERS):
+                p = 1 / (1 + np.exp(-sum((t.value[t.places(cells)] for t in pending), base + margin)))
+                g, h, slot = n * p - ones, n * p * (1 - p), slot_of[tree.places(cells)]
+                some = np.flatnonzero(slot >= 0)
+                if len(some) < len(slot):
+                    cells, slot, g, h = cells[:, some], slot[some], g[some], h[some]
+                sums += histograms(cells, slot, g, h, len(open_), most)
+            s, f = np.nonzero(sums[:, :, 1].any(2))
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(f, pa.int32()), pa.array(np.full(len(s), TaskContext.get().partitionId()), pa.int32()),
+                                              pa.array([sums[i, j].tobytes() for i, j in zip(s, f)], pa.binary())], ["slot", "feature", "part", "sums"])
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple[int, int], np.ndarray] = {}
             for b in batches:
                 for s, f, raw in zip(*(b.column(c).to_pylist() for c in ("slot", "feature", "sums"))):
-                    part = np.frombuffer(raw).reshape(3, most)
+                    part = np.frombuffer(raw).reshape(2, most)
                     held[s, f] = held[s, f] + part if (s, f) in held else part
             rows = [(s, f, *best_split(part[:, :sizes[f]], reg, least)) for (s, f), part in held.items()]
             if rows:
@@ -265,60 +217,8 @@ class NewtonBoosting:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["slot", "feature", "gain", "cell", "total", "below"])
 
         tasks = max(1, min(len(open_) * width // 8, state.sparkSession.sparkContext.defaultParallelism))
-        return state.mapInArrow(count, PARTS).repartition(tasks, "slot", "feature").mapInArrow(merge, SPLITS)
-
-    def _finish(self, state: DataFrame, base: float, pending: list[Grown], tree: Grown, small: dict[int, int], sizes: list[int]) -> None:
-        """Grow the subtrees of ``small`` (node: levels left), one task per node, into ``tree``."""
-        width, reg, least, steps = len(sizes), self.reg_lambda, self.min_child_weight, self._steps
-        wanted = np.zeros(len(tree.left), bool)
-        wanted[list(small)] = True
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    cells, g, h = steps(b, width, base, pending)
-                    at = tree.places(cells)
-                    some = np.flatnonzero(wanted[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(at[some], pa.int32()), b.column("cells").take(pa.array(some)), pa.array(g[some]), pa.array(h[some])],
-                                                     ["node", "cells", "g", "h"])
-
-        def finish(node: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            cells = np.frombuffer(b"".join(x for b in held for x in b.column("cells").to_pylist()), np.int32).reshape(-1, width)
-            g, h = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("g", "h"))
-            # Sums in one order, whatever the order of arrival.
-            order = np.lexsort(cells.T)
-            sub = grow(cells[order], g[order], h[order], small[node], sizes, reg, least)
-            k = len(sub.left)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(k, node), pa.int32()), pa.array(np.arange(k), pa.int32()), *(pa.array(c, pa.int32()) for c in (
-                sub.left, sub.right, sub.feature, sub.cell)), pa.array(sub.g, pa.float64()), pa.array(sub.h, pa.float64())],
-                ["node", "place", "left", "right", "feature", "cell", "g", "h"])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, last = [], None
-            for b in batches:
-                node = b.column("node").to_numpy()
-                cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else []
-                for lo, hi in zip(cuts, cuts[1:]):
-                    if held and node[lo] != last:
-                        yield finish(int(last), held)
-                        held = []
-                    last = node[lo]
-                    held.append(b.slice(lo, hi - lo))
-            if held:
-                yield finish(int(last), held)
-
-        tasks = min(len(small), 4 * state.sparkSession.sparkContext.defaultParallelism)
-        rows = state.mapInArrow(deal, OPEN_ROWS).repartition(tasks, "node").sortWithinPartitions("node").mapInArrow(run, GROWN).collect()
-        for node in sorted(small):
-            mine = sorted((r for r in rows if r["node"] == node), key=lambda r: r["place"])
-            first = len(tree.left) - 1  # place k > 0 becomes node first + k
-            for r in mine:
-                left, right = (first + r["left"], first + r["right"]) if r["left"] >= 0 else (-1, -1)
-                if r["place"] == 0:
-                    tree.left[node], tree.right[node], tree.feature[node], tree.cell[node], tree.g[node], tree.h[node] = left, right, r["feature"], r["cell"], r["g"], r["h"]
-                else:
-                    for column, value in ((tree.left, left), (tree.right, right), (tree.feature, r["feature"]), (tree.cell, r["cell"]), (tree.g, r["g"]), (tree.h, r["h"])):
-                        column.append(value)
+        # The parts of a sum are added in one order, whatever the order of arrival.
+        return state.mapInArrow(count, PARTS).repartition(tasks, "slot", "feature").sortWithinPartitions("part").mapInArrow(merge, SPLITS)
 
     @staticmethod
     def _nodes(trees: list[Grown], bounds: dict[int, np.ndarray], base: float, rows: float) -> list[tuple]:
