@@ -5,10 +5,11 @@ So the split thresholds of a model form one sorted table per feature, a row
 becomes its vector of cells (numbers of thresholds below each value), and
 each distinct vector is explained once:
 
-1. rows are mapped to cells; the distinct cells are dealt into blocks;
-2. the node table of the model stays a table: its trees are sent to the
-   blocks, every task takes one block and a share of the trees, so that few
-   cells use all cores too; the shares are summed per cell;
+1. rows are mapped to cells; the distinct cells are dealt into large blocks;
+2. the node table of the model stays a table: each tree is packed into one
+   binary and sent to the blocks, every task takes one block and a share of
+   the trees, so that few cells use all cores too; the shares are summed per
+   cell;
 3. the result is joined back to the rows by their cells.
 
 The driver sees the thresholds (at most bins x features), never nodes.
@@ -23,9 +24,11 @@ the row's cell lies in the path's interval of j, else 0, adds to feature i
 A polynomial in t, which Gauss-Legendre nodes, half as many as features,
 integrate exactly. It depends on the row only through the pattern of bits
 o, so each leaf gets a table of its patterns. The feature with the most
-cells in a block is swept: rows are sorted by it, all others form contexts;
-a leaf is added once per context as if its bit were 0, and the difference
-only to the slice of rows inside the leaf's interval.
+cells is swept: all others form contexts, and a context's cells come to one
+block. A leaf is added once per context as if its bit were 0; what its bit
+adds holds for one interval of the swept cells of each context, so it is
+added where the interval begins and taken off where it ends, and running
+sums at the end give the rows: a leaf costs the contexts, not the rows.
 
 Attributions do not change when all leaf values of a tree move by one
 constant, so leaves of the most common value are moved to zero and dropped.
@@ -53,8 +56,10 @@ from pyspark.sql import types as T
 from riskweave.schema import TOP_FEATURES
 from riskweave.session import scratch_path
 
-# Distinct cell vectors of a block.
-BLOCK_CELLS = 16_384
+# Distinct cell vectors of a block, about.
+BLOCK_CELLS = 1 << 18
+# Starts of swept cells that a block remembers (contexts x cells).
+KEPT_STARTS = 1 << 23
 # Patterns of a leaf that are all tabulated; of more, those that occur are.
 TABLE_BITS = 10
 # Doubles of one step's tables, and (leaves x contexts) of one step.
@@ -195,39 +200,43 @@ def contributions(bits: np.ndarray, zero: np.ndarray, value: np.ndarray) -> np.n
     return (w[:, None, None, None] / 2 * g.prod(-1, keepdims=True) / g).sum(0) * (bits - zero[:, None, :]) * value[:, None, None]
 
 
-@dataclass
 class Block:
-    """Distinct cell vectors, sorted by the swept feature, and the distinct
-    vectors of the other features (contexts)."""
-    order: np.ndarray     # sorted place -> row
-    sweep: int
-    start: np.ndarray     # first sorted place whose swept cell is at least this
-    context: np.ndarray   # context of each sorted place
-    cells: np.ndarray     # [features, contexts]
-
-    @classmethod
-    def of(cls, cells: np.ndarray) -> Block:
-        most = [len(np.unique(c)) for c in cells.T]
-        sweep = int(np.argmax(most))
-        order = np.argsort(cells[:, sweep], kind="stable")
-        swept = cells[order]
-        start = np.searchsorted(swept[:, sweep], np.arange(int(swept[-1, sweep]) + 2))
-        rest = np.ascontiguousarray(np.delete(swept, sweep, 1))
-        if rest.shape[1]:
-            keys = rest.view(np.dtype((np.void, rest.dtype.itemsize * rest.shape[1]))).ravel()
-            _, first, context = np.unique(keys, return_index=True, return_inverse=True)
-        else:
-            first, context = np.zeros(1, np.int64), np.zeros(len(swept), np.int64)
-        return cls(order, sweep, start, context, np.ascontiguousarray(swept[first].T))
-
-    def places(self, lo: int, hi: int) -> tuple[int, int]:
-        last = len(self.start) - 1
-        return int(self.start[min(lo, last)]), int(self.start[min(hi, last)])
+    """Distinct cell vectors sorted by context (the distinct vectors of all
+    features but the swept one) and swept cell. A context of n vectors has
+    n + 1 places, the last one after its vectors."""
+
+    def __init__(self, cells: np.ndarray, sweep: int | None = None):
+        if sweep is None:
+            sweep = int(np.argmax([len(np.unique(c)) for c in cells.T]))
+        self.sweep = sweep
+        order = np.lexsort((cells[:, sweep], *np.delete(cells, sweep, 1).T))
+        own = cells[order]
+        rest = np.delete(own, sweep, 1)
+        first = np.append(True, (rest[1:] != rest[:-1]).any(1))
+        self.order = order                                    # sorted vector -> row
+        self.context = np.cumsum(first) - 1                   # of each sorted vector
+        self.place = np.arange(len(order)) + self.context     # of each sorted vector
+        self.places = len(order) + int(self.context[-1]) + 1
+        self.cells = np.ascontiguousarray(own[first].T)       # [features, contexts]
+        self._stride = int(own[:, sweep].max()) + 2
+        self._keys = self.context * self._stride + own[:, sweep]
+        self._contexts = np.arange(self.cells.shape[1])
+        self._known: dict[int, np.ndarray] = {}
+
+    def start(self, cell: int) -> np.ndarray:
+        """Place of each context's first vector whose swept cell is at least ``cell``."""
+        cell = min(cell, self._stride - 1)
+        if cell not in self._known:
+            if (len(self._known) + 1) * len(self._contexts) > KEPT_STARTS:
+                self._known.clear()
+            self._known[cell] = np.searchsorted(self._keys, self._contexts * self._stride + cell) + self._contexts
+        return self._known[cell]
 
 
 def tree_shap(block: Block, tree: Tree, by_context: np.ndarray, by_row: np.ndarray) -> None:
     """Add the attributions of one tree: ``by_context`` (contexts x features)
-    holds for all rows of a context, ``by_row`` for each sorted row besides."""
+    holds for all rows of a context, ``by_row`` (places x features) is what
+    changes at a place."""
     width = by_row.shape[1]
     leaves = leaf_paths(tree, width)
     other = leaves.on.copy()
@@ -259,22 +268,24 @@ def tree_shap(block: Block, tree: Tree, by_context: np.ndarray, by_row: np.ndarr
             for i, leaf in enumerate(at):
                 by_context += table[i, :half].take(pattern[i], 0)
                 if s:
-                    first, last = block.places(leaves.lo[leaf, block.sweep], leaves.hi[leaf, block.sweep])
-                    if first < last:
-                        inside = table[i, half:] - table[i, :half]
-                        by_row[first:last] += inside.take(pattern[i].take(block.context[first:last]), 0)
+                    lo, hi = int(leaves.lo[leaf, block.sweep]), int(leaves.hi[leaf, block.sweep])
+                    if lo < hi:
+                        inside = (table[i, half:] - table[i, :half]).take(pattern[i], 0)
+                        by_row[block.start(lo)] += inside  # one place per context: none twice
+                        by_row[block.start(hi)] -= inside
 
 
-def ensemble_shap(cells: np.ndarray, trees: Iterator[Tree]) -> np.ndarray:
-    """Attributions (rows x features) of the rows of ``cells``, summed over ``trees``."""
+def ensemble_shap(cells: np.ndarray, trees: Iterator[Tree], sweep: int | None = None) -> np.ndarray:
+    """Attributions (rows x features) of the rows of ``cells``, summed over
+    ``trees``; ``sweep`` is the swept feature (by default that of most cells)."""
     if not cells.shape[1]:
         return np.zeros(cells.shape)
-    block = Block.of(cells)
-    by_context, by_row = np.zeros(block.cells.shape[::-1]), np.zeros(cells.shape)
+    block = Block(cells, sweep)
+    by_context, by_row = np.zeros(block.cells.shape[::-1]), np.zeros((block.places, cells.shape[1]))
     for tree in trees:
         tree_shap(block, tree, by_context, by_row)
     out = np.empty(cells.shape)
-    out[block.order] = by_row + by_context[block.context]
+    out[block.order] = np.cumsum(by_row, 0)[block.place] + by_context[block.context]
     return out
 
 
@@ -310,10 +321,41 @@ def with_cells(rows: DataFrame, thresholds: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cells", T.BinaryType())]))
 
 
+PACKED = "tree int, left binary, right binary, feature binary, cell binary, cover binary, value binary, root bigint"
+PACKED_TYPES = {"left": np.int32, "right": np.int32, "feature": np.int32, "cell": np.int32, "cover": np.float64, "value": np.float64}
+
+
+def packed_trees(nodes: DataFrame, thresholds: dict[int, np.ndarray]) -> DataFrame:
+    """One row per tree: the arrays of ``Tree`` as binaries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def whole() -> pa.RecordBatch:
+            mine = pa.Table.from_batches(held)
+            tree = tree_of({c: mine.column(c).to_numpy() for c in NODE_COLUMNS}, thresholds)
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), *(pa.array([getattr(tree, c).astype(t).tobytes()], pa.binary()) for c, t in PACKED_TYPES.items()),
+                                               pa.array([tree.root], pa.int64())], ["tree", *PACKED_TYPES, "root"])
+
+        for b in batches:
+            tree = b.column("tree").to_numpy()
+            cuts = [0, *(np.flatnonzero(tree[1:] != tree[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and tree[lo] != last:
+                    yield whole()
+                    held = []
+                last = int(tree[lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield whole()
+
+    return nodes.select("tree", *NODE_COLUMNS).repartition("tree").sortWithinPartitions("tree").mapInArrow(run, PACKED)
+
+
 def over_cells(cells: DataFrame, nodes: DataFrame, thresholds: dict[int, np.ndarray],
-               kernel: Callable[[np.ndarray, Iterator[Tree]], np.ndarray], width: int) -> DataFrame:
+               kernel: Callable[[np.ndarray, Iterator[Tree]], np.ndarray], width: int, sweep: int | None = None) -> DataFrame:
     """(cells, out): ``kernel`` of every distinct cell vector over all trees,
-    an array of ``width`` sums."""
+    an array of ``width`` sums. With ``sweep`` the vectors that differ in that
+    place only come to one block."""
     spark = cells.sparkSession
     path = scratch_path(spark, "cells")
     cells.select("cells").distinct().write.parquet(path)
@@ -321,20 +363,19 @@ def over_cells(cells: DataFrame, nodes: DataFrame, thresholds: dict[int, np.ndar
     blocks = max(1, -(-distinct.count() // BLOCK_CELLS))
     shares = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))
     length = 4 * max(1, len(thresholds))
+    rest = [F.col("cells")] if sweep is None else [F.substring("cells", 1, 4 * sweep), F.substring("cells", 4 * sweep + 5, length)]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x for b in batches for x in b.column("cells").to_pylist()]
-        if held:
+        held = [b"".join(b.column("cells").to_pylist()) for b in batches]
+        if any(held):
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["block", "rows"])
 
-    places = F.struct(*NODE_COLUMNS)
-    trees = nodes.groupBy("tree").agg(F.collect_list(places).alias("nodes"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PACKED.split(", ")[1:])]
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = (distinct.repartition(blocks).mapInArrow(pack, "block int, rows binary").withColumn("share", number(shares))
-             .select((F.col("block") * shares + F.col("share")).cast("int").alias("task"), F.lit(-1).alias("tree"), "rows",
-                     F.lit(None).cast(f"array<struct<{', '.join(f'{c}:{t}' for c, t in zip(NODE_COLUMNS, NODE_TYPES))}>>").alias("nodes")))
-    sent = trees.withColumn("block", number(blocks)).select(
-        (F.col("block") * shares + F.pmod("tree", F.lit(shares))).cast("int").alias("task"), "tree", F.lit(None).cast("binary").alias("rows"), "nodes")
+    dealt = (distinct.repartition(blocks, *rest).mapInArrow(pack, "block int, rows binary").withColumn("share", number(shares))
+             .select((F.col("block") * shares + F.col("share")).cast("int").alias("task"), "rows", F.lit(-1).alias("tree"), *none))
+    sent = packed_trees(nodes, thresholds).withColumn("block", number(blocks)).select(
+        (F.col("block") * shares + F.pmod("tree", F.lit(shares))).cast("int").alias("task"), F.lit(None).cast("binary").alias("rows"), "tree", *PACKED_TYPES, "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = ((b, i) for b in batches for i in range(b.num_rows))
@@ -345,8 +386,7 @@ def over_cells(cells: DataFrame, nodes: DataFrame, thresholds: dict[int, np.ndar
 
         def grown() -> Iterator[Tree]:
             for b, i in rest:
-                held = b.column("nodes")[i].values
-                yield tree_of({c: held.field(c).to_numpy(zero_copy_only=False) for c in NODE_COLUMNS}, thresholds)
+                yield Tree(*(np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in PACKED_TYPES.items()), b.column("root")[i].as_py())
 
         out = kernel(np.frombuffer(raw, np.int32).reshape(-1, length // 4), grown())
         for lo in range(0, len(out), 4096):
@@ -371,7 +411,8 @@ def explain_nodes(nodes: DataFrame, prepared: DataFrame, feature_names: Sequence
     thresholds = threshold_table(nodes)
     rows = with_cells(prepared.select(key, as_array(prepared, features).alias("x")), thresholds)
     rows = rows if with_value else rows.select(key, "cells")
-    found = over_cells(rows, nodes, thresholds, ensemble_shap, max(1, len(thresholds)))
+    sweep = int(np.argmax([len(t) for t in thresholds.values()])) if thresholds else None
+    found = over_cells(rows, nodes, thresholds, lambda c, trees: ensemble_shap(c, trees, sweep), max(1, len(thresholds)), sweep)
     at = {f: k for k, f in enumerate(thresholds)}
     entries = F.array(*[F.struct(F.lit(name).alias("feature"), (F.col("out")[at[f]] if f in at else F.lit(0.0)).alias("phi"),
                                  *([F.col("x")[f].alias("value")] if with_value else [])) for f, name in enumerate(feature_names)])
