@@ -94,7 +94,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         group = group & F.col(c).eqNullSafe(F.col(k))
     same = (F.col(_I) == F.col(_B)) & group
 
-    joined = base.join(brackets, group).where(F.col(_V) <= F.col("hi")).withColumn(_I, F.col(_B))
+    # A row per group and probability: sent to the rows. Dealt by group, all rows of one would meet in one task.
+    joined = base.join(F.broadcast(brackets), group).where(F.col(_V) <= F.col("hi")).withColumn(_I, F.col(_B))
     # Below the bracket: range -1 (one counted row per task after the map-side combine).
     inside, wide = F.col(_V) >= F.col("lo"), F.col("hi") - F.col("lo")
     part = F.least(F.lit(RANGES - 1), F.floor((F.col(_V) - F.col("lo")) / wide * RANGES))
