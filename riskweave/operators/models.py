@@ -11,8 +11,8 @@ Scale notes:
   ``TrainedModel.release``;
 * boosted trees take one job per level: tasks add up histograms, the driver
   sees one best split per open node and feature (riskweave.operators.boosting);
-* the forest is Spark ML's in its upper levels only, and finished by one
-  task per lower node (riskweave.operators.forest);
+* the forest splits nodes too large for a task by histograms of all trees at
+  once, and is finished by one task per lower node (riskweave.operators.forest);
 * node-id caching and checkpoints (to the shared checkpoint folder) keep
   the lineage of deep or long boosting runs short.
 """
