@@ -22,13 +22,15 @@ the row's cell lies in the path's interval of j, else 0, adds to feature i
     v (o_i - z_i) integral_0^1 prod_{j != i} (t o_j + (1 - t) z_j) dt
 
 A polynomial in t, which Gauss-Legendre nodes, half as many as features,
-integrate exactly. It depends on the row only through the pattern of bits
-o, so each leaf gets a table of its patterns. The feature with the most
-cells is swept: all others form contexts, and a context's cells come to one
-block. A leaf is added once per context as if its bit were 0; what its bit
-adds holds for one interval of the swept cells of each context, so it is
-added where the interval begins and taken off where it ends, and running
-sums at the end give the rows: a leaf costs the contexts, not the rows.
+integrate exactly. Multiplied out over some features G with many cells (the
+gridded ones), it is a sum over the subsets S of G of a number times
+prod_{j in S} o_j, and that product marks a box of cells. The other features
+only count by their bits o, which are the same for all cells of a group
+(vectors equal in all features but those of G). So a leaf is added to a
+grid of each group, once at every corner of its boxes (with signs), and
+running sums along the axes of the grid give the cells: a leaf costs the
+groups and its corners, not the vectors. The grids of a group have the cells
+that occur in it only; of the boxes, those without any are left out.
 
 Attributions do not change when all leaf values of a tree move by one
 constant, so leaves of the most common value are moved to zero and dropped.
@@ -42,7 +44,8 @@ equal the model output for that row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,12 +61,14 @@ from riskweave.session import scratch_path
 
 # Distinct cell vectors of a block, about.
 BLOCK_CELLS = 1 << 18
-# Starts of swept cells that a block remembers (contexts x cells).
+# Doubles of the grids of a group, about; a group with larger ones is cut.
 KEPT_STARTS = 1 << 23
-# Patterns of a leaf that are all tabulated; of more, those that occur are.
+# Gridded features, at most (their subsets are a table of so many bits).
 TABLE_BITS = 10
-# Doubles of one step's tables, and (leaves x contexts) of one step.
+# Doubles of one step's tables, about; leaves x features that are held at once.
 STEP_ELEMENTS = 1 << 20
+# Features that may be gridded, and vectors that the choice among them looks at.
+GRID_CANDIDATES, GRID_VECTORS = 8, 1 << 16
 
 NODE_COLUMNS = ("id", "left", "right", "feature", "threshold", "cover", "value")
 NODE_TYPES = ("bigint", "bigint", "bigint", "int", "double", "double", "double")
@@ -189,104 +194,213 @@ def leaf_paths(tree: Tree, width: int) -> Leaves:
     return Leaves(lo[leaf], hi[leaf], zero[leaf], on[leaf], tree.value[leaf] - common)
 
 
-def contributions(bits: np.ndarray, zero: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """(leaves x patterns x slots): what each slot of each leaf adds when the
-    row follows the slots that ``bits`` (patterns x slots) marks."""
-    slots = bits.shape[1]
-    x, w = np.polynomial.legendre.leggauss((slots + 1) // 2)
-    t = ((x + 1) / 2)[:, None, None]
-    off = (1 - t) * zero
-    g = np.where(bits[None, None], (off + t)[:, :, None, :], off[:, :, None, :])
-    return (w[:, None, None, None] / 2 * g.prod(-1, keepdims=True) / g).sum(0) * (bits - zero[:, None, :]) * value[:, None, None]
-
-
-class Block:
-    """Distinct cell vectors sorted by context (the distinct vectors of all
-    features but the swept one) and swept cell. A context of n vectors has
-    n + 1 places, the last one after its vectors."""
-
-    def __init__(self, cells: np.ndarray, sweep: int | None = None):
-        if sweep is None:
-            sweep = int(np.argmax([len(np.unique(c)) for c in cells.T]))
-        self.sweep = sweep
-        order = np.lexsort((cells[:, sweep], *np.delete(cells, sweep, 1).T))
-        own = cells[order]
-        rest = np.delete(own, sweep, 1)
-        first = np.append(True, (rest[1:] != rest[:-1]).any(1))
-        self.order = order                                    # sorted vector -> row
-        self.context = np.cumsum(first) - 1                   # of each sorted vector
-        self.place = np.arange(len(order)) + self.context     # of each sorted vector
-        self.places = len(order) + int(self.context[-1]) + 1
-        self.cells = np.ascontiguousarray(own[first].T)       # [features, contexts]
-        self._stride = int(own[:, sweep].max()) + 2
-        self._keys = self.context * self._stride + own[:, sweep]
-        self._contexts = np.arange(self.cells.shape[1])
-        self._known: dict[int, np.ndarray] = {}
-
-    def start(self, cell: int) -> np.ndarray:
-        """Place of each context's first vector whose swept cell is at least ``cell``."""
-        cell = min(cell, self._stride - 1)
-        if cell not in self._known:
-            if (len(self._known) + 1) * len(self._contexts) > KEPT_STARTS:
-                self._known.clear()
-            self._known[cell] = np.searchsorted(self._keys, self._contexts * self._stride + cell) + self._contexts
-        return self._known[cell]
-
-
-def tree_shap(block: Block, tree: Tree, by_context: np.ndarray, by_row: np.ndarray) -> None:
-    """Add the attributions of one tree: ``by_context`` (contexts x features)
-    holds for all rows of a context, ``by_row`` (places x features) is what
-    changes at a place."""
-    width = by_row.shape[1]
-    leaves = leaf_paths(tree, width)
+def hashed(cells: np.ndarray) -> np.ndarray:
+    """64 random bits of every cell of every feature (rows x features)."""
+    x = cells.astype(np.uint64) + (np.arange(cells.shape[1], dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def gridded(cells: np.ndarray) -> list[int]:
+    """The features whose grids make a leaf cheap on vectors like ``cells``:
+    from the one of most cells on, the next is the one that lowers groups x
+    (corners of a leaf and its share of the running sums) most, if one does.
+    Any choice gives the same attributions."""
+    bits = hashed(cells)
+    every = bits.sum(1)
+    numbers = np.array([len(np.unique(c)) for c in cells.T])
+    candidates = np.argsort(-numbers, kind="stable")[:GRID_CANDIDATES].tolist()
+
+    def cost(grid: list[int]) -> float:
+        rest = every - bits[:, grid].sum(1)
+        groups = len(np.unique(rest))
+        size = np.prod([len(np.unique(rest + bits[:, j])) / groups + 1 for j in grid]) * (cells.shape[1] - len(grid) + 2)
+        corners = np.prod([3 if numbers[j] > 2 else 2 for j in grid])
+        return groups * (corners * max(1.0, size / KEPT_STARTS) + size * len(grid) * cells.shape[1] / (2 * STEP_ELEMENTS))
+
+    chosen, best = candidates[:1], cost(candidates[:1])
+    while len(chosen) < min(TABLE_BITS, len(candidates)):
+        least, j = min((cost([*chosen, j]), j) for j in candidates if j not in chosen)
+        if least >= best:
+            break
+        chosen, best = [*chosen, j], least
+    return chosen
+
+
+@dataclass
+class Group:
+    """Vectors (``rows`` of a block) with the same cells in all features that
+    are not gridded; ``own`` is one of them."""
+    rows: np.ndarray
+    own: np.ndarray
+    shape: list[int]          # cells that occur, per gridded feature, and one after them
+    place: list[np.ndarray]   # of each vector on the axis of a gridded feature
+    rank: list[np.ndarray]    # of each cell up to the largest of the block and one more: occurring cells below it
+
+
+def groups_of(cells: np.ndarray, grid: list[int], channels: int) -> list[Group]:
+    """The vectors of ``cells`` in groups whose grids of ``channels`` numbers a
+    place have at most ``KEPT_STARTS``: larger ones are halved at an axis."""
+    rest = np.delete(cells, grid, 1)
+    order = np.lexsort(rest.T) if rest.shape[1] else np.arange(len(cells))
+    own = rest[order]
+    todo = np.split(order, np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1)
+    out = []
+    while todo:
+        rows = todo.pop()
+        found = [np.unique(cells[rows, j], return_inverse=True) for j in grid]
+        shape = [len(occurs) + 1 for occurs, _ in found]
+        longest = int(np.argmax(shape))
+        if np.prod(shape, dtype=float) * channels > KEPT_STARTS and shape[longest] > 2:
+            low = found[longest][1] < (shape[longest] - 1) // 2
+            todo += [rows[low], rows[~low]]
+            continue
+        rank = [np.searchsorted(occurs, np.arange(int(cells[:, j].max()) + 2)) for j, (occurs, _) in zip(grid, found)]
+        out.append(Group(rows, cells[rows[0]], shape, [place.reshape(-1) for _, place in found], rank))
+    return out
+
+
+@dataclass
+class Part:
+    """Leaves whose paths split on the same number of features besides the
+    gridded ones (slots), as slots x leaves and gridded features x leaves."""
+    feature: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    zero: np.ndarray
+    channel: np.ndarray       # of each slot
+    grid_lo: np.ndarray
+    grid_hi: np.ndarray
+    rest: list[np.ndarray]    # leaf value x zero fractions of the gridded features outside each subset
+
+
+def subsets_of(grid: list[int]) -> list[list[int]]:
+    """The subsets of the places in ``grid``, by the bits of their number."""
+    return [[a for a in range(len(grid)) if s >> a & 1] for s in range(1 << len(grid))]
+
+
+def parts_of(leaves: Leaves, grid: list[int], top: np.ndarray) -> Iterator[Part]:
+    """``leaves`` in steps; cells after ``top`` (per gridded feature) occur nowhere."""
+    width = leaves.on.shape[1]
+    channel_of = np.zeros(width, np.int64)
+    others = np.delete(np.arange(width), grid)
+    channel_of[others] = 2 + np.arange(len(others))
     other = leaves.on.copy()
-    other[:, block.sweep] = False
-    slots, swept = other.sum(1), leaves.on[:, block.sweep]
-    for k, s in sorted(set(zip(slots.tolist(), swept.tolist()))):
-        group, total = np.flatnonzero((slots == k) & (swept == s)), k + s
-        every = total <= TABLE_BITS
-        step = max(1, STEP_ELEMENTS // max(block.cells.shape[1], (width << total))) if every else 1
-        for at in (group[i:i + step] for i in range(0, len(group), step)):
-            feature = np.nonzero(other[at])[1].reshape(len(at), k)
-            pattern = np.zeros((len(at), block.cells.shape[1]), np.int32)
-            for b in range(k):
-                f = feature[:, b]
-                lo, hi = leaves.lo[at, f][:, None], leaves.hi[at, f][:, None]
-                cell = block.cells[f]
-                pattern |= ((cell >= lo) & (cell < hi)).astype(np.int32) << b
-            present = np.arange(1 << k)
-            if not every:
-                present, pattern[0] = np.unique(pattern[0], return_inverse=True)
-            bits = ((present[:, None] >> np.arange(k)) & 1).astype(bool)
-            if s:
-                bits = np.concatenate([np.column_stack([bits, np.full(len(bits), v)]) for v in (False, True)])
-                feature = np.column_stack([feature, np.full(len(at), block.sweep)])
-            table = np.zeros((len(at), len(bits), width))
-            zero = np.take_along_axis(leaves.zero[at], feature, 1)
-            table[np.arange(len(at))[:, None], :, feature] = contributions(bits, zero, leaves.value[at]).transpose(0, 2, 1)
-            half = len(present)
-            for i, leaf in enumerate(at):
-                by_context += table[i, :half].take(pattern[i], 0)
-                if s:
-                    lo, hi = int(leaves.lo[leaf, block.sweep]), int(leaves.hi[leaf, block.sweep])
-                    if lo < hi:
-                        inside = (table[i, half:] - table[i, :half]).take(pattern[i], 0)
-                        by_row[block.start(lo)] += inside  # one place per context: none twice
-                        by_row[block.start(hi)] -= inside
-
-
-def ensemble_shap(cells: np.ndarray, trees: Iterator[Tree], sweep: int | None = None) -> np.ndarray:
+    other[:, grid] = False
+    slots = other.sum(1)
+    for k in np.unique(slots).tolist():
+        mine = np.flatnonzero(slots == k)
+        step = max(1, STEP_ELEMENTS // (4 * (k + 1) * ((k + len(grid) + 1) // 2 + len(grid) + 1)))
+        for at in (mine[i:i + step] for i in range(0, len(mine), step)):
+            feature = np.ascontiguousarray(np.nonzero(other[at])[1].reshape(len(at), k).T)
+            zero = leaves.zero[at][:, grid].T
+            rest = [leaves.value[at] * np.prod([zero[a] for a in range(len(grid)) if a not in s], axis=0) for s in subsets_of(grid)]
+            yield Part(feature, leaves.lo[at, feature], leaves.hi[at, feature], leaves.zero[at, feature], channel_of[feature],
+                       np.minimum(leaves.lo[at][:, grid].T, top[:, None]), np.minimum(leaves.hi[at][:, grid].T, top[:, None]), rest)
+
+
+@lru_cache
+def unit_legendre(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n Gauss-Legendre nodes and weights on [0, 1]."""
+    x, w = np.polynomial.legendre.leggauss(n)
+    return (x + 1) / 2, w / 2
+
+
+def add_part(grids: list[np.ndarray], part: Part, group: Group, subsets: list[list[int]]) -> None:
+    """Add the corners of the leaves of ``part`` to the grids of ``group``, one
+    per subset of the gridded features: channel 0 counts for the features of
+    the subset, 1 (negative) for the other gridded ones, the rest for their own."""
+    k, g = len(part.feature), len(group.shape)
+    own = group.own[part.feature]
+    follows = (own >= part.lo) & (own < part.hi)
+    t, w = unit_legendre((k + g + 1) // 2)
+    factor = (1 - t)[:, None, None] * part.zero
+    factor += t[:, None, None] * follows
+    product = factor.prod(1)
+    of_grid = np.stack([w * t ** m * (1 - t) ** (g - 1 - m) for m in range(g)]) @ product
+    np.divide(product[:, None], factor, out=factor)
+    powers = np.stack([w * t ** m * (1 - t) ** (g - m) for m in range(g + 1)])
+    of_slots = (powers @ factor.reshape(len(t), -1)).reshape(g + 1, *follows.shape)
+    of_slots *= follows - part.zero
+    lo, hi = ([r.take(c) for r, c in zip(group.rank, corner)] for corner in (part.grid_lo, part.grid_hi))
+    some = [a < b for a, b in zip(lo, hi)]
+    flags = [np.ones(len(part.rest[0]), bool)]
+    for s, (subset, sums) in enumerate(zip(subsets, grids)):
+        if s:  # leaves whose boxes hold an occurring cell on every axis
+            last = subset[-1]
+            flags.append(flags[s - (1 << last)] & some[last])
+        kept = np.flatnonzero(flags[s])
+        if not len(kept):
+            continue
+        n, size = len(subset), sums.shape[1]
+        rest = part.rest[s].take(kept)
+        values = of_slots[n].take(kept, 1)
+        values *= rest
+        place = part.channel.take(kept, 1)
+        place *= size
+        index, values = np.empty_like(place), values.ravel()
+        inside = of_grid[n - 1].take(kept) * rest if n else None
+        outside = of_grid[n].take(kept) * rest if n < g else None
+        corners, stride = [(np.zeros(len(kept), np.int64), False)], size
+        for a in subset:
+            stride //= group.shape[a]
+            begin, end = lo[a].take(kept) * stride, hi[a].take(kept) * stride
+            corners = [(at + more, taken != off) for at, taken in corners for more, off in ((begin, False), (end, True))]
+        for at, taken in corners:
+            put = (np.subtract if taken else np.add).at
+            if n:
+                put(sums[0], at, inside)
+            if n < g:
+                put(sums[1], at, outside)
+            np.add(place, at, out=index)
+            put(sums.reshape(-1), index.ravel(), values)
+
+
+def add_leaves(out: np.ndarray, leaves: Leaves, grid: list[int], groups: list[Group], top: np.ndarray) -> None:
+    """Add the attributions of ``leaves`` to ``out`` (features x vectors)."""
+    subsets, parts = subsets_of(grid), list(parts_of(leaves, grid, top))
+    others = np.delete(np.arange(len(out)), grid)
+    for group in groups:
+        grids = [np.zeros((len(others) + 2, int(np.prod([group.shape[a] for a in s], dtype=np.int64)))) for s in subsets]
+        for part in parts:
+            add_part(grids, part, group, subsets)
+        total = np.zeros((len(out), len(group.rows)))
+        for subset, sums in zip(subsets, grids):
+            shaped = sums.reshape(-1, *(group.shape[a] for a in subset))
+            at = np.zeros(len(group.rows), np.int64)
+            for axis, a in enumerate(subset):
+                np.cumsum(shaped, axis + 1, out=shaped)
+                at = at * group.shape[a] + group.place[a]
+            found = sums.take(at, 1)
+            total[others] += found[2:]
+            for a, f in enumerate(grid):
+                total[f] += found[0] if a in subset else -found[1]
+        out[:, group.rows] += total
+
+
+def ensemble_shap(cells: np.ndarray, trees: Iterator[Tree], grid: Sequence[int] | None = None) -> np.ndarray:
     """Attributions (rows x features) of the rows of ``cells``, summed over
-    ``trees``; ``sweep`` is the swept feature (by default that of most cells)."""
-    if not cells.shape[1]:
+    ``trees``; ``grid`` are the gridded features (by default the best ones)."""
+    width = cells.shape[1]
+    if not cells.size:
         return np.zeros(cells.shape)
-    block = Block(cells, sweep)
-    by_context, by_row = np.zeros(block.cells.shape[::-1]), np.zeros((block.places, cells.shape[1]))
+    grid = list(gridded(cells) if grid is None else grid)
+    groups, top = groups_of(cells, grid, width - len(grid) + 2), cells[:, grid].max(0) + 1
+    out = np.zeros((width, len(cells)))
+    held: list[Leaves] = []
+
+    def add() -> None:
+        add_leaves(out, Leaves(*(np.concatenate([getattr(x, f.name) for x in held]) for f in fields(Leaves))), grid, groups, top)
+        held.clear()
+
     for tree in trees:
-        tree_shap(block, tree, by_context, by_row)
-    out = np.empty(cells.shape)
-    out[block.order] = np.cumsum(by_row, 0)[block.place] + by_context[block.context]
-    return out
+        held.append(leaf_paths(tree, width))
+        if sum(x.on.size for x in held) >= STEP_ELEMENTS:
+            add()
+    if held:
+        add()
+    return out.T
 
 
 def ensemble_score(cells: np.ndarray, trees: Iterator[Tree]) -> np.ndarray:
@@ -351,19 +465,43 @@ def packed_trees(nodes: DataFrame, thresholds: dict[int, np.ndarray]) -> DataFra
     return nodes.select("tree", *NODE_COLUMNS).repartition("tree").sortWithinPartitions("tree").mapInArrow(run, PACKED)
 
 
+def block_numbers(cells: np.ndarray, blocks: int, grid: Sequence[int] = (), pieces: int = 1, most: int = 1) -> np.ndarray:
+    """The block of each vector: vectors equal in all features but those of
+    ``grid`` share one, or one per piece of the up to ``most`` cells of the first of these."""
+    bits = hashed(cells)
+    number = bits.sum(1) - bits[:, list(grid)].sum(1)
+    if pieces > 1:
+        number += hashed((cells[:, grid[0]].astype(np.int64) * pieces // most)[:, None])[:, 0]
+    return ((number >> np.uint64(20)) % np.uint64(blocks)).astype(np.int32)
+
+
 def over_cells(cells: DataFrame, nodes: DataFrame, thresholds: dict[int, np.ndarray],
-               kernel: Callable[[np.ndarray, Iterator[Tree]], np.ndarray], width: int, sweep: int | None = None) -> DataFrame:
+               kernel: Callable[..., np.ndarray], width: int, with_grid: bool = False) -> DataFrame:
     """(cells, out): ``kernel`` of every distinct cell vector over all trees,
-    an array of ``width`` sums. With ``sweep`` the vectors that differ in that
-    place only come to one block."""
+    an array of ``width`` sums. ``with_grid`` the kernel is also given the
+    gridded features, and the vectors of a group come to one block."""
     spark = cells.sparkSession
     path = scratch_path(spark, "cells")
     cells.select("cells").distinct().write.parquet(path)
     distinct = spark.read.parquet(path)
     blocks = max(1, -(-distinct.count() // BLOCK_CELLS))
     shares = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))
-    length = 4 * max(1, len(thresholds))
-    rest = [F.col("cells")] if sweep is None else [F.substring("cells", 1, 4 * sweep), F.substring("cells", 4 * sweep + 5, length)]
+    features = max(1, len(thresholds))
+    length = 4 * features
+    grid, dealing, extra = (), (), ()
+    if with_grid and thresholds:
+        seen = distinct.orderBy(F.xxhash64("cells")).limit(max(1, min(GRID_VECTORS, 4 * STEP_ELEMENTS // features))).collect()
+        sample = np.frombuffer(b"".join(r["cells"] for r in seen), np.int32).reshape(-1, features)
+        grid = tuple(gridded(sample)) if len(sample) else (0,)
+        groups = len(np.unique(block_numbers(sample, 1 << 30, grid)))
+        # A block has several groups; where they are too few for it, pieces of them.
+        dealing, extra = (grid, -(-4 * blocks // max(1, groups)), len(thresholds[list(thresholds)[grid[0]]]) + 1), (grid,)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                held = np.frombuffer(b"".join(b.column("cells").to_pylist()), np.int32).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(block_numbers(held, blocks, *dealing)), b.column("cells")], ["block", "cells"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b"".join(b.column("cells").to_pylist()) for b in batches]
@@ -371,10 +509,11 @@ def over_cells(cells: DataFrame, nodes: DataFrame, thresholds: dict[int, np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["block", "rows"])
 
     none = [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PACKED.split(", ")[1:])]
-    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = (distinct.repartition(blocks, *rest).mapInArrow(pack, "block int, rows binary").withColumn("share", number(shares))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    numbered = distinct.mapInArrow(number, "block int, cells binary") if thresholds else distinct.select(F.lit(0).alias("block"), "cells")
+    dealt = (numbered.repartitionById(blocks, "block").mapInArrow(pack, "block int, rows binary").withColumn("share", each(shares))
              .select((F.col("block") * shares + F.col("share")).cast("int").alias("task"), "rows", F.lit(-1).alias("tree"), *none))
-    sent = packed_trees(nodes, thresholds).withColumn("block", number(blocks)).select(
+    sent = packed_trees(nodes, thresholds).withColumn("block", each(blocks)).select(
         (F.col("block") * shares + F.pmod("tree", F.lit(shares))).cast("int").alias("task"), F.lit(None).cast("binary").alias("rows"), "tree", *PACKED_TYPES, "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,11 +527,12 @@ def over_cells(cells: DataFrame, nodes: DataFrame, thresholds: dict[int, np.ndar
             for b, i in rest:
                 yield Tree(*(np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in PACKED_TYPES.items()), b.column("root")[i].as_py())
 
-        out = kernel(np.frombuffer(raw, np.int32).reshape(-1, length // 4), grown())
+        out = kernel(np.frombuffer(raw, np.int32).reshape(-1, features), grown(), *extra)
         for lo in range(0, len(out), 4096):
-            part = out[lo:lo + 4096]
+            part = np.ascontiguousarray(out[lo:lo + 4096])
             names = [raw[k * length:(k + 1) * length] for k in range(lo, lo + len(part))]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(list(part), pa.list_(pa.float64()))], ["cells", "out"])
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), sums], ["cells", "out"])
 
     found = dealt.unionByName(sent).repartitionById(blocks * shares, "task").sortWithinPartitions("tree").mapInArrow(run, "cells binary, out array<double>")
     return found.groupBy("cells").agg(F.array(*[F.sum(F.get("out", F.lit(k))) for k in range(width)]).alias("out"))
@@ -411,8 +551,7 @@ def explain_nodes(nodes: DataFrame, prepared: DataFrame, feature_names: Sequence
     thresholds = threshold_table(nodes)
     rows = with_cells(prepared.select(key, as_array(prepared, features).alias("x")), thresholds)
     rows = rows if with_value else rows.select(key, "cells")
-    sweep = int(np.argmax([len(t) for t in thresholds.values()])) if thresholds else None
-    found = over_cells(rows, nodes, thresholds, lambda c, trees: ensemble_shap(c, trees, sweep), max(1, len(thresholds)), sweep)
+    found = over_cells(rows, nodes, thresholds, ensemble_shap, max(1, len(thresholds)), with_grid=True)
     at = {f: k for k, f in enumerate(thresholds)}
     entries = F.array(*[F.struct(F.lit(name).alias("feature"), (F.col("out")[at[f]] if f in at else F.lit(0.0)).alias("phi"),
                                  *([F.col("x")[f].alias("value")] if with_value else [])) for f, name in enumerate(feature_names)])
