@@ -29,8 +29,9 @@ only count by their bits o, which are the same for all cells of a group
 (vectors equal in all features but those of G). So a leaf is added to a
 grid of each group, once at every corner of its boxes (with signs), and
 running sums along the axes of the grid give the cells: a leaf costs the
-groups and its corners, not the vectors. The grids of a group have the cells
-that occur in it only; of the boxes, those without any are left out.
+groups and its corners, not the vectors. On an axis where boxes are narrow, it is
+added to their cells instead. The grids of a group have the cells that occur
+in it only; of the boxes, those without any are left out.
 
 Attributions do not change when all leaf values of a tree move by one
 constant, so leaves of the most common value are moved to zero and dropped.
@@ -122,8 +123,10 @@ def base_value(nodes: DataFrame) -> float:
 
 def threshold_table(nodes: DataFrame) -> dict[int, np.ndarray]:
     """Sorted distinct thresholds of every feature that is split on."""
-    rows = nodes.where("left >= 0").groupBy("feature").agg(F.array_sort(F.collect_set("threshold")).alias("t")).collect()
-    return {r["feature"]: np.array(r["t"]) for r in sorted(rows)}
+    held: dict[int, list[float]] = {}
+    for r in sorted(nodes.where("left >= 0").select("feature", "threshold").distinct().collect()):
+        held.setdefault(r["feature"], []).append(r["threshold"])
+    return {f: np.array(t) for f, t in held.items()}
 
 
 # --- kernel ---------------------------------------------------------------------
@@ -307,10 +310,22 @@ def unit_legendre(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (x + 1) / 2, w / 2
 
 
-def add_part(grids: list[np.ndarray], part: Part, group: Group, subsets: list[list[int]]) -> None:
-    """Add the corners of the leaves of ``part`` to the grids of ``group``, one
-    per subset of the gridded features: channel 0 counts for the features of
-    the subset, 1 (negative) for the other gridded ones, the rest for their own."""
+def narrow_axis(parts: list[Part], group: Group) -> int | None:
+    """The axis on which the boxes of ``parts`` hold the fewest occurring cells
+    on average, if fewer than two (boxes without any do not count)."""
+    means = []
+    for a, rank in enumerate(group.rank):
+        held = [rank.take(part.grid_hi[a]) - rank.take(part.grid_lo[a]) for part in parts]
+        means.append(sum(int(h.sum()) for h in held) / max(1, sum(np.count_nonzero(h) for h in held)))
+    least = int(np.argmin(means))
+    return least if means[least] < 2 else None
+
+
+def add_part(grids: list[np.ndarray], part: Part, group: Group, subsets: list[list[int]], narrow: int | None) -> None:
+    """Add the leaves of ``part`` to the grids of ``group``, one per subset of
+    the gridded features: a box by its corners, on the axis ``narrow`` by its cells.
+    Channel 0 counts for the features of the subset, 1 (negative) for the
+    other gridded ones, the rest for their own."""
     k, g = len(part.feature), len(group.shape)
     own = group.own[part.feature]
     follows = (own >= part.lo) & (own < part.hi)
@@ -334,19 +349,29 @@ def add_part(grids: list[np.ndarray], part: Part, group: Group, subsets: list[li
         if not len(kept):
             continue
         n, size = len(subset), sums.shape[1]
-        rest = part.rest[s].take(kept)
-        values = of_slots[n].take(kept, 1)
-        values *= rest
-        place = part.channel.take(kept, 1)
-        place *= size
-        index, values = np.empty_like(place), values.ravel()
-        inside = of_grid[n - 1].take(kept) * rest if n else None
-        outside = of_grid[n].take(kept) * rest if n < g else None
-        corners, stride = [(np.zeros(len(kept), np.int64), False)], size
+        strides = {a: int(np.prod([group.shape[b] for b in subset[i + 1:]], dtype=np.int64)) for i, a in enumerate(subset)}
+        start = np.zeros(len(kept), np.int64)
+        if narrow in subset:  # a box once per cell
+            start = lo[narrow].take(kept)
+            times = hi[narrow].take(kept) - start
+            if (times > 1).any():
+                again = np.repeat(np.arange(len(kept)), times)
+                start = start.take(again) + np.arange(len(again)) - (np.cumsum(times) - times).take(again)
+                kept = kept.take(again)
+            start *= strides[narrow]
+        every = len(kept) == len(flags[s]) and flags[s].all()
+        mine = (lambda x: x) if every and narrow not in subset else (lambda x: x.take(kept, -1))
+        rest = mine(part.rest[s])
+        values = (mine(of_slots[n]) * rest).ravel()
+        place = mine(part.channel) * size
+        index = np.empty_like(place)
+        inside = mine(of_grid[n - 1]) * rest if n else None
+        outside = mine(of_grid[n]) * rest if n < g else None
+        corners = [(start, False)]
         for a in subset:
-            stride //= group.shape[a]
-            begin, end = lo[a].take(kept) * stride, hi[a].take(kept) * stride
-            corners = [(at + more, taken != off) for at, taken in corners for more, off in ((begin, False), (end, True))]
+            if a != narrow:
+                begin, end = mine(lo[a]) * strides[a], mine(hi[a]) * strides[a]
+                corners = [(at + more, taken != off) for at, taken in corners for more, off in ((begin, False), (end, True))]
         for at, taken in corners:
             put = (np.subtract if taken else np.add).at
             if n:
@@ -363,14 +388,16 @@ def add_leaves(out: np.ndarray, leaves: Leaves, grid: list[int], groups: list[Gr
     others = np.delete(np.arange(len(out)), grid)
     for group in groups:
         grids = [np.zeros((len(others) + 2, int(np.prod([group.shape[a] for a in s], dtype=np.int64)))) for s in subsets]
+        narrow = narrow_axis(parts, group)
         for part in parts:
-            add_part(grids, part, group, subsets)
+            add_part(grids, part, group, subsets, narrow)
         total = np.zeros((len(out), len(group.rows)))
         for subset, sums in zip(subsets, grids):
             shaped = sums.reshape(-1, *(group.shape[a] for a in subset))
             at = np.zeros(len(group.rows), np.int64)
             for axis, a in enumerate(subset):
-                np.cumsum(shaped, axis + 1, out=shaped)
+                if a != narrow:
+                    np.cumsum(shaped, axis + 1, out=shaped)
                 at = at * group.shape[a] + group.place[a]
             found = sums.take(at, 1)
             total[others] += found[2:]
